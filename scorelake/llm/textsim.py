@@ -19,9 +19,9 @@ for _i, _c in enumerate(b" abcdefghijklmnopqrstuvwxyz0123456789"):
 
 #: A text is routed by WINDOWS of its windows of WINDOW characters, those of rarest 3-grams. A 3-gram in less than FLOOR of
 #: the texts counts as in FLOOR of them, so that typing errors don't crowd out what two texts share.
-WINDOW, WINDOWS, FLOOR = 8, 20, 0.002
-#: Texts of fewer grams are routed by the prefix filter on 3-grams, which misses nothing.
-SHORT = 24
+WINDOW, WINDOWS, FLOOR = 6, 32, 0.002
+#: Texts of fewer grams are also routed by the prefix filter on 3-grams, which misses nothing.
+SHORT = 64
 SLICE = 2000
 
 
