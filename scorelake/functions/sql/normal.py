@@ -74,3 +74,11 @@ def foreign_key_map(tables: list[str], columns: list[tuple[int, str]], pairs: li
 
 def normalize(q: Query, schema: Schema, keys: dict[str, str]) -> Query:
     return one_key(mask_values(q), columns_in_scope(q, schema), keys)
+
+
+def foreign_key_maps(entries: list[dict]) -> dict[str, dict[str, str]]:
+    """The map of each database from the rows of a schema file (sources.files.schema_entries, one row per database)."""
+    return {
+        e["db_id"]: foreign_key_map(e["table_names_original"], [(int(t), c) for t, c in e["column_names_original"]], [tuple(k) for k in e["foreign_keys"] or ()])
+        for e in entries
+    }

@@ -36,6 +36,7 @@ class _Verifier:
         self.low = [w.lower() for w in self.words]
         self.tables, self.every = tables, set().union(*tables.values()) if tables else set()
         self.at, self.valid = 0, True
+        self.reasons: list[str] = []
 
     def peek(self, ahead: int = 0) -> str | None:
         i = self.at + ahead
@@ -185,10 +186,15 @@ class _Verifier:
             if column not in self.every and column not in derived:
                 raise Unreadable
             if table is None:
-                self.valid &= any(column in c or "*" in c for c in scope.values())
+                if not any(column in c or "*" in c for c in scope.values()):
+                    self.reasons.append(f"no column {column} in {', '.join(sorted(scope))}")
             else:
                 columns = scope.get(table, self.tables.get(table))
-                self.valid &= columns is not None and (column in columns or "*" in columns)
+                if columns is None:
+                    self.reasons.append(f"unknown alias {table}")
+                elif column not in columns and "*" not in columns:
+                    self.reasons.append(f"no column {column} in {table}")
+        self.valid = not self.reasons
 
 
 def _lower(tables: dict[str, list[str]]) -> dict[str, set[str]]:
@@ -203,6 +209,16 @@ def judged(text: str, tables: dict[str, list[str]]) -> bool | None:
         return None
 
 
+def reasons(text: str, tables: dict[str, list[str]]) -> list[str]:
+    """What is wrong with the columns of a query; "unreadable" for one without structure; nothing for a sound one."""
+    verifier_ = _Verifier(text, _lower(tables))
+    try:
+        verifier_.whole()
+    except (Unreadable, RecursionError, IndexError):
+        return [*verifier_.reasons, "unreadable"]
+    return verifier_.reasons
+
+
 _ENDS = (" WHERE", " GROUP BY", " ORDER")
 _SUB = re.compile(r"\(\s*(SELECT[^()]*(?:\([^()]*\)[^()]*)*?)(?:\)|$)", re.I | re.S)
 

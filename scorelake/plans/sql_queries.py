@@ -286,3 +286,18 @@ ORACLES = {
     "smiles_valid": _values("id, allowed", [(i, c) for i, _, _, c in _SMILES]),
     "lru_trace": _values("step, key, made, evicted", [(0, "a", "a", ""), (1, "a", "", ""), (2, "b", "b", ""), (3, "c", "c", "a"), (4, "a", "a", "b"), (5, "b", "b", "c")]),
 }
+
+_S = r"[\s\x{A0}]"
+#: The same decision by counting words outside quotes and sub-queries, for gold queries of the tables' simple forms.
+ORACLES["gold_levels"] = rf"""
+  with words as (select instance_id, gold, regexp_replace(lower(regexp_replace(gold, '\x27[^\x27]*\x27|"[^"]*"', 'v', 'g')), '{_S}+', ' ', 'g') as s from spider_instance),
+  parts as (select instance_id, gold, s, regexp_replace(s, '\( ?select.*\)', '(n)') as outer_s, regexp_matches(s, '\( ?select') as sub from words),
+  pieces as (select *, regexp_replace(regexp_extract(outer_s, 'select (.*?) ?from ', 1), '\([^)]*\)', '()', 'g') as items, coalesce(regexp_extract(outer_s, ' where (.*?)( group by | order by | limit |;|$)', 1), '') as conds from parts),
+  counts as (select instance_id, gold, s, cast(sub as int) as nested,
+      cast(conds <> '' as int) + cast(outer_s like '% group by %' as int) + cast(outer_s like '% order by %' as int) + cast(outer_s like '% limit %' as int) + len(regexp_extract_all(conds, ' like ')) + len(regexp_extract_all(conds, ' or ')) as c,
+      cast(len(regexp_extract_all(items, '(max|min|count|sum|avg) ?\(')) > 1 as int) + cast(items like '%,%' as int) + cast(conds like '% and %' or conds like '% or %' as int) as o from pieces)
+  select instance_id, case when gold is null or trim(s) = '' or contains(gold, '`') then null
+    when nested = 0 and c <= 1 and o = 0 then 'easy'
+    when nested = 0 and ((o <= 2 and c <= 1) or (c <= 2 and o < 2)) then 'medium'
+    when (nested = 0 and ((o > 2 and c <= 2) or (c = 3 and o <= 2))) or (c <= 1 and o = 0 and nested <= 1) then 'hard'
+    else 'extra' end as level from counts"""

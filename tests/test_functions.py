@@ -93,3 +93,34 @@ def test_hardness_table():
                 else:
                     want = "extra"
                 assert got == want, (c, n, o)
+
+
+def test_reasons():
+    assert verify.reasons("SELECT t1.Name, Theme FROM singer AS t1 WHERE t2.age > 3", SCHEMA) == ["no column theme in t1", "unknown alias t2"]
+    assert verify.reasons("SELECT Name FROM nowhere", SCHEMA) == ["unreadable"] and verify.reasons("SELECT Name FROM singer", SCHEMA) == []
+
+
+def test_exports():
+    import scorelake
+
+    assert all(getattr(scorelake, n) is not None for n in scorelake.__all__)
+    with pytest.raises(AttributeError):
+        scorelake.nothing
+
+
+def test_foreign_key_maps():
+    from scorelake.functions.sql.normal import foreign_key_maps
+
+    entry = {"db_id": "d", "table_names_original": ["A", "B"], "column_names_original": [["-1", "*"], ["0", "Id"], ["1", "A_Id"]], "foreign_keys": [[2, 1]]}
+    assert foreign_key_maps([entry]) == {"d": {"a.id": "a.id", "b.a_id": "a.id"}}
+
+
+def test_spark_backend(spark):
+    from scorelake.operators.sql_match import exec_match_on_spark
+
+    spark.createDataFrame([(1, "Ab"), (2, "b"), (2, "b")], "k int, name string").createOrReplaceTempView("things")
+    assert exec_match_on_spark(spark, "SELECT name FROM things", "SELECT name FROM things;")
+    assert not exec_match_on_spark(spark, "SELECT DISTINCT name FROM things", "SELECT name FROM things")
+    assert exec_match_on_spark(spark, "SELECT k FROM things WHERE name LIKE 'aB'", "SELECT k FROM things WHERE k = 1")
+    assert not exec_match_on_spark(spark, "SELECT k FROM things ORDER BY k DESC", "SELECT k FROM things ORDER BY k")
+    assert not exec_match_on_spark(spark, "SELECT nothing FROM things", "SELECT k FROM things")
