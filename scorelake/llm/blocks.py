@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +16,24 @@ from scorelake.session import cut
 HOT, CHUNK = 4096, 2048
 #: Blocks up to this size are taken together; larger ones go to the tree one by one.
 LEAF = 32
-ROUTES = "key bigint, half int, id bigint, size int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, extra int"
 _BUFFER = 100_000
 _PAIRS = 500_000
 
 
+def routes_schema(words: int) -> str:
+    """Columns of routes: key, half, id, size, the words of the point or fingerprint, and what lies beyond its bits."""
+    return "key bigint, half int, id bigint, size int, " + ", ".join(f"w{i} bigint" for i in range(words)) + ", extra int"
+
+
+def routes_batch(key: np.ndarray, half: np.ndarray, ids: np.ndarray, size: np.ndarray, words: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    small = lambda x: pa.array(x.astype(np.int32))
+    w = words.view(np.int64)
+    columns = [pa.array(key.view(np.int64)), small(half), pa.array(ids), small(size), *[pa.array(np.ascontiguousarray(w[:, i])) for i in range(w.shape[1])], small(extra)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in routes_schema(w.shape[1]).split(", ")])
+
+
 class Points:
-    """Arrays of one stretch of rows: id, size, words (n x 4), extra, half."""
+    """Arrays of one stretch of rows: id, size, words (a row each), extra, half."""
 
     def __init__(self, ids, size, words, extra, half):
         self.ids, self.size, self.words, self.extra, self.half = ids, size, words, extra, half
@@ -46,7 +58,7 @@ def block_join(batches: Iterator[pa.RecordBatch], test: Callable, tree: Callable
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda c: rows.column(c).to_numpy()
-        words = np.stack([col(f"w{i}").view(np.uint64) for i in range(4)], axis=1)
+        words = np.stack([col(c).view(np.uint64) for c in rows.column_names if re.fullmatch(r"w\d+", c)], axis=1)
         p = Points(col("id"), col("size"), words, col("extra"), col("half"))
         key, lo, hi, across = col("key"), col("lo"), col("hi"), col("across")
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
@@ -103,7 +115,7 @@ def all_pairs(p: Points, rows: np.ndarray, cross: bool, test: Callable) -> Itera
 def meet(routes: DataFrame, two: bool, test: Callable, tree: Callable = all_pairs) -> DataFrame:
     """(a, b): the distinct pairs of ids that share a key and pass ``test``; a < b, or with ``two`` a of half 0, b of half 1.
 
-    ``routes`` has the columns of ROUTES. Keys of one record (or of one half) are dropped by a count with map-side combine.
+    ``routes`` has the columns of routes_schema(). Keys of one record (or of one half) are dropped by a count with map-side combine.
     A key of more than HOT records is split: its records go to chunks by hash, and every pair of chunks is a sub-block of
     its own, so no task holds more than 2 * CHUNK records of a key, and no pair is lost.
     """
@@ -127,7 +139,7 @@ def meet(routes: DataFrame, two: bool, test: Callable, tree: Callable = all_pair
         )
         one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("half"), F.lit(False).alias("across")))
     rows = rows.withColumn("s", F.explode(F.when(hot, subs).otherwise(one)))
-    rows = rows.select("key", "s.lo", "s.hi", "s.half", "s.across", "id", "size", "w0", "w1", "w2", "w3", "extra", F.lit(two).alias("two"))
+    rows = rows.select("key", "s.lo", "s.hi", "s.half", "s.across", "id", "size", *[c for c in rows.columns if re.fullmatch(r"w\d+", c)], "extra", F.lit(two).alias("two"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return rows.mapInArrow(lambda it: block_join(it, test, tree), "a bigint, b bigint").distinct()
 
@@ -138,8 +150,8 @@ def with_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                b = whole.slice(i, 2000)
+            for i in range(0, whole.num_rows, 4000):
+                b = whole.slice(i, 4000)
                 share = similarity(b.column(2), b.column(3))
                 keep = pa.array(share >= least - 1e-12)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share)], names=["a", "b", "share"]).filter(keep)

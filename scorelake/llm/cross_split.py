@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import ROUTES, Points, meet, with_similarity
+from scorelake.llm.blocks import Points, meet, routes_batch, routes_schema, with_similarity
 from scorelake.llm.canonical import canonical_groups
-from scorelake.llm.textsim import CODES, FLOOR, SLICE, flat, gram_counts, gram_sets, mix, normal, popcount, routing_keys, similarities
+from scorelake.llm.near_duplicates import GROUPS, count_vectors, overlap_test
+from scorelake.llm.textsim import FLOOR, SLICE, flat, gram_counts, gram_sets, mix, normal, popcount, routing_keys, similarities
 from scorelake.session import cut
 
-#: Bits of a fingerprint, and the distance within which two are compared further. At 65 % alike some 29 % of the bits
-#: differ (75, spread 7); unrelated questions differ in 124 on average (spread 8).
-BITS, RADIUS = 256, 104
+#: Bits of a fingerprint, and the distance within which two are compared further. Questions made unlike by random typing
+#: errors down to 65 % differ in 75 bits on average and 94 at the 99th percentile; the tables' links in 77 at most; unrelated
+#: questions in 124 on average.
+BITS, RADIUS = 256, 100
+#: Texts whose hashes are made together.
+TOGETHER = 200
 #: Copies up to which each dev copy is paired with each train copy; beyond it, each with the other side's smallest id.
 ALL_PAIRS = 1000
 
@@ -24,26 +28,30 @@ ALL_PAIRS = 1000
 def fingerprints(texts: np.ndarray, codes: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
     """The similarity hash of each of n texts as 4 words: of each bit the sign of the sum, over the text's 3-grams, of the
     gram's weight times a sign drawn by its hash."""
-    out = np.zeros((n, BITS), np.float32)
+    out = np.zeros((n, BITS), bool)
     used, where = np.unique(codes, return_inverse=True)
     words = np.stack([mix(used, seed=100 + i) for i in range(BITS // 64)], axis=1)
     signs = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-    signs *= weight[used, None].astype(np.float32)
-    for s in range(0, n, 200):
-        lo, hi = np.searchsorted(texts, [s, min(n, s + 200)])
+    weights = weight[used].astype(np.float32)
+    for s in range(0, n, TOGETHER):  # a matrix of texts by the grams they hold, times the signs
+        lo, hi = np.searchsorted(texts, [s, min(n, s + TOGETHER)])
         if lo < hi:
-            own, first = np.unique(texts[lo:hi], return_index=True)
-            out[own] = np.add.reduceat(signs[where[lo:hi]], first, axis=0)
-    return np.packbits(out > 0, axis=1).view(np.uint64)
+            own, column = np.unique(where[lo:hi], return_inverse=True)
+            held = np.zeros((TOGETHER, len(own)), np.float32)
+            held[texts[lo:hi] - s, column] = weights[where[lo:hi]]
+            out[s : s + TOGETHER] = ((held @ signs[own]) > 0)[: n - s]
+    return np.packbits(out, axis=1).view(np.uint64)
 
 
-def hamming_test(share: float) -> Callable:
-    """Passes pairs of fingerprints within RADIUS whose sizes allow ``share``."""
+def fingerprint_test(share: float) -> Callable:
+    """Passes pairs of fingerprints within RADIUS whose sizes and gram counts, the words after the fingerprint's, allow ``share``."""
+    bound = overlap_test(share, BITS // 64)
 
     def test(p: Points, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = p.size[a].astype(np.int64), p.size[b].astype(np.int64)
-        near = popcount(p.words[a] ^ p.words[b]) <= RADIUS
-        return near & (np.minimum(x, y) >= np.ceil(share * np.maximum(x, y) - 1e-9))
+        ok = popcount(p.words[a, : BITS // 64] ^ p.words[b, : BITS // 64]) <= RADIUS
+        near = np.flatnonzero(ok)
+        ok[near] = bound(p, a[near], b[near])
+        return ok
 
     return test
 
@@ -59,7 +67,7 @@ def near_texts(left: DataFrame, left_id: str, right: DataFrame, right_id: str, t
 
     A record's fingerprint is joined in code blocks: the hashes of its rarest windows (textsim.routing_keys). Segments of the
     hash's own bits alone would lose some 2 % of the links at 65 to 75 % alike. Pairs that share a block and lie within the
-    Hamming radius are verified on the whole texts.
+    Hamming radius are bounded by their gram counts (near_duplicates.count_vectors) and verified on the whole texts.
     """
     sides = cut(_texts(left, left_id, text, 0).unionByName(_texts(right, right_id, text, 1)))
     counts, total = gram_counts(sides, "text"), sides.count()
@@ -72,17 +80,13 @@ def near_texts(left: DataFrame, left_id: str, right: DataFrame, right_id: str, t
                 b = whole.slice(i, SLICE)
                 raw, lengths = flat(b.column("text"))
                 texts, codes = gram_sets(raw, lengths)
-                w = fingerprints(texts, codes, b.num_rows, weight).view(np.int64)
+                points, extra = count_vectors(texts, codes, b.num_rows)
+                words = np.concatenate([fingerprints(texts, codes, b.num_rows, weight), points], axis=1)
                 size = np.bincount(texts, minlength=b.num_rows)
                 at, key = routing_keys(raw, lengths, known.value, total, share)
-                w = w[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(b.column("half").to_numpy()[at]), pa.array(b.column("id").to_numpy()[at]), pa.array(size[at].astype(np.int32)), *[pa.array(np.ascontiguousarray(w[:, k])) for k in range(4)], pa.array(np.zeros(len(at), np.int32))],
-                    names=[c.split()[0] for c in ROUTES.split(", ")],
-                )
-
-    assert CODES < 1 << 20
-    pairs = meet(sides.select("id", "half", "text").mapInArrow(route, ROUTES), True, hamming_test(share))
+                yield routes_batch(key, b.column("half").to_numpy()[at], b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+
+    pairs = meet(sides.select("id", "half", "text").mapInArrow(route, routes_schema((BITS + GROUPS) // 64)), True, fingerprint_test(share))
     near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     return near.where("share < 1").unionByName(one.join(two, "text").select("a", "b", F.lit(1.0).alias("share")))
@@ -91,7 +95,7 @@ def near_texts(left: DataFrame, left_id: str, right: DataFrame, right_id: str, t
 def _copies(records: DataFrame, record_id: str, key: Column) -> DataFrame:
     """rep, id, n of the records of each key; key null is none."""
     base = records.select(F.col(record_id).cast("bigint").alias("id"), key.alias("k")).where("k is not null and id is not null")
-    reps = base.groupBy("k").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).where("n > 1")
+    reps = base.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     return base.join(reps, "k").select("rep", "id", "n").distinct()
 
 

@@ -9,34 +9,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import LEAF, ROUTES, Points, meet, with_similarity
+from scorelake.llm.blocks import LEAF, Points, meet, routes_batch, routes_schema, with_similarity
 from scorelake.llm.components import connected_components
 from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, mix, normal, popcount, routing_keys, similarities
 
 #: Groups that 3-grams are hashed into: the dimensions of a point.
-GROUPS = 128
+GROUPS = 256
 FANOUT = 8
 #: Copies of one text up to which each two are a pair; in larger classes each copy is paired with the class's smallest id.
 ALL_PAIRS = 1000
 
 
 def count_vectors(texts: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The point of each of n texts, in unary: bits of "a group holds a gram", bits of "it holds two", as 4 words; and how
-    many grams lie beyond two per group. The minimum of two counts is then a bit-and, the maximum a bit-or."""
+    """The point of each of n texts: a bit per group that holds a gram, as words; and how many grams lie beyond one per group.
+
+    The minima of two points' counts sum up to at most the common bits and the lesser of what lies beyond; the upper corner
+    of a box is a bit-or.
+    """
     group = (mix(codes, seed=2) % np.uint64(GROUPS)).astype(np.int64)
     count = np.bincount(texts * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
-    planes = np.concatenate([count >= 1, count >= 2], axis=1)
-    return np.packbits(planes, axis=1).view(np.uint64), np.maximum(count - 2, 0).sum(axis=1)
+    return np.packbits(count >= 1, axis=1).view(np.uint64), np.maximum(count - 1, 0).sum(axis=1)
 
 
 class CountRTree:
-    """A bulk-loaded R-tree of points in unary form. A node's box has the largest count of each group as its upper corner,
+    """A bulk-loaded R-tree of points. A node's box has the largest count of each group as its upper corner,
     and the range of the sizes; two sets share at most the sum of the minima of the upper corners."""
 
     def __init__(self, p: Points, rows: np.ndarray):
         self.rows = rows[np.lexsort((p.words[rows, 1], p.words[rows, 0], p.size[rows]))]
         words, extra, low = p.words[self.rows], p.extra[self.rows], p.size[self.rows]
-        self.levels = []  # of nodes, lowest first: upper corner, beyond two, least size
+        self.levels = []  # of nodes, lowest first: upper corner, most beyond its bits, least size
         n, width = len(rows), LEAF
         while True:
             at = np.arange(0, n, width)
@@ -75,20 +77,23 @@ def _children(a: np.ndarray, b: np.ndarray, width: int, n: int, strict: bool = F
     return x[keep], y[keep]
 
 
-def overlap_test(share: float) -> Callable:
-    """Passes pairs whose bound on the overlap, the summed minima of their counts, reaches what ``share`` asks for."""
+def overlap_test(share: float, first: int = 0) -> Callable:
+    """Passes pairs whose bound on the overlap, the summed minima of their counts, reaches what ``share`` asks for.
+
+    The points are the words from ``first`` on.
+    """
 
     def test(p: Points, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = popcount(p.words[a] & p.words[b]) + np.minimum(p.extra[a], p.extra[b])
+        most = popcount(p.words[a, first:] & p.words[b, first:]) + np.minimum(p.extra[a], p.extra[b])
         return most >= np.ceil(share / (1 + share) * (p.size[a].astype(np.int64) + p.size[b]) - 1e-9)
 
     return test
 
 
 def classes(records: DataFrame, group: str, record_id: str, text: str) -> DataFrame:
-    """group, id, text (normal form), n_copies: the record of smallest id of each set of equal texts. Null texts are none."""
+    """group, id, text (normal form), n_copies (rows): the record of smallest id of each set of equal texts. Null texts are none."""
     base = records.select(F.col(group).alias("group"), F.col(record_id).cast("bigint").alias("rid"), normal(F.col(text)).alias("text")).where("text is not null and rid is not null")
-    return base.groupBy("group", "text").agg(F.min("rid").alias("id"), F.count_distinct("rid").alias("n_copies"))
+    return base.groupBy("group", "text").agg(F.min("rid").alias("id"), F.count("*").alias("n_copies"))
 
 
 def members(records: DataFrame, group: str, record_id: str, text: str, reps: DataFrame) -> DataFrame:
@@ -119,15 +124,10 @@ def near_links(reps: DataFrame, share: float = 0.65) -> DataFrame:
                 size = np.bincount(texts, minlength=b.num_rows)
                 at, key = routing_keys(raw, lengths, known.value, total, share)
                 group = b.column("g").to_numpy()
-                key = mix(key ^ mix(group[at], seed=3)).view(np.int64)
-                zero = np.zeros(len(at), np.int32)
-                w = words[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(zero), pa.array(b.column("id").to_numpy()[at]), pa.array(size[at].astype(np.int32)), *[pa.array(np.ascontiguousarray(w[:, k])) for k in range(4)], pa.array(extra[at].astype(np.int32))],
-                    names=[c.split()[0] for c in ROUTES.split(", ")],
-                )
-
-    routes = numbered.select(F.col("uid").alias("id"), F.xxhash64("group").alias("g"), "text").mapInArrow(route, ROUTES)
+                key = mix(key ^ mix(group[at], seed=3))
+                yield routes_batch(key, np.zeros(len(at)), b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+
+    routes = numbered.select(F.col("uid").alias("id"), F.xxhash64("group").alias("g"), "text").mapInArrow(route, routes_schema(GROUPS // 64))
     tree = lambda p, rows, cross, test: CountRTree(p, rows).joined(share, test, p, cross)
     pairs = meet(routes, False, overlap_test(share), tree)
     by_uid = numbered.select(F.col("uid").alias("id"), "text")

@@ -55,13 +55,24 @@ def gram_sets(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def similarities(a: pa.StringArray, b: pa.StringArray) -> np.ndarray:
-    """Common / all 3-grams of each pair; equal texts have 1, other pairs without grams 0."""
+    """Common / all 3-grams of each pair; equal texts have 1, other pairs without grams 0.
+
+    Each distinct text is read once; its grams are bits over those of the batch, so that a pair takes an and and a count.
+    """
     n = len(a)
-    (ta, ca), (tb, cb) = gram_sets(*flat(a)), gram_sets(*flat(b))
-    common = np.bincount(np.intersect1d(ta * CODES + ca, tb * CODES + cb, assume_unique=True) // CODES, minlength=n)[:n]
-    every = np.bincount(ta, minlength=n)[:n] + np.bincount(tb, minlength=n)[:n] - common
-    equal = np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
-    return np.where(equal, 1.0, common / np.maximum(every, 1))
+    texts = pa.concat_arrays([a, b]).dictionary_encode()
+    which = texts.indices.to_numpy()
+    t, c = gram_sets(*flat(texts.dictionary))
+    size = np.bincount(t, minlength=len(texts.dictionary))
+    used, column = np.unique(c, return_inverse=True)
+    bits = np.zeros((len(texts.dictionary), len(used) // 64 + 1), np.uint64)
+    if len(t):
+        word = column >> 6
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (word[1:] != word[:-1])])
+        bits[t[first], word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (column & 63).astype(np.uint64), first)
+    x, y = which[:n], which[n:]
+    common = np.concatenate([popcount(bits[x[i : i + 500]] & bits[y[i : i + 500]]) for i in range(0, n, 500)]) if n else np.empty(0, np.int32)
+    return np.where(x == y, 1.0, common / np.maximum(size[x] + size[y] - common, 1))
 
 
 def gram_counts(texts: DataFrame, column: str) -> np.ndarray:
