@@ -304,7 +304,7 @@ def broken_pairs(
     only where a response has no SELECT and may be a copy.
     """
     asked = prompts.select(F.col(prompt_id).alias("_p"), F.col(utterance).alias("utterance"), F.col(message).alias("message")).dropDuplicates(["_p"])
-    own = responses.select(F.col(response_id).cast("bigint").alias("response_id"), F.col(instance_id).alias("_i"), F.col(response).alias("response"), F.col(loaded_at).alias("loaded_at")).where("response_id is not null")
+    own = responses.select(F.col(response_id).cast("bigint").alias("response_id"), F.col(instance_id).alias("_i"), F.col(response).alias("response"), F.col(loaded_at).cast("timestamp").alias("loaded_at")).where("response_id is not null")
     paired = own.join(asked, F.col("_i") == F.col("_p"), "left")
     message_ = F.when(~F.coalesce(F.col("response"), F.lit("")).rlike(r"(?i)\bselect\b"), F.col("message"))
 

@@ -24,4 +24,24 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-ORACLES: dict[str, str] = {}
+
+
+def normal_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+
+
+def grams_sql(rows: str) -> str:
+    """Rows (side, id, t) as (side, id, n, gram), n the number of distinct 3-grams."""
+    return f"""select side, id, len(l) as n, unnest(l) as gram from (
+      select side, id, list_distinct(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) as l from ({rows}))"""
+
+
+_ROWS = f"""select 'dev' as side, example_id as id, {normal_sql("question")} as t from dev where question is not null
+  union all select 'spider_instance', instance_id, {normal_sql("utterance")} from spider_instance where utterance is not null"""
+
+ORACLES = {
+    "p1_found": f"""with r as ({_ROWS}), g as ({grams_sql("select * from r")})
+      select side as source_table, id_a, id_b from (
+        select a.side, a.id as id_a, b.id as id_b from g a join g b on a.side = b.side and a.gram = b.gram and a.id < b.id group by a.side, a.id, b.id, a.n, b.n having count(*) >= 0.65 * (a.n + b.n - count(*))
+        union select a.side, a.id, b.id from r a join r b on a.side = b.side and a.t = b.t and a.id < b.id)""",
+}
