@@ -123,23 +123,19 @@ def count_parts(q: Query) -> Counts:
 
 
 def hardness(clauses: Column, nested_: Column, others: Column) -> Column:
-    """easy, medium, hard or extra; null for nulls."""
-    flat = nested_ == 0
-    easy = (clauses <= 1) & (others == 0) & flat
-    medium = flat & (((others <= 2) & (clauses <= 1)) | ((clauses <= 2) & (others < 2)))
-    hard = (flat & (others > 2) & (clauses <= 2)) | (flat & (clauses > 2) & (clauses <= 3) & (others <= 2)) | ((clauses <= 1) & (others == 0) & (nested_ <= 1))
-    return F.when(easy, "easy").when(medium, "medium").when(hard, "hard").when(clauses.isNotNull(), "extra")
+    """easy, medium, hard or extra, decided as by hardness_of(); null for nulls."""
+    few, some = clauses <= 1, clauses <= 2
+    flat = F.when(few & (others == 0), "easy").when((few & (others <= 2)) | (some & (others <= 1)), "medium").when((some & (others >= 3)) | ((clauses == 3) & (others <= 2)), "hard").otherwise("extra")
+    deep = F.when((nested_ == 1) & few & (others == 0), "hard").otherwise("extra")
+    return F.when(nested_ == 0, flat).when(nested_ > 0, deep)
 
 
 def hardness_of(c: Counts) -> str:
-    """The same decision inside a task."""
-    if c.nested == 0:
-        if c.clauses <= 1 and c.others == 0:
-            return "easy"
-        if c.clauses <= 1 and c.others <= 2 or c.clauses <= 2 and c.others < 2:
-            return "medium"
-        if c.clauses <= 2 and c.others > 2 or c.clauses == 3 and c.others <= 2:
-            return "hard"
-    elif c.nested == 1 and c.clauses <= 1 and c.others == 0:
-        return "hard"
-    return "extra"
+    """The difficulty inside a task. With nested queries: hard for one beside next to nothing, else extra."""
+    if c.nested:
+        return "hard" if c.nested == 1 and c.clauses <= 1 and not c.others else "extra"
+    if c.clauses <= 1:
+        return "easy" if not c.others else "medium" if c.others <= 2 else "hard"
+    if c.clauses == 2:
+        return "medium" if c.others <= 1 else "hard" if c.others >= 3 else "extra"
+    return "hard" if c.clauses == 3 and c.others <= 2 else "extra"

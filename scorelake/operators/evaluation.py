@@ -86,6 +86,18 @@ class SqlEvaluator(Evaluator):
         return score_of_reason(sql_match(df, self.sources, self.keys, "schema_name", "response", "gold", self.strict, self.timeout))
 
 
+class TextEvaluator(Evaluator):
+    """score 1 for a response that is the instance's text ``gold`` but for case, white space and semicolons.
+
+    A small domain of one's own needs no more than this: columns in, score, desc and metadata out.
+    """
+
+    def score_responses(self, df: DataFrame) -> DataFrame:
+        plain = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[\s\u00A0;]+", "")
+        same = F.coalesce(plain("response") == plain("gold"), F.lit(False))
+        return df.withColumn("score", same.cast("double")).withColumn("desc", F.when(same, "valid").otherwise("mismatch")).withColumn("metadata", F.create_map().cast("map<string,string>"))
+
+
 class Store:
     """Outputs and results as JSON files ``<instance>-<replicate>-output.json`` and ``-results.json`` of a shared folder."""
 

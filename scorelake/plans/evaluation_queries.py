@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import prompts, regexes, texts
-from scorelake.operators.evaluation import instance_means, limited, replicated, running_mean
+from scorelake.operators.evaluation import PatternEvaluator, TextEvaluator, instance_means, limited, replicated, run_evaluation, running_mean
 from scorelake.operators.statistics import METRICS, interval, resampled
 from scorelake.session import checkpoint_dir, read
 from scorelake.sources.files import distinct_values, hash_sample, with_ordinal, without_times
@@ -42,6 +42,51 @@ def instance_mean(s: SparkSession, d: str) -> DataFrame:
 def macro_average(s: SparkSession, d: str) -> DataFrame:
     return instance_means(ensembles(s, d), 3).agg(F.round(F.avg("mean"), 6).alias("average_weighted_accuracy"), F.count("*").alias("n_instances"))
 
+def stored_outputs(s: SparkSession, d: str) -> DataFrame:
+    """The stored responses as outputs, beside their instance's gold query; a null weight counts 0."""
+    one = F.struct("response_no", F.struct("response", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("r"))
+    together = deliveries(s, d).where("instance_id is not null").groupBy("instance_id", "replicate").agg(F.collect_list(one).alias("rs"))
+    responses = F.transform(F.array_sort("rs", lambda a, b: a["response_no"] - b["response_no"]), lambda x: x["r"])
+    output = F.struct(responses.alias("responses"), F.lit(0.5).alias("runtime_seconds"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    gold = read(s, d, "spider_instance").select(F.col("instance_id").alias("g"), "gold")
+    return together.select("instance_id", "replicate", output.alias("output")).join(gold, F.col("instance_id") == F.col("g")).drop("g")
+
+
+def ensemble_replay(s: SparkSession, d: str) -> DataFrame:
+    """Stored outputs scored by an evaluator, weighted in the order of the responses."""
+    r = TextEvaluator().ensembles(stored_outputs(s, d))
+    return r.select("instance_id", "replicate", F.round("result.weighted_accuracy", 6).alias("weighted_accuracy"), "result.runtime_seconds", F.size("result.results").alias("n_results"))
+
+
+def evaluation_run(s: SparkSession, d: str) -> DataFrame:
+    """A whole run with an adaptor that replays fixed answers: five patterns, two replicates."""
+
+    def replay(instance: dict, replicate: int) -> dict:
+        return {"responses": [{"response": "blue bolt", "weight": 0.5}, {"response": ["x", "ab cd"][replicate], "weight": 0.5}], "runtime_seconds": 0.1}
+
+    return run_evaluation(s, scan_patterns(s, d), replay, PatternEvaluator(), n_replicates=2).summary
+
+
+def code_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts from their code points."""
+    codes = F.transform(F.split("n_name", ""), lambda c: F.ascii(c))
+    return read(s, d, "nation").select("n_nationkey", texts.text_of_codes(codes).alias("name"))
+
+
+def byte_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts from bytes, some of which are no UTF-8, without one leading space."""
+    raw = F.concat(F.lit(b" "), F.lit(b" "), F.col("p_name").cast("binary"), F.unhex(F.lit("80")))
+    return read(s, d, "part").select("p_partkey", texts.text_of_bytes(raw).alias("name"))
+
+
+def molecule_score(s: SparkSession, d: str) -> DataFrame:
+    """Stored names as molecules: those made of the letters of the organic subset are chains."""
+    from scorelake.functions.smiles import molecule_scores
+
+    made = read(s, d, "events").select("event_id", F.concat(F.lit(" "), F.when(F.pmod("event_id", F.lit(3)) == 0, "CC(=O)").when(F.pmod("event_id", F.lit(3)) == 1, "CC(").otherwise("C" * 3), F.lit("\n")).alias("response"))
+    return molecule_scores(made, "response").select("event_id", "score", "desc")
+
+
 def scan_patterns(s: SparkSession, d: str) -> DataFrame:
     from scorelake.sources.files import patterns_from_list
 
@@ -190,7 +235,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_patterns, regex_fullmatch_score, regex_udf_score, regex_critic_complete, regex_critic_prefix, ensemble_weighted_accuracy, instance_mean, macro_average, replicate_cross, max_instances,
-        cache_miss_plan, eval_needed, user_messages, schema_serialize, chat_messages, sql_prompts, pattern_prompts, molecule_prompts, few_shot_select, spider_datum, spider_instances, schema_columns,
+        cache_miss_plan, eval_needed, ensemble_replay, evaluation_run, code_texts, byte_texts, molecule_score, user_messages, schema_serialize, chat_messages, sql_prompts, pattern_prompts, molecule_prompts, few_shot_select, spider_datum, spider_instances, schema_columns,
         smiles_sample, column_picklist, picklist_no_times, subquery_extract, boundary_strip, utf8_guard, bootstrap_mean, bootstrap_median, bootstrap_std, stream_periods,
     )
 } | {"running_mean": running_means}
@@ -226,6 +271,14 @@ ORACLES = {
     "eval_needed": "select distinct response_id from model_response r where not exists (select 1 from evaluation_result e where e.response_id = r.response_id)",
     "running_mean": """select month, round(avg(mean) over (order by month rows unbounded preceding), 4) as running_mean from (
         select cast(date_trunc('month', o_orderdate) as timestamp) as month, avg(o_totalprice) as mean from orders group by 1)""",
+    "ensemble_replay": f"""select r.instance_id, r.replicate, round(sum(case when regexp_replace(lower(response), '[\\s\\x{{A0}};]+', '', 'g') = regexp_replace(lower(gold), '[\\s\\x{{A0}};]+', '', 'g') then coalesce(weight, 0) else 0 end), 6) as weighted_accuracy,
+        0.5 as runtime_seconds, cast(count(*) as int) as n_results from ({_DELIVERIES}) r join spider_instance i on i.instance_id = r.instance_id group by 1, 2""",
+    "evaluation_run": f"""select avg(m) as average_weighted_accuracy, count(*) as n_instances from (
+        select instance_id, sum(case when regexp_full_match(a, pattern) then 0.5 else 0 end) / 2 as m
+        from (values {_VALUES}) t(instance_id, pattern), (values ('blue bolt'), ('x'), ('blue bolt'), ('ab cd')) u(a) group by 1)""",
+    "code_texts": "select n_nationkey, n_name as name from nation",
+    "byte_texts": "select p_partkey, ' ' || p_name as name from part",
+    "molecule_score": """select event_id, case when event_id % 3 = 1 then 0.0 else 1.0 end as score, case when event_id % 3 = 1 then 'invalid' else 'valid' end as "desc" from events""",
     "user_messages": f"select instance_id, md5('{_MESSAGE[0]}' || coalesce(schema_str, '') || '{_MESSAGE[1]}' || utterance || '{_MESSAGE[2]}') as message_md5 from spider_instance",
     "schema_serialize": """select instance_id, md5(array_to_string(list_transform(tables, lambda t: t.name || array_to_string(list_transform(t.columns, lambda c: chr(10) || '* ' || c.name || ' (' || c.tpe || '): ' || c.nl_name), '')), chr(10) || chr(10))) as schema_md5 from spider_instance""",
     "chat_messages": """select instance_id, cast(pos as int) as pos, role, md5(content) as content_md5 from (

@@ -91,6 +91,36 @@ def fk_map(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(sorted(foreign_key_map(tables, columns, [(18, 1), (21, 8), (20, 15)]).items()), "column_name string, representative string")
 
 
+MASKED = [
+    (1, 'SELECT DISTINCT t2.singer_id FROM singer AS t1 JOIN singer_in_concert AS t2 ON t1.singer_id = t2.singer_id WHERE t1.age > 20 AND t1.name = "A"'),
+    (2, "SELECT name FROM singer WHERE age IN (SELECT age FROM singer WHERE age > 3)"),
+    (3, "SELECT name FROM (SELECT name FROM singer WHERE age > 3)"),
+]
+
+
+def sql_mask(s: SparkSession, d: str) -> DataFrame:
+    """What rewriting leaves: select columns, and how many values of conditions are still there, here and one level down."""
+    from scorelake.functions.sql.grade import nested, preds
+    from scorelake.functions.sql.normal import normalize
+    from scorelake.functions.sql.reader import Query
+
+    out = []
+    for i, text in MASKED:
+        try:
+            q = normalize(read_sql(text, SCHEMA), SCHEMA, KEYS)
+        except SqlError:
+            out.append((i, None, None, None))
+            continue
+        below = nested(q) + [t for t in q.tables if isinstance(t, Query)]
+        out.append((i, ",".join(x.expr.left.name for x in q.items), sum(p.first is not None for p in preds(q)), sum(p.first is not None for b in below for p in preds(b))))
+    return s.createDataFrame(out, "id int, columns string, n_values int, n_values_below int")
+
+
+def sql_verify_reasons(s: SparkSession, d: str) -> DataFrame:
+    given = ["SELECT t1.Name, Theme FROM singer AS t1", "SELECT Name FROM nowhere", "SELECT t9.Name FROM singer AS t1", "SELECT Name FROM singer"]
+    return s.createDataFrame([(i, "; ".join(verify.reasons(q, SCHEMA))) for i, q in enumerate(given)], "id int, reasons string")
+
+
 #: pred, gold
 COMPARED = [
     ("SELECT country, count(*) FROM singer GROUP BY country", "SELECT count(*), country FROM singer GROUP BY country"),
@@ -234,7 +264,7 @@ def gold_levels(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sql_tokens, sql_aliases, sql_ast_flat, sql_hardness, sql_keywords, fk_map, sql_component_match, sql_exec_match, sql_exec_match_relaxed, sql_match_reason,
+        sql_tokens, sql_aliases, sql_ast_flat, sql_hardness, sql_keywords, sql_mask, sql_verify_reasons, fk_map, sql_component_match, sql_exec_match, sql_exec_match_relaxed, sql_match_reason,
         sql_prefix_ok, sql_complete_ok, smiles_prefix, smiles_valid, lru_trace, gold_levels,
     )
 }
@@ -260,6 +290,9 @@ ORACLES = {
     "sql_ast_flat": _values("id, tables, columns, row_limit", [(2, "singer", "singer.name", 3), (4, "singer,singer_in_concert", "singer.name", None), (8, "singer", "singer.country", 1)]),
     "sql_hardness": _values("id, n_clauses, n_nested, n_others, level", [(i, a, b, c, lv) for i, _, a, b, c, lv, _ in GRADED]),
     "sql_keywords": _values("id, keywords", [(i, k) for i, *_, k in GRADED]),
+    # the nested query stays a value; a query in FROM keeps its own, and its name column isn't found without a table
+    "sql_mask": _values("id, columns, n_values, n_values_below", [(1, "singer.singer_id", 0, 0), (2, "singer.name", 1, 0), (3, None, None, None)]),
+    "sql_verify_reasons": _values("id, reasons", [(0, "no column theme in t1"), (1, "unreadable"), (2, "unknown alias t9"), (3, "")]),
     "fk_map": _values("column_name, representative", sorted(KEYS.items())),
     "sql_component_match": _values(
         "id, part, label_total, pred_total, matched, without_agg",

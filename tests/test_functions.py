@@ -79,20 +79,19 @@ def test_outside_subset(bad):
         read_sql(bad, SCHEMA)
 
 
-def test_hardness_table():
-    for c in range(5):
-        for n in range(3):
-            for o in range(5):
-                got = grade.hardness_of(grade.Counts(c, n, o))
-                if c <= 1 and o == 0 and n == 0:
-                    want = "easy"
-                elif n == 0 and ((o <= 2 and c <= 1) or (c <= 2 and o < 2)):
-                    want = "medium"
-                elif (o > 2 and c <= 2 and n == 0) or (2 < c <= 3 and o <= 2 and n == 0) or (c <= 1 and o == 0 and n <= 1):
-                    want = "hard"
-                else:
-                    want = "extra"
-                assert got == want, (c, n, o)
+#: By others 0 .. 4, for each number of clauses.
+LEVELS = {
+    0: {0: "easy medium medium hard hard", 1: "easy medium medium hard hard", 2: "medium medium extra hard hard", 3: "hard hard hard extra extra", 4: "extra extra extra extra extra"},
+    1: {0: "hard extra extra extra extra", 1: "hard extra extra extra extra", 2: "extra extra extra extra extra"},
+    2: {0: "extra extra extra extra extra"},
+}
+
+
+def test_hardness_table(spark):
+    cells = [(c, n, o, level) for n, by in LEVELS.items() for c, row in by.items() for o, level in enumerate(row.split())]
+    assert all(grade.hardness_of(grade.Counts(c, n, o)) == level for c, n, o, level in cells)
+    df = spark.createDataFrame(cells, "c int, n int, o int, level string")
+    assert df.where(grade.hardness(F.col("c"), F.col("n"), F.col("o")) != F.col("level")).count() == 0
 
 
 def test_reasons():
