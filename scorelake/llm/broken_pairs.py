@@ -276,12 +276,13 @@ def defect_of(response: str | None, utterance: str | None, message: str | None)
     if not _ALNUM.search(text):
         return "empty"
     found, prose = statements(text)
-    if not found:
+    if not any(map(_FROM.search, found)):  # the word SELECT alone may stand in prose
         own = tokens(text)
         if any(is_copy(own, tokens(p)) for p in (utterance, message) if p):
             return "copy"
         if is_refusal(text):
             return "refusal"
+    if not found:
         if utterance and other_language(text, utterance):
             return "language"
         return "truncated"
@@ -301,12 +302,12 @@ def broken_pairs(
     judged by themselves. Null ids of responses are no case. Extra columns aren't read. Empty tables give none.
 
     Prompts are joined by their id, a join that splits hot prompts (adaptive skew join); the whole message goes to Python
-    only where a response has no SELECT and may be a copy.
+    only where a response has no SELECT with a FROM and may be a copy.
     """
     asked = prompts.select(F.col(prompt_id).alias("_p"), F.col(utterance).alias("utterance"), F.col(message).alias("message")).dropDuplicates(["_p"])
     own = responses.select(F.col(response_id).cast("bigint").alias("response_id"), F.col(instance_id).alias("_i"), F.col(response).alias("response"), F.col(loaded_at).cast("timestamp").alias("loaded_at")).where("response_id is not null")
     paired = own.join(asked, F.col("_i") == F.col("_p"), "left")
-    message_ = F.when(~F.coalesce(F.col("response"), F.lit("")).rlike(r"(?i)\bselect\b"), F.col("message"))
+    message_ = F.when(~F.coalesce(F.col("response"), F.lit("")).rlike(r"(?is)\bselect\b.*\bfrom\b"), F.col("message"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,6 +24,7 @@ MESSAGE = f"The database has these tables:\nkeeper\n* town (text): town\n\nPleas
         (ASKED, "copy"), (ASKED.upper(), "copy"), (f"> {ASKED.replace(' ', '  ')}", "copy"), (f"You asked: {ASKED.replace('.', '')}", "copy"), (f'"{ASKED}"\n{ASKED}', "copy"), (MESSAGE, "copy"), (f"```\n-- {ASKED}\n```", "copy"),
         ("I'm sorry, but I can’t help with that.", "refusal"), ("-- NO QUERY CAN BE GIVEN.", "refusal"), ("Das kann ich leider nicht beantworten.", "refusal"),
         ("Sorry for the earlier mix-up, the corrected query is\nSELECT a FROM t", None), ("SELECT a FROM t WHERE b LIKE '%cannot answer this%'", None),
+        ("I'm sorry, but I can't help with that SELECT.", "refusal"), ("Select the makers of every barge? No query can be given.", "refusal"),
         ("Die Abfrage liefert alle Zeilen aus der Tabelle.", "language"), ("La consulta devuelve las filas de t.\nSELECT a FROM t", "language"), ("SELECT a FROM t;\nЗапрос возвращает строки таблицы", "language"), ("この表で十分です。", "language"),
         ("SELECT a FROM t WHERE b = 'Grün für die Zeilen der Tabelle'", None), ("/* The table is small and it has no index. */ SELECT a FROM t", None),
         ("The following statement does it:", "truncated"), ("SELECT", "truncated"), ("SELECT count(", "truncated"), ("SELECT count(*)", "truncated"), ("SELECT a FROM t WHERE", "truncated"), ("SELECT a FROM t WHERE b = 'x", "truncated"),
