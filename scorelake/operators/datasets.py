@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.prompts import serialize_schema, user_message
-from scorelake.sources.files import grammars, schema_entries, schema_tables, sql_examples
+from scorelake.sources.files import grammars, sql_examples
+from scorelake.sources.schemas import DATABASE_FOLDER, SCHEMAS_FILE, load_schemas
 
 
 def few_shots(train: DataFrame, tables: DataFrame, ids: list[int]) -> DataFrame:
@@ -40,7 +41,7 @@ def sql_instances(examples: DataFrame, tables: DataFrame, train: DataFrame, gram
 
 def sql_dataset(spark: SparkSession, folder: str, grammar_json_path: str | None = None, few_shot_example_ids: list[int] | None = None) -> DataFrame:
     """Instances of a folder with dev.json, train_spider.json and tables.json. Few-shot numbers default to 10, 100 and 1000."""
-    tables = schema_tables(schema_entries(spark, os.path.join(folder, "tables.json")))
+    tables = load_schemas(spark, os.path.join(folder, SCHEMAS_FILE), os.path.join(folder, DATABASE_FOLDER)).select("schema_name", "tables")
     dev, train = (sql_examples(spark, os.path.join(folder, f)) for f in ("dev.json", "train_spider.json"))
     ids = [10, 100, 1000] if few_shot_example_ids is None else few_shot_example_ids
     return sql_instances(dev, tables, train, grammars(spark, grammar_json_path), ids)

@@ -155,3 +155,45 @@ def test_stream(spark, tmp_path):
     stream = first_deliveries(response_stream(spark, str(tmp_path / "in"), df.schema), "response_id", "at", "30 days")
     score_stream(stream, lambda b: b.withColumn("score", F.length("response")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["response_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_schema_details_and_values(spark, tmp_path):
+    import sqlite3
+
+    from scorelake.sources.schemas import load_schemas, schema_values
+
+    entry = [{"db_id": "d", "table_names": ["one"], "table_names_original": ["One"], "column_names": [[-1, "*"], [0, "a"], [0, "b"]], "column_names_original": [[-1, "*"], [0, "A"], [0, "B"]], "column_types": ["text", "text", "number"], "primary_keys": [1], "foreign_keys": []}]
+    (tmp_path / "tables.json").write_text(json.dumps(entry + [entry[0] | {"db_id": "absent"}]))
+    (tmp_path / "database" / "d").mkdir(parents=True)
+    con = sqlite3.connect(tmp_path / "database" / "d" / "d.sqlite")
+    con.executescript("create table One (A, B int); insert into One values ('x', 1), ('x', 2), ('10:20:30', 3), ('a:b', 4), (null, 5), (x'e9', 6), (x'c3a9', 7);")
+    con.commit()
+    con.close()
+    schemas = load_schemas(spark, str(tmp_path / "tables.json"), str(tmp_path / "database"))
+    assert sorted(r["schema_name"] for r in schemas.collect()) == ["absent", "d"]
+    found = schema_values(schemas, str(tmp_path / "database")).collect()
+    assert sorted((r["column_name"], r["value"]) for r in found) == [("A", "a:b"), ("A", "x"), ("A", "é")]
+    details = {"e": {"name": "e", "tables": [{"name": "T", "nl_name": "t", "columns": [{"name": "C", "tpe": "text", "nl_name": "c"}]}], "primary_keys": [1]}}
+    (tmp_path / "database" / "db_schema_details.json").write_text(json.dumps(details))
+    r = load_schemas(spark, str(tmp_path / "tables.json"), str(tmp_path / "database")).collect()
+    assert [(x["schema_name"], x["tables"][0]["columns"][0]["name"]) for x in r] == [("e", "C")]
+
+
+def test_statement_timeout():
+    import sqlite3
+    import time
+
+    from scorelake.sources.databases import run_query
+
+    began = time.time()
+    with pytest.raises(sqlite3.OperationalError):
+        run_query(sqlite3.connect(":memory:", check_same_thread=False), "with recursive c(x) as (select 1 union all select x + 1 from c) select count(*) from c", 0.3)
+    assert time.time() - began < 5
+
+
+def test_unknown_column_type(spark, tmp_path):
+    from scorelake.sources.files import schema_columns, schema_entries
+
+    (tmp_path / "t.json").write_text(json.dumps([{"db_id": "d", "table_names": ["t"], "table_names_original": ["t"], "column_names": [[0, "a"]], "column_names_original": [[0, "a"]], "column_types": ["blob"], "primary_keys": [], "foreign_keys": []}]))
+    with pytest.raises(Exception, match="unknown column type"):
+        schema_columns(schema_entries(spark, str(tmp_path / "t.json"))).collect()
