@@ -14,19 +14,26 @@ KEYS_PER_BLOCK = 24
 BLOCK_BYTES = 8 * (WORDS + 2)
 
 
-def key_of(c: Column) -> Column:
-    """A reference read as a number: trimmed decimal text; null for blank, NaN-like text and words.
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
-    The caller tells blank (no reference) from words (a reference to nobody) with is_reference().
+
+def key_of(df: DataFrame, name: str) -> Column:
+    """A reference read as a whole number: null for null and blank, for words, fractions and numbers beyond 64 bits.
+
+    is_reference() tells blank (no reference) from what names nobody. Columns of whole numbers are taken as they are.
     """
-    text = strip(c.cast("string"))
+    if dict(df.dtypes)[name] in _WHOLE:
+        return F.col(name).cast("bigint")
+    text = strip(F.col(name).cast("string"))
     plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")
-    return F.when(plain, text.try_cast("decimal(38,8)"))
+    number = text.try_cast("decimal(38,8)")
+    return F.when(text.rlike("^[0-9]{1,18}$"), text.cast("bigint")).when(plain & (number == F.floor(number)), number.try_cast("bigint"))
 
 
-def is_reference(c: Column) -> Column:
-    """True where c holds something: null and blank are no reference."""
-    return c.isNotNull() & (strip(c.cast("string")) != "")
+def is_reference(df: DataFrame, name: str) -> Column:
+    """True where the column holds something: null and blank are no reference."""
+    c = F.col(name)
+    return c.isNotNull() if dict(df.dtypes)[name] in _WHOLE else c.isNotNull() & (strip(c.cast("string")) != "")
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -57,7 +64,7 @@ def orphan_references(
 
     Returns ref_field, child_id, reason, period (month of child_time, null if that is null).
 
-    Text is trimmed and read as a number; other text names nobody (``missing``). Null and blank references are no case.
+    Text is trimmed and read as a number, keys are whole numbers; other text and numbers name nobody (``missing``). Null and blank references are no case.
     A parent row with a null key or null time answers nothing, though its key counts as known; a child with a null time
     can't be shown sound: its case is ``missing`` or ``deleted``. Repeated child rows each give a row. Empty tables give none
     (empty parent: every reference is missing). Only the named columns are read, so others may clash.
@@ -67,11 +74,11 @@ def orphan_references(
     """
     refs = child.select(
         F.col(child_id).cast("bigint").alias("child_id"),
-        key_of(F.col(reference)).alias("key"),
+        key_of(child, reference).alias("key"),
         F.col(child_time).alias("at"),
-        is_reference(F.col(reference)).alias("is_ref"),
+        is_reference(child, reference).alias("is_ref"),
     ).where("is_ref")
-    parents = parent.select(key_of(F.col(parent_key)).alias("key"), F.col(parent_time).alias("born"), F.col(parent_end).alias("ended")).where("key is not null")
+    parents = parent.select(key_of(parent, parent_key).alias("key"), F.col(parent_time).alias("born"), F.col(parent_end).alias("ended")).where("key is not null")
 
     keys = parents.select("key").distinct()
     count = parents.select(F.approx_count_distinct("key", 0.02)).first()[0]

@@ -29,7 +29,8 @@ def test_empty_and_repeated(spark):
 
 
 def test_filter_never_loses_a_key(spark):
-    keys = spark.range(5000).select(key_of(F.col("id")).alias("key"))
+    numbers = spark.range(5000)
+    keys = numbers.select(key_of(numbers, "id").alias("key"))
     child = spark.range(5000).select("id", F.col("id").cast("string").alias("ref"), F.lit(T[2]).alias("at"), F.lit(0).alias("extra"))
     parent = spark.range(5000).select(F.col("id").cast("int").alias("k"), F.lit(T[1]).alias("born"), F.lit(None).cast("timestamp").alias("ended"), F.lit("").alias("extra"))
     assert orphan_references(child, "id", "ref", "at", parent, "k", "born", "ended", "f").count() == 0
