@@ -22,11 +22,26 @@ _ENDS = [
 ]
 
 
+_LENGTHS: dict[int, np.ndarray] = {}
+
+
+def token_lengths(enc) -> np.ndarray:
+    """Bytes of every token, listed once per worker."""
+    if id(enc) not in _LENGTHS:
+        lengths = np.zeros(enc.n_vocab, np.int64)
+        for i in range(enc.n_vocab):
+            try:
+                lengths[i] = len(enc.decode_single_token_bytes(i))
+            except KeyError:  # a free number
+                continue
+        _LENGTHS[id(enc)] = lengths
+    return _LENGTHS[id(enc)]
+
+
 def boundaries(text: str, ids: np.ndarray, enc) -> tuple[np.ndarray, np.ndarray]:
     """Of each token but the first: the strength of the boundary before it, -1 if it begins inside a character. And the
     character at which each token begins (of the last whole character before, if inside one)."""
-    lengths = np.array([len(enc.decode_single_token_bytes(int(i))) for i in ids], np.int64)
-    token_byte = np.r_[0, np.cumsum(lengths)]
+    token_byte = np.r_[0, np.cumsum(token_lengths(enc)[ids])]
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     starts = np.flatnonzero((raw & 0xC0) != 0x80)  # the byte at which each character begins
     char_byte = np.r_[starts, len(raw)]
@@ -88,8 +103,12 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[str, int,
             at += 1
         return at
 
+    known: dict[tuple[int, int], int] = {}
+
     def counted(start: int, hi: int) -> int:
-        return len(encode(text[char[start] : char[hi]], enc))
+        if (start, hi) not in known:
+            known[start, hi] = len(encode(text[char[start] : char[hi]], enc))
+        return known[start, hi]
 
     def fits(lo: int, hi: int) -> bool:
         if hi - lo > most - overlap:
