@@ -56,20 +56,25 @@ def fingerprint_test(share: float) -> Callable:
     return test
 
 
-def _texts(records: DataFrame, record_id: str, text: str, half: int) -> DataFrame:
-    """id, text, half: the smallest id of each normal form."""
-    base = records.select(F.col(record_id).cast("bigint").alias("rid"), normal(F.col(text)).alias("text")).where("text is not null and rid is not null")
-    return base.groupBy("text").agg(F.min("rid").alias("id")).withColumn("half", F.lit(half))
+def read_once(records: DataFrame, record_id: str, text: str, canon: Column) -> DataFrame:
+    """id, text (normal form) and canon (binary) of the records with an id, written to the checkpoint folder."""
+    return cut(records.select(F.col(record_id).cast("bigint").alias("id"), normal(F.col(text)).alias("text"), canon.cast("binary").alias("canon")).where("id is not null"))
 
 
-def near_texts(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text: str, share: float = 0.65) -> DataFrame:
+def _texts(records: DataFrame, half: int) -> DataFrame:
+    """text, id, half: the smallest id of each normal form."""
+    return records.where("text is not null").groupBy("text").agg(F.min("id").alias("id")).withColumn("half", F.lit(half))
+
+
+def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65) -> DataFrame:
     """a, b, share: pairs of a text of left and one of right (each by its smallest id) at least ``share`` alike, equal ones included.
 
-    A record's fingerprint is joined in code blocks: the hashes of its rarest windows (textsim.routing_keys). Segments of the
-    hash's own bits alone would lose some 2 % of the links at 65 to 75 % alike. Pairs that share a block and lie within the
-    Hamming radius are bounded by their gram counts (near_duplicates.count_vectors) and verified on the whole texts.
+    left and right have id and text (normal form). A record's fingerprint is joined in code blocks: the hashes of its rarest
+    windows (textsim.routing_keys). Segments of the hash's own bits alone would lose some 2 % of the links at 65 to 75 %
+    alike. Pairs that share a block and lie within the Hamming radius are bounded by their gram counts
+    (near_duplicates.count_vectors) and verified on the whole texts.
     """
-    sides = cut(_texts(left, left_id, text, 0).unionByName(_texts(right, right_id, text, 1)))
+    sides = cut(_texts(left, 0).unionByName(_texts(right, 1)))
     counts, total = gram_counts(sides, "text"), sides.count()
     known = sides.sparkSession.sparkContext.broadcast(counts)  # CODES numbers, whatever the corpus
 
@@ -92,9 +97,9 @@ def near_texts(left: DataFrame, left_id: str, right: DataFrame, right_id: str, t
     return near.where("share < 1").unionByName(one.join(two, "text").select("a", "b", F.lit(1.0).alias("share")))
 
 
-def _copies(records: DataFrame, record_id: str, key: Column) -> DataFrame:
-    """rep, id, n of the records of each key; key null is none."""
-    base = records.select(F.col(record_id).cast("bigint").alias("id"), key.alias("k")).where("k is not null and id is not null")
+def _copies(records: DataFrame, key: str) -> DataFrame:
+    """rep, id, n of the records of each key that several have; a null key is none."""
+    base = records.select("id", F.col(key).alias("k")).where("k is not null")
     reps = base.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     return base.join(reps, "k").select("rep", "id", "n").distinct()
 
@@ -118,13 +123,12 @@ def cross_split_overlaps(left: DataFrame, left_id: str, right: DataFrame, right_
 
     Null texts, queries and ids are no case. Repeated rows count once; extra columns aren't read. An empty side gives none.
     """
-    links = cut(near_texts(left, left_id, right, right_id, text, share))
-    by_text = expand(links, _copies(left, left_id, normal(F.col(text))), _copies(right, right_id, normal(F.col(text))))
+    one, two = read_once(left, left_id, text, canon), read_once(right, right_id, text, canon)
+    by_text = expand(cut(near_texts(one, two, share)), _copies(one, "text"), _copies(two, "text"))
     # equal queries: the groups of both sides meet on their canonical bytes, a fingerprint of distance 0
-    one, two = canonical_groups(left, left_id, canon), canonical_groups(right, right_id, canon)
-    same = one.select("canon", F.col("keep_id").alias("a")).join(two.select("canon", F.col("keep_id").alias("b")), "canon").select("a", "b")
-    key = canon.cast("binary")
-    by_query = expand(cut(same), _copies(left, left_id, key), _copies(right, right_id, key))
+    groups = [canonical_groups(side, "id", F.col("canon")) for side in (one, two)]
+    same = groups[0].select("canon", F.col("keep_id").alias("a")).join(groups[1].select("canon", F.col("keep_id").alias("b")), "canon").select("a", "b")
+    by_query = expand(cut(same), _copies(one, "canon"), _copies(two, "canon"))
     return by_text.unionByName(by_query).distinct()
 
 
