@@ -18,10 +18,10 @@ from scorelake.streaming.scoring import complete_table, first_deliveries, per_pe
 PATTERNS = ["[a-z]+ [a-z]+", "(?:blue|green|red) .*", ".*[aeiou]{2}.*", "[^x]+", "\\w+ \\w+"]
 UDF_PATTERN = r".*(\w)\1.*"
 
-def deliveries(s: SparkSession, d: str) -> DataFrame:
-    """Each response once, its latest delivery."""
+def deliveries(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each response once, the named columns of its latest delivery; others, such as long texts, aren't shuffled."""
     r = read(s, d, "model_response")
-    return r.groupBy("response_id").agg(F.max_by(F.struct("instance_id", "replicate", "response_no", "response", "weight"), "loaded_at").alias("r")).select("response_id", "r.*")
+    return r.groupBy("response_id").agg(F.max_by(F.struct(*columns), "loaded_at").alias("r")).select("response_id", "r.*")
 
 def results(s: SparkSession, d: str) -> DataFrame:
     r = read(s, d, "evaluation_result")
@@ -29,7 +29,7 @@ def results(s: SparkSession, d: str) -> DataFrame:
 
 def ensembles(s: SparkSession, d: str) -> DataFrame:
     """instance_id, replicate, result.weighted_accuracy over stored responses and scores; a missing weight or score counts 0."""
-    scored = deliveries(s, d).join(results(s, d), F.col("response_id") == F.col("scored_id"), "left")
+    scored = deliveries(s, d, "instance_id", "replicate", "weight").join(results(s, d), F.col("response_id") == F.col("scored_id"), "left")
     total = F.sum(F.coalesce("score", F.lit(0.0)) * F.coalesce("weight", F.lit(0.0)))
     return scored.groupBy("instance_id", "replicate").agg(F.struct(total.alias("weighted_accuracy")).alias("result"), F.count("*").alias("n_responses"))
 
@@ -45,7 +45,7 @@ def macro_average(s: SparkSession, d: str) -> DataFrame:
 def stored_outputs(s: SparkSession, d: str) -> DataFrame:
     """The stored responses as outputs, beside their instance's gold query; a null weight counts 0."""
     one = F.struct("response_no", F.struct("response", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("r"))
-    together = deliveries(s, d).where("instance_id is not null").groupBy("instance_id", "replicate").agg(F.collect_list(one).alias("rs"))
+    together = deliveries(s, d, "instance_id", "replicate", "response_no", "response", "weight").where("instance_id is not null").groupBy("instance_id", "replicate").agg(F.collect_list(one).alias("rs"))
     responses = F.transform(F.array_sort("rs", lambda a, b: a["response_no"] - b["response_no"]), lambda x: x["r"])
     output = F.struct(responses.alias("responses"), F.lit(0.5).alias("runtime_seconds"), F.lit(None).cast("map<string,string>").alias("metadata"))
     gold = read(s, d, "spider_instance").select(F.col("instance_id").alias("g"), "gold")
@@ -130,7 +130,8 @@ def cache_miss_plan(s: SparkSession, d: str) -> DataFrame:
 
 def eval_needed(s: SparkSession, d: str) -> DataFrame:
     """Responses without a stored result."""
-    return deliveries(s, d).join(results(s, d), F.col("response_id") == F.col("scored_id"), "left_anti").select("response_id")
+    known = results(s, d).select("scored_id")
+    return deliveries(s, d, "instance_id").join(known, F.col("response_id") == F.col("scored_id"), "left_anti").select("response_id")
 
 def running_means(s: SparkSession, d: str) -> DataFrame:
     per = read(s, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("mean"))
