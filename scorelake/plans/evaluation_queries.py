@@ -209,9 +209,10 @@ def _index(b, i, n):
 def _bootstrap(s: SparkSession, d: str, metric: str) -> DataFrame:
     values = with_ordinal(read(s, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey"), "pos")
     n = values.count()
-    whole = values.agg(F.round(METRICS[metric]("s_acctbal"), 4).alias("metric"))
+    near = lambda c: F.round(c + F.lit(1e-7), 4)  # noqa: E731 - exact halves, common among means of cents, round up in either engine
+    whole = values.agg(near(METRICS[metric]("s_acctbal")).alias("metric"))
     bounds = interval(resampled(values, "s_acctbal", 200, _index, n), metric, 0.95)
-    return whole.crossJoin(bounds).select("metric", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+    return whole.crossJoin(bounds).select("metric", near(F.col("lower")).alias("lower"), near(F.col("upper")).alias("upper"))
 
 def bootstrap_mean(s: SparkSession, d: str) -> DataFrame:
     return _bootstrap(s, d, "mean")
@@ -253,7 +254,7 @@ def _bootstrap_sql(whole: str, per: str) -> str:
     return f"""with v as (select s_acctbal as x, row_number() over (order by s_suppkey) - 1 as pos from supplier), n as (select count(*) as n from v),
       draws as (select b, (b * 7919 + i * 104729 + b * i * 31) % n as nr from range(200) t(b), n, (select pos as i from v)),
       m as (select b, cast({per} as double) as m from draws join v on nr = pos group by b)
-      select (select round({whole}, 4) from v) as metric, round(quantile_cont(m, 0.025), 4) as lower, round(quantile_cont(m, 0.975), 4) as upper from m"""
+      select (select round({whole} + 1e-7, 4) from v) as metric, round(quantile_cont(m, 0.025) + 1e-7, 4) as lower, round(quantile_cont(m, 0.975) + 1e-7, 4) as upper from m"""
 
 ORACLES = {
     "scan_patterns": f"select instance_id, pattern from (values {_VALUES}) t(instance_id, pattern)",
