@@ -94,7 +94,8 @@ def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65) -> DataFr
     pairs = meet(sides.select("id", "half", "text").mapInArrow(route, routes_schema((BITS + GROUPS) // 64)), True, fingerprint_test(share))
     near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
-    return near.where("share < 1").unionByName(one.join(two, "text").select("a", "b", F.lit(1.0).alias("share")))
+    # different texts may have the same 3-grams: share 1 doesn't mean equal
+    return near.unionByName(one.join(two, "text").select("a", "b", F.lit(1.0).alias("share"))).distinct()
 
 
 def _copies(records: DataFrame, key: str) -> DataFrame:

@@ -121,6 +121,16 @@ def test_cross_split(spark):
     assert cross_split_overlaps(l, "i", empty, "i", "t", canonical_query(F.col("q"))).count() == 0
 
 
+def test_cross_split_same_grams(spark):
+    """Different texts with the same set of 3-grams are alike, though not equal."""
+    left = [(1, "Which stadiums have a roof and a garden and a roof and a tower and a roof?", None), (2, "the number 1000000", None), (3, "the number 1000000", None), (4, "ab", None)]
+    right = [(11, "Which stadiums have a roof and a tower and a roof and a garden and a roof?", None), (12, "the number 10000000", None), (13, "The number 1000000!", None), (14, "ab", None)]
+    assert alike(left[0][1], right[0][1]) == 1 and normal(left[0][1]) != normal(right[0][1])
+    l, r = (spark.createDataFrame(x, "i bigint, t string, q string") for x in (left, right))
+    got = sorted((x["a"], x["b"]) for x in cross_split_overlaps(l, "i", r, "i", "t", canonical_query(F.col("q"))).collect())
+    assert got == [(1, 11), (2, 12), (2, 13), (3, 12), (3, 13), (4, 14)]
+
+
 def test_cross_split_of_the_tables(spark):
     from scorelake.llm.canonical_queries import CANON_SQL
     from scorelake.llm.overlap_queries import p4_found
