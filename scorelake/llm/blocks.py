@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ from scorelake.session import cut
 HOT, CHUNK = 4096, 2048
 #: Blocks up to this size are taken together; larger ones go to the tree one by one.
 LEAF = 32
+#: Bands of size to the ratio of sizes that a share allows: more of them leave out more pairs and repeat each record more often.
+BANDS = 4
 _BUFFER = 100_000
 _PAIRS = 500_000
 
@@ -144,6 +147,57 @@ def meet(routes: DataFrame, two: bool, test: Callable, tree: Callable = all_pair
     return rows.mapInArrow(lambda it: block_join(it, test, tree), "a bigint, b bigint").distinct()
 
 
+def bounded_pairs(share: float) -> Callable:
+    """The pairs of one block whose points allow ``share``, by products of matrices: common bits plus the mean of what lies
+    beyond them, no less than the bound of near_duplicates.overlap_test, which is asked for what passes."""
+
+    def join(p: Points, rows: np.ndarray, cross: bool, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bits = np.unpackbits(np.ascontiguousarray(p.words[rows]).view(np.uint8), axis=1).astype(np.float32)
+        need = (p.extra[rows] / 2 - share / (1 + share) * p.size[rows]).astype(np.float32)[:, None]
+        one = np.ones_like(need)
+        left = np.flatnonzero(p.half[rows] == 0) if cross else np.arange(len(rows))
+        right = np.flatnonzero(p.half[rows] == 1) if cross else left
+        x, y = np.hstack([bits, one, need])[left], np.ascontiguousarray(np.hstack([bits, need, one])[right].T)
+        step = max(1, _PAIRS // max(1, len(right)))
+        for s in range(0, len(left), step):
+            at = np.flatnonzero(x[s : s + step] @ y >= -0.05)  # 0 but for rounding
+            a, b = rows[left[s + at // len(right)]], rows[right[at % len(right)]]
+            if not cross:
+                keep = a < b
+                a, b = a[keep], b[keep]
+            ok = test(p, a, b)
+            yield a[ok], b[ok]
+
+    return join
+
+
+def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Callable) -> DataFrame:
+    """(a, b): the pairs of ids of one key, one at least ``least`` in size, whose sizes allow ``share`` and that pass
+    ``test``; a < b, or with ``two`` a of half 0, b of half 1. No pair is lost.
+
+    ``points`` has the columns of routes_schema(), a row for each record. Records stand in bands of size, bands in chunks of
+    some CHUNK by hash; two chunks whose least and largest sizes allow the share are a block.
+    """
+    band = F.floor(F.log(F.col("size") / least) * (BANDS / -math.log(share)))
+    points = cut(points.where("size > 0").withColumn("band", band))
+    own = ["key", "half", "band"]
+    bands = cut(points.groupBy(*own).agg(F.ceil(F.count("*") / CHUNK).alias("parts"), F.min("size").alias("least"), F.max("size").alias("most")))
+    chunk = lambda part: (F.col("band") * 2**32 + part).alias("chunk")
+    chunks = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "half", chunk(F.col("part")), "least", "most")
+    x, y = (chunks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in chunks.columns[1:]]) for side in "xy")
+    ordered = "half_x = 0 and half_y = 1" if two else "chunk_x <= chunk_y"
+    blocks = cut(x.join(y, "key").where(f"{ordered} and greatest(most_x, most_y) >= {least} and most_x >= {share} * least_y - 1e-6 and most_y >= {share} * least_x - 1e-6"))
+    end = lambda side, half: blocks.select("key", F.col(f"half_{side}").alias("half"), F.col(f"chunk_{side}").alias("chunk"), F.col("chunk_x").alias("lo"), F.col("chunk_y").alias("hi"), F.lit(half).alias("to"))
+    ends = end("x", 0).unionByName(end("y", 1) if two else end("y", 1).where("lo <> hi"))
+    placed = points.join(bands.select(*own, "parts"), own).withColumn("chunk", chunk(F.pmod(F.xxhash64("id"), "parts")))
+    words = [c for c in points.columns if re.fullmatch(r"w\d+", c)]
+    across = F.lit(True) if two else F.col("lo") != F.col("hi")
+    rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", F.col("to").alias("half"), across.alias("across"), "id", "size", *words, "extra", F.lit(two).alias("two"))
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    join = bounded_pairs(share)
+    return rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint").distinct()
+
+
 def with_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, similarity: Callable) -> DataFrame:
     """(a, b, share) of the pairs whose texts are at least ``least`` alike; left and right have id and text."""
     texts = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")

@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import Points, meet, routes_batch, routes_schema, with_similarity
+from scorelake.llm.blocks import Points, meet, meet_sizes, routes_batch, routes_schema, with_similarity
 from scorelake.llm.canonical import canonical_groups
 from scorelake.llm.near_duplicates import GROUPS, count_vectors, overlap_test
-from scorelake.llm.textsim import FLOOR, SLICE, flat, gram_counts, gram_sets, mix, normal, popcount, routing_keys, similarities
+from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, long_size, mix, normal, popcount, routing_keys, similarities
 from scorelake.session import cut
 
 #: Bits of a fingerprint, and the distance within which two are compared further. Questions made unlike by random typing
 #: errors down to 65 % differ in 75 bits on average and 94 at the 99th percentile; the tables' links in 77 at most; unrelated
 #: questions in 124 on average.
 BITS, RADIUS = 256, 100
+#: A 3-gram in less than FLOOR of the texts weighs as one in FLOOR of them.
+FLOOR = 0.002
 #: Texts whose hashes are made together.
 TOGETHER = 200
 #: Copies up to which each dev copy is paired with each train copy; beyond it, each with the other side's smallest id.
@@ -69,29 +71,37 @@ def _texts(records: DataFrame, half: int) -> DataFrame:
 def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65) -> DataFrame:
     """a, b, share: pairs of a text of left and one of right (each by its smallest id) at least ``share`` alike, equal ones included.
 
-    left and right have id and text (normal form). A record's fingerprint is joined in code blocks: the hashes of its rarest
-    windows (textsim.routing_keys). Segments of the hash's own bits alone would lose some 2 % of the links at 65 to 75 %
-    alike. Pairs that share a block and lie within the Hamming radius are bounded by their gram counts
-    (near_duplicates.count_vectors) and verified on the whole texts.
+    left and right have id and text (normal form). The fingerprints of short texts are joined in code blocks, the hashes of
+    the rarest 3-grams (textsim.routing_keys); those that share a block and lie within the Hamming radius are bounded by their
+    gram counts (near_duplicates.count_vectors). Pairs with a longer text meet by size (blocks.meet_sizes) under the same
+    bound, whatever their fingerprints. Survivors are verified on the whole texts.
     """
     sides = cut(_texts(left, 0).unionByName(_texts(right, 1)))
     counts, total = gram_counts(sides, "text"), sides.count()
     known = sides.sparkSession.sparkContext.broadcast(counts)  # CODES numbers, whatever the corpus
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.log(max(total, 1) / np.maximum(known.value, max(1.0, FLOOR * total))) + 1e-3
-        for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                raw, lengths = flat(b.column("text"))
-                texts, codes = gram_sets(raw, lengths)
-                points, extra = count_vectors(texts, codes, b.num_rows)
-                words = np.concatenate([fingerprints(texts, codes, b.num_rows, weight), points], axis=1)
-                size = np.bincount(texts, minlength=b.num_rows)
-                at, key = routing_keys(raw, lengths, known.value, total, share)
-                yield routes_batch(key, b.column("half").to_numpy()[at], b.column("id").to_numpy()[at], size[at], words[at], extra[at])
-
-    pairs = meet(sides.select("id", "half", "text").mapInArrow(route, routes_schema((BITS + GROUPS) // 64)), True, fingerprint_test(share))
+    def route(prefixes: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight = np.log(max(total, 1) / np.maximum(known.value, max(1.0, FLOOR * total))) + 1e-3
+            for whole in batches:
+                for i in range(0, whole.num_rows, SLICE):
+                    b = whole.slice(i, SLICE)
+                    raw, lengths = flat(b.column("text"))
+                    texts, codes = gram_sets(raw, lengths)
+                    words, extra = count_vectors(texts, codes, b.num_rows)
+                    size = np.bincount(texts, minlength=b.num_rows)
+                    at, key = np.arange(b.num_rows), np.zeros(b.num_rows, np.uint64)
+                    if prefixes:
+                        words = np.concatenate([fingerprints(texts, codes, b.num_rows, weight), words], axis=1)
+                        at, key = routing_keys(raw, lengths, known.value, share)
+                    yield routes_batch(key, b.column("half").to_numpy()[at], b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+
+        return run
+
+    texts = sides.select("id", "half", "text")
+    short = texts.mapInArrow(route(True), routes_schema((BITS + GROUPS) // 64))
+    points = texts.mapInArrow(route(False), routes_schema(GROUPS // 64))
+    pairs = meet(short, True, fingerprint_test(share)).unionByName(meet_sizes(points, True, share, long_size(share), overlap_test(share)))
     near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     # different texts may have the same 3-grams: share 1 doesn't mean equal

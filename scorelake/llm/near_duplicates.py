@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import LEAF, Points, meet, routes_batch, routes_schema, with_similarity
+from scorelake.llm.blocks import LEAF, Points, meet, meet_sizes, routes_batch, routes_schema, with_similarity
 from scorelake.llm.components import connected_components
-from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, mix, normal, popcount, routing_keys, similarities
+from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, long_size, mix, normal, popcount, routing_keys, similarities
 
 #: Groups that 3-grams are hashed into: the dimensions of a point.
-GROUPS = 256
+GROUPS = 512
 FANOUT = 8
 #: Copies of one text up to which each two are a pair; in larger classes each copy is paired with the class's smallest id.
 ALL_PAIRS = 1000
@@ -106,30 +106,35 @@ def members(records: DataFrame, group: str, record_id: str, text: str, reps: Dat
 def near_links(reps: DataFrame, share: float = 0.65) -> DataFrame:
     """group, a, b, share: pairs of representatives (a < b) of one group whose texts are at least ``share`` alike.
 
-    Texts meet under the keys of textsim.routing_keys; a block of texts that share a key is joined by a CountRTree, which
-    drops pairs of nodes and points whose summed minima can't reach ``share``; survivors are verified on the whole texts.
+    Short texts meet under the keys of textsim.routing_keys; a block of texts that share a key is joined by a CountRTree, which
+    drops pairs of nodes and points whose summed minima can't reach ``share``. Pairs with a longer text meet by size
+    (blocks.meet_sizes) under the same bound. Survivors are verified on the whole texts.
     """
     numbered = cut_ids(reps)
     counts = gram_counts(numbered, "text")
-    total = numbered.count()
     known = numbered.sparkSession.sparkContext.broadcast(counts)  # CODES numbers, whatever the corpus
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                raw, lengths = flat(b.column("text"))
-                texts, codes = gram_sets(raw, lengths)
-                words, extra = count_vectors(texts, codes, b.num_rows)
-                size = np.bincount(texts, minlength=b.num_rows)
-                at, key = routing_keys(raw, lengths, known.value, total, share)
-                group = b.column("g").to_numpy()
-                key = mix(key ^ mix(group[at], seed=3))
-                yield routes_batch(key, np.zeros(len(at)), b.column("id").to_numpy()[at], size[at], words[at], extra[at])
-
-    routes = numbered.select(F.col("uid").alias("id"), F.xxhash64("group").alias("g"), "text").mapInArrow(route, routes_schema(GROUPS // 64))
+    def route(prefixes: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, whole.num_rows, SLICE):
+                    b = whole.slice(i, SLICE)
+                    raw, lengths = flat(b.column("text"))
+                    texts, codes = gram_sets(raw, lengths)
+                    words, extra = count_vectors(texts, codes, b.num_rows)
+                    size = np.bincount(texts, minlength=b.num_rows)
+                    group = b.column("g").to_numpy()
+                    at, key = routing_keys(raw, lengths, known.value, share) if prefixes else (np.arange(b.num_rows), np.uint64(0))
+                    key = mix(key ^ mix(group[at], seed=3))
+                    yield routes_batch(key, np.zeros(len(at)), b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+
+        return run
+
+    hashed = numbered.select(F.col("uid").alias("id"), F.xxhash64("group").alias("g"), "text")
+    short, points = (hashed.mapInArrow(route(x), routes_schema(GROUPS // 64)) for x in (True, False))
     tree = lambda p, rows, cross, test: CountRTree(p, rows).joined(share, test, p, cross)
-    pairs = meet(routes, False, overlap_test(share), tree)
+    bound = overlap_test(share)
+    pairs = meet(short, False, bound, tree).unionByName(meet_sizes(points, False, share, long_size(share), bound))
     by_uid = numbered.select(F.col("uid").alias("id"), "text")
     linked = with_similarity(pairs, by_uid, by_uid, share, similarities)
     left = numbered.select(F.col("uid").alias("a"), "group", F.col("id").alias("ia"))

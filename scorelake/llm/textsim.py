@@ -17,10 +17,8 @@ _DIGIT = np.zeros(256, np.int64)
 for _i, _c in enumerate(b" abcdefghijklmnopqrstuvwxyz0123456789"):
     _DIGIT[_c] = _i
 
-#: A text is routed by WINDOWS of its windows of WINDOW characters, those of rarest 3-grams. A 3-gram in less than FLOOR of
-#: the texts counts as in FLOOR of them, so that typing errors don't crowd out what two texts share.
-WINDOW, WINDOWS, FLOOR = 6, 32, 0.002
-#: Texts of fewer grams are also routed by the prefix filter on 3-grams, which misses nothing.
+#: Two texts of fewer than SHORT / share grams meet by the prefix filter on 3-grams, others by size (blocks.meet_sizes);
+#: neither misses a pair.
 SHORT = 64
 SLICE = 2000
 
@@ -102,41 +100,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def routing_keys(raw: np.ndarray, lengths: np.ndarray, counts: np.ndarray, texts: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key): the keys under which a text meets others. Each text's keys are distinct.
+def long_size(share: float) -> int:
+    """The number of grams from which a text isn't short."""
+    return math.ceil(SHORT / share)
 
-    Windows: of each text the WINDOWS ones whose 3-grams are rarest, in an order that is the same for all texts.
-    Short texts (also): the rarest 3-grams that every text at least ``share`` alike must have one of.
-    """
-    weight = np.log(max(texts, 1) / np.maximum(counts, max(1.0, FLOOR * texts)))
-    text, left, code = _positions(raw, lengths)
-    n = len(raw)
-    d = np.r_[_DIGIT[raw], np.zeros(WINDOW, np.int64)].astype(np.uint64)
-    w = np.r_[weight[code], np.zeros(WINDOW)]
-    window, rarity = np.zeros(n, np.uint64), np.zeros(n)
-    for j in range(WINDOW):
-        window = window * np.uint64(SYMBOLS) + d[j : j + n]
-    for j in range(WINDOW - 2):
-        rarity += w[j : j + n]
-    ok = left >= WINDOW
-    t, k, r = text[ok], mix(window[ok]), np.round(rarity[ok], 1)
-    o = np.lexsort((k, -r, t))
-    t, k = t[o], k[o]
-    new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])] if len(t) else np.empty(0, bool)
-    t, k = t[new], k[new]
-    rank = np.arange(len(t)) - np.searchsorted(t, t)
-    t, k = t[rank < WINDOWS], k[rank < WINDOWS]
 
+def routing_keys(raw: np.ndarray, lengths: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key): the keys under which a short text meets others: its rarest 3-grams, so many that every text at least
+    ``share`` alike, if short too, has one of them among its own. Each text's keys are distinct."""
     gt, gc = gram_sets(raw, lengths)
     size = np.bincount(gt, minlength=len(lengths))
-    few = size[gt] < math.ceil(SHORT / share)
+    few = size[gt] < long_size(share)
     gt, gc = gt[few], gc[few]
     o = np.lexsort((gc, counts[gc], gt))
     gt, gc = gt[o], gc[o]
     rank = np.arange(len(gt)) - np.searchsorted(gt, gt)
     prefix = size[gt] - np.ceil(share * size[gt] - 1e-9).astype(np.int64) + 1
     gt, gc = gt[rank < prefix], gc[rank < prefix]
-    return np.r_[t, gt], np.r_[k, mix(gc, seed=1)]
+    return gt, mix(gc, seed=1)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:

@@ -131,6 +131,22 @@ def test_cross_split_same_grams(spark):
     assert got == [(1, 11), (2, 12), (2, 13), (3, 12), (3, 13), (4, 14)]
 
 
+def test_long_texts_with_insertions(spark, monkeypatch):
+    """Inserted or appended rare text doesn't part a long text from its original; chunks of bands are split."""
+    monkeypatch.setattr(blocks, "CHUNK", 9)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(90)]
+    bases = ["which of the " + " ".join(rng.choices(words, k=rng.randint(14, 30))) for _ in range(40)]
+    junk = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    changed = [f"{t} {junk(48)}" if i % 2 else f"{t[:50]} {junk(40)} {t[50:]}" for i, t in enumerate(bases)]
+    left, right = list(enumerate(bases)), [(100 + i, t) for i, t in enumerate(changed)]
+    want = {(i, j) for i, t in left for j, u in right if alike(t, u) >= 0.65}
+    assert len(want) > 20
+    assert pairs(spark, [("g", *r) for r in left + right]) == brute([("g", *r) for r in left + right])
+    l, r = (spark.createDataFrame([(*x, None) for x in side], "i bigint, t string, q string") for side in (left, right))
+    assert {(x["a"], x["b"]) for x in cross_split_overlaps(l, "i", r, "i", "t", canonical_query(F.col("q"))).collect()} == want
+
+
 def test_cross_split_of_the_tables(spark):
     from scorelake.llm.canonical_queries import CANON_SQL
     from scorelake.llm.overlap_queries import p4_found
