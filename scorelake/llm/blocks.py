@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,28 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.textsim import flat
 from scorelake.session import cut
 
-#: A key with more records than HOT is split into sub-blocks of CHUNK against CHUNK records.
+#: A key with more records than HOT gives way to more specific keys of its records, STEP more hashes each, up to LEVELS
+#: times; then its records are split into sub-blocks of CHUNK against CHUNK.
 HOT, CHUNK = 4096, 2048
-#: Blocks up to this size are taken together; larger ones go to the tree one by one.
-LEAF = 32
+STEP, LEVELS = 2, 3
 #: Bands of size to the ratio of sizes that a share allows: more of them leave out more pairs and repeat each record more often.
 BANDS = 4
 _BUFFER = 100_000
 _PAIRS = 500_000
 
 
-def routes_schema(words: int) -> str:
-    """Columns of routes: key, half, id, size, the words of the point or fingerprint, and what lies beyond its bits."""
-    return "key bigint, half int, id bigint, size int, " + ", ".join(f"w{i} bigint" for i in range(words)) + ", extra int"
+#: Columns of routes: key, half, id, size, the words of the point or fingerprint, what lies beyond its bits, and whether the
+#: key may have many records.
+ROUTES = "key bigint, half int, id bigint, size int, words binary, extra int, often boolean"
 
 
-def routes_batch(key: np.ndarray, half: np.ndarray, ids: np.ndarray, size: np.ndarray, words: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+def routes_batch(key: np.ndarray, half: np.ndarray, ids: np.ndarray, size: np.ndarray, words: np.ndarray, extra: np.ndarray, often: np.ndarray | None = None) -> pa.RecordBatch:
     small = lambda x: pa.array(x.astype(np.int32))
-    w = words.view(np.int64)
-    columns = [pa.array(key.view(np.int64)), small(half), pa.array(ids), small(size), *[pa.array(np.ascontiguousarray(w[:, i])) for i in range(w.shape[1])], small(extra)]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in routes_schema(w.shape[1]).split(", ")])
+    n, width = len(key), words.shape[1] * 8
+    ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1])
+    binary = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(words))])
+    columns = [pa.array(key.view(np.int64)), small(half), pa.array(ids), small(size), binary, small(extra), pa.array(np.ones(n, bool) if often is None else often)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROUTES.split(", ")])
 
 
 class Points:
@@ -42,36 +44,21 @@ class Points:
         self.ids, self.size, self.words, self.extra, self.half = ids, size, words, extra, half
 
 
-def _small(starts: np.ndarray, n: int, cross: np.ndarray, p: Points, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of the blocks of n rows at ``starts``, tested."""
-    i, j = np.triu_indices(n, 1)
-    step = max(1, _PAIRS // max(1, len(i)))
-    for s in range(0, len(starts), step):
-        at = starts[s : s + step]
-        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        across = np.repeat(cross[s : s + step], len(i))
-        keep = ~across | (p.half[a] != p.half[b])
-        a, b = a[keep], b[keep]
-        ok = test(p, a, b)
-        yield a[ok], b[ok]
-
-
-def block_join(batches: Iterator[pa.RecordBatch], test: Callable, tree: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, lo, hi), a block each; gives (a, b) of the pairs that pass. Blocks are at most HOT rows."""
+def block_join(batches: Iterator[pa.RecordBatch], test: Callable, join: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, lo, hi), a block each; gives (a, b) of the pairs that pass. ``join`` has the blocks' ends and
+    which of them hold two halves to be paired with each other."""
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda c: rows.column(c).to_numpy()
-        words = np.stack([col(c).view(np.uint64) for c in rows.column_names if re.fullmatch(r"w\d+", c)], axis=1)
+        key, lo, hi = col("key"), col("lo"), col("hi")
+        same = np.r_[False, (key[1:] == key[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])]
+        rows = rows.filter(pa.array(same | np.r_[same[1:], False])).combine_chunks()  # of keys with two records at least
+        if not rows.num_rows:
+            return
+        new, across = np.flatnonzero(~same[same | np.r_[same[1:], False]]), col("across")
+        words = np.frombuffer(flat(rows.column("words").chunk(0))[0], np.uint64).reshape(rows.num_rows, -1)
         p = Points(col("id"), col("size"), words, col("extra"), col("half"))
-        key, lo, hi, across = col("key"), col("lo"), col("hi"), col("across")
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        n = np.diff(np.r_[new, len(key)])
-        found = []
-        for k in np.unique(n[(n > 1) & (n <= LEAF)]):
-            at = new[n == k]
-            found += list(_small(at, k, across[at], p, test))
-        for at, k in zip(new[n > LEAF], n[n > LEAF]):
-            found += list(tree(p, np.arange(at, at + k), bool(across[at]), test))
+        found = list(join(p, np.r_[new, rows.num_rows], across[new], test))
         if not found:
             return
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -101,26 +88,63 @@ def block_join(batches: Iterator[pa.RecordBatch], test: Callable, tree: Callable
         yield from pairs(pa.Table.from_batches(kept).combine_chunks())
 
 
-def all_pairs(p: Points, rows: np.ndarray, cross: bool, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of one block in stretches: what a tree does without bounds."""
-    left = rows[p.half[rows] == 0] if cross else rows
-    right = rows[p.half[rows] == 1] if cross else rows
-    step = max(1, _PAIRS // max(1, len(right)))
-    for s in range(0, len(left), step):
-        a, b = np.repeat(left[s : s + step], len(right)), np.tile(right, len(left[s : s + step]))
-        if not cross:
-            keep = a < b
-            a, b = a[keep], b[keep]
+def all_pairs(p: Points, ends: np.ndarray, across: np.ndarray, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each block in stretches of up to _PAIRS: what a tree does without bounds."""
+    n = np.diff(ends)
+    own = np.arange(ends[0], ends[-1])
+    later = np.repeat(ends[1:], n) - own - 1  # partners of each row
+    done = np.r_[0, np.cumsum(later)]
+    s = 0
+    while s < len(own):
+        t = max(s + 1, int(np.searchsorted(done, done[s] + _PAIRS, side="right")) - 1)
+        a = np.repeat(own[s:t], later[s:t])
+        b = a + 1 + np.arange(len(a)) - np.repeat(done[s:t] - done[s], later[s:t])
+        two = np.repeat(np.repeat(across, n)[s:t], later[s:t])
+        keep = ~two | (p.half[a] != p.half[b])
+        a, b = a[keep], b[keep]
         ok = test(p, a, b)
         yield a[ok], b[ok]
+        s = t
 
 
-def meet(routes: DataFrame, two: bool, test: Callable, tree: Callable = all_pairs) -> DataFrame:
-    """(a, b): the distinct pairs of ids that share a key and pass ``test``; a < b, or with ``two`` a of half 0, b of half 1.
+def meet_keys(texts: DataFrame, route: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
+    """(a, b): the distinct pairs of ids of ``texts`` that share a key and pass ``test``; a < b, or with ``two`` a of half 0, b of half 1.
 
-    ``routes`` has the columns of routes_schema(). Keys of one record (or of one half) are dropped by a count with map-side combine.
-    A key of more than HOT records is split: its records go to chunks by hash, and every pair of chunks is a sub-block of
-    its own, so no task holds more than 2 * CHUNK records of a key, and no pair is lost.
+    ``route(more)`` makes the batch function from texts to rows of ROUTES and "often" (false: the key can't have more
+    than HOT records), with keys of ``more`` hashes above the usual; n is the number of texts. A record of a key with more than
+    HOT records takes part anew, with all other such records, under more specific keys, which miss a pair no more often than
+    the first ones. What is hot after LEVELS such steps is joined whole, in sub-blocks (meet).
+    """
+    found = None
+    for level in range(LEVELS + 1):
+        routes = texts.mapInArrow(route(level * STEP), ROUTES)
+        last = level == LEVELS
+        hot = None
+        if n > HOT:
+            hot = cut(routes.where("often").groupBy("key").count().where(f"count > {HOT}").select(F.col("key").alias("k")))
+            hot = None if hot.isEmpty() else hot
+        of_hot = F.col("key") == F.col("k")
+        cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
+        rows = cold.select("key", "half", "id", "size", "words", "extra").repartition("key").sortWithinPartitions("key")
+        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "across": F.lit(two), "two": F.lit(two)})
+        pairs = rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint")
+        found = pairs if found is None else found.unionByName(pairs)
+        if hot is None:
+            break
+        if last:
+            found = found.unionByName(meet(routes.join(hot, of_hot, "left_semi"), two, test, join))
+            break
+        texts = cut(texts.join(routes.join(hot, of_hot, "left_semi").select(F.col("id").alias("i"), F.col("half").alias("h")).distinct(), F.expr("id = i and half = h"), "left_semi"))
+        n = texts.count()
+    return found.distinct()
+
+
+def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
+    """(a, b) as of meet_keys, from routes as they are, without a loss.
+
+    Keys of one record (or of one half) are dropped by a count with map-side combine. A key of more than HOT records is
+    split: its records go to chunks by hash, and every pair of chunks is a sub-block of its own, so no task holds more than
+    2 * CHUNK records of a key at once, and no pair is lost.
     """
     routes = cut(routes)
     count = routes.groupBy("key").agg(F.sum(F.expr("if(half = 0, 1, 0)")).alias("n0"), F.sum("half").alias("n1"))
@@ -142,16 +166,16 @@ def meet(routes: DataFrame, two: bool, test: Callable, tree: Callable = all_pair
         )
         one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("half"), F.lit(False).alias("across")))
     rows = rows.withColumn("s", F.explode(F.when(hot, subs).otherwise(one)))
-    rows = rows.select("key", "s.lo", "s.hi", "s.half", "s.across", "id", "size", *[c for c in rows.columns if re.fullmatch(r"w\d+", c)], "extra", F.lit(two).alias("two"))
+    rows = rows.select("key", "s.lo", "s.hi", "s.half", "s.across", "id", "size", "words", "extra", F.lit(two).alias("two"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.mapInArrow(lambda it: block_join(it, test, tree), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint").distinct()
 
 
 def bounded_pairs(share: float) -> Callable:
     """The pairs of one block whose points allow ``share``, by products of matrices: common bits plus the mean of what lies
     beyond them, no less than the bound of near_duplicates.overlap_test, which is asked for what passes."""
 
-    def join(p: Points, rows: np.ndarray, cross: bool, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def one_block(p: Points, rows: np.ndarray, cross: bool, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         bits = np.unpackbits(np.ascontiguousarray(p.words[rows]).view(np.uint8), axis=1).astype(np.float32)
         need = (p.extra[rows] / 2 - share / (1 + share) * p.size[rows]).astype(np.float32)[:, None]
         one = np.ones_like(need)
@@ -168,6 +192,10 @@ def bounded_pairs(share: float) -> Callable:
             ok = test(p, a, b)
             yield a[ok], b[ok]
 
+    def join(p: Points, ends: np.ndarray, across: np.ndarray, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j, cross in zip(ends[:-1], ends[1:], across):
+            yield from one_block(p, np.arange(i, j), bool(cross), test)
+
     return join
 
 
@@ -175,7 +203,7 @@ def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Cal
     """(a, b): the pairs of ids of one key, one at least ``least`` in size, whose sizes allow ``share`` and that pass
     ``test``; a < b, or with ``two`` a of half 0, b of half 1. No pair is lost.
 
-    ``points`` has the columns of routes_schema(), a row for each record. Records stand in bands of size, bands in chunks of
+    ``points`` has the columns of ROUTES, a row for each record. Records stand in bands of size, bands in chunks of
     some CHUNK by hash; two chunks whose least and largest sizes allow the share are a block.
     """
     band = F.floor(F.log(F.col("size") / least) * (BANDS / -math.log(share)))
@@ -190,9 +218,8 @@ def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Cal
     end = lambda side, half: blocks.select("key", F.col(f"half_{side}").alias("half"), F.col(f"chunk_{side}").alias("chunk"), F.col("chunk_x").alias("lo"), F.col("chunk_y").alias("hi"), F.lit(half).alias("to"))
     ends = end("x", 0).unionByName(end("y", 1) if two else end("y", 1).where("lo <> hi"))
     placed = points.join(bands.select(*own, "parts"), own).withColumn("chunk", chunk(F.pmod(F.xxhash64("id"), "parts")))
-    words = [c for c in points.columns if re.fullmatch(r"w\d+", c)]
     across = F.lit(True) if two else F.col("lo") != F.col("hi")
-    rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", F.col("to").alias("half"), across.alias("across"), "id", "size", *words, "extra", F.lit(two).alias("two"))
+    rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", F.col("to").alias("half"), across.alias("across"), "id", "size", "words", "extra", F.lit(two).alias("two"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     join = bounded_pairs(share)
     return rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint").distinct()

@@ -9,50 +9,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import Points, meet, meet_sizes, routes_batch, routes_schema, with_similarity
+from scorelake.llm import blocks
+from scorelake.llm.blocks import ROUTES, Points, meet_keys, meet_sizes, routes_batch, with_similarity
 from scorelake.llm.canonical import canonical_groups
-from scorelake.llm.near_duplicates import GROUPS, count_vectors, overlap_test
-from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, long_size, mix, normal, popcount, routing_keys, similarities
+from scorelake.llm.near_duplicates import count_vectors, overlap_test
+from scorelake.llm.textsim import MISS, SLICE, KeyPlan, background, flat, gram_counts, gram_sets, hash_table, keys_of, least_hashes, normal, popcount, similarities
 from scorelake.session import cut
 
-#: Bits of a fingerprint, and the distance within which two are compared further. Questions made unlike by random typing
-#: errors down to 65 % differ in 75 bits on average and 94 at the 99th percentile; the tables' links in 77 at most; unrelated
-#: questions in 124 on average.
-BITS, RADIUS = 256, 100
-#: A 3-gram in less than FLOOR of the texts weighs as one in FLOOR of them.
-FLOOR = 0.002
-#: Texts whose hashes are made together.
-TOGETHER = 200
+#: Bits of a fingerprint.
+BITS = 256
 #: Copies up to which each dev copy is paired with each train copy; beyond it, each with the other side's smallest id.
 ALL_PAIRS = 1000
 
 
-def fingerprints(texts: np.ndarray, codes: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
-    """The similarity hash of each of n texts as 4 words: of each bit the sign of the sum, over the text's 3-grams, of the
-    gram's weight times a sign drawn by its hash."""
-    out = np.zeros((n, BITS), bool)
-    used, where = np.unique(codes, return_inverse=True)
-    words = np.stack([mix(used, seed=100 + i) for i in range(BITS // 64)], axis=1)
-    signs = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-    weights = weight[used].astype(np.float32)
-    for s in range(0, n, TOGETHER):  # a matrix of texts by the grams they hold, times the signs
-        lo, hi = np.searchsorted(texts, [s, min(n, s + TOGETHER)])
-        if lo < hi:
-            own, column = np.unique(where[lo:hi], return_inverse=True)
-            held = np.zeros((TOGETHER, len(own)), np.float32)
-            held[texts[lo:hi] - s, column] = weights[where[lo:hi]]
-            out[s : s + TOGETHER] = ((held @ signs[own]) > 0)[: n - s]
-    return np.packbits(out, axis=1).view(np.uint64)
+def fingerprints(values: np.ndarray) -> np.ndarray:
+    """The similarity hash of each text as words: a bit of each of its first BITS least hashes.
+
+    Of two texts a bit differs with half the chance that the least hashes do: the Hamming distance counts unlike 3-grams.
+    """
+    return np.packbits((values[:, :BITS] * np.uint16(0x9E37)) >> np.uint16(15), axis=1).view(np.uint64)
+
+
+def radius(share: float) -> int:
+    """The Hamming distance beyond which fingerprints of texts just ``share`` alike lie with a chance of at most MISS."""
+    p = (1 - share) / 2
+    beyond, term = 1.0, (1 - p) ** BITS
+    for d in range(BITS):
+        beyond -= term
+        if beyond <= MISS:
+            return d
+        term *= (BITS - d) / (d + 1) * p / (1 - p)
+    return BITS
 
 
 def fingerprint_test(share: float) -> Callable:
-    """Passes pairs of fingerprints within RADIUS whose sizes and gram counts, the words after the fingerprint's, allow ``share``."""
-    bound = overlap_test(share, BITS // 64)
+    """Passes pairs of fingerprints within the radius whose sizes allow ``share``."""
+    far = radius(share)
 
     def test(p: Points, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = popcount(p.words[a, : BITS // 64] ^ p.words[b, : BITS // 64]) <= RADIUS
-        near = np.flatnonzero(ok)
-        ok[near] = bound(p, a[near], b[near])
+        x, y = p.size[a], p.size[b]
+        ok = np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9
+        at = np.flatnonzero(ok)
+        ok[at] = popcount(p.words[a[at]] ^ p.words[b[at]]) <= far
         return ok
 
     return test
@@ -68,40 +66,49 @@ def _texts(records: DataFrame, half: int) -> DataFrame:
     return records.where("text is not null").groupBy("text").agg(F.min("id").alias("id")).withColumn("half", F.lit(half))
 
 
-def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65) -> DataFrame:
+def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65, exact: bool = False) -> DataFrame:
     """a, b, share: pairs of a text of left and one of right (each by its smallest id) at least ``share`` alike, equal ones included.
 
-    left and right have id and text (normal form). The fingerprints of short texts are joined in code blocks, the hashes of
-    the rarest 3-grams (textsim.routing_keys); those that share a block and lie within the Hamming radius are bounded by their
-    gram counts (near_duplicates.count_vectors). Pairs with a longer text meet by size (blocks.meet_sizes) under the same
-    bound, whatever their fingerprints. Survivors are verified on the whole texts.
+    left and right have id and text (normal form). The code of a text is its row of least hashes; its fingerprint has a bit
+    of each. Codes are joined in segments (textsim.KeyPlan); pairs that share a segment and lie within the Hamming radius are
+    verified on the whole texts. A pair just ``share`` alike is missed by either with a chance of at most textsim.MISS, one
+    more alike with less, whatever the length of the texts and the kind of edit. ``exact``: every two texts whose sizes allow
+    ``share`` are held against the bound of their gram counts (blocks.meet_sizes); the work grows with the square of the number
+    of texts.
     """
     sides = cut(_texts(left, 0).unionByName(_texts(right, 1)))
-    counts, total = gram_counts(sides, "text"), sides.count()
-    known = sides.sparkSession.sparkContext.broadcast(counts)  # CODES numbers, whatever the corpus
+    n = sides.count()
+    counts = gram_counts(sides, "text")
+    alike = background(counts, n)
+    often = sides.sparkSession.sparkContext.broadcast(counts > blocks.HOT)  # CODES flags, whatever the corpus
+
+    def route(more: int | None) -> Callable:
+        plan = KeyPlan(n, share, alike, more or 0)
 
-    def route(prefixes: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight = np.log(max(total, 1) / np.maximum(known.value, max(1.0, FLOOR * total))) + 1e-3
             for whole in batches:
                 for i in range(0, whole.num_rows, SLICE):
                     b = whole.slice(i, SLICE)
-                    raw, lengths = flat(b.column("text"))
-                    texts, codes = gram_sets(raw, lengths)
-                    words, extra = count_vectors(texts, codes, b.num_rows)
+                    texts, codes = gram_sets(*flat(b.column("text")))
+                    ids, half = b.column("id").to_numpy(), b.column("half").to_numpy()
                     size = np.bincount(texts, minlength=b.num_rows)
-                    at, key = np.arange(b.num_rows), np.zeros(b.num_rows, np.uint64)
-                    if prefixes:
-                        words = np.concatenate([fingerprints(texts, codes, b.num_rows, weight), words], axis=1)
-                        at, key = routing_keys(raw, lengths, known.value, share)
-                    yield routes_batch(key, b.column("half").to_numpy()[at], b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+                    if more is None:
+                        words, extra = count_vectors(texts, codes, b.num_rows)
+                        yield routes_batch(np.zeros(b.num_rows, np.uint64), half, ids, size, words, extra)
+                        continue
+                    at, values = least_hashes(texts, codes, hash_table(max(BITS, plan.n_keys * plan.n_values), often.value))
+                    key, hot = keys_of(values, plan)
+                    row = np.repeat(np.arange(len(at)), plan.n_keys)
+                    at = at[row]
+                    yield routes_batch(key.ravel(), half[at], ids[at], size[at], fingerprints(values)[row], np.zeros(len(at)), hot.ravel())
 
         return run
 
     texts = sides.select("id", "half", "text")
-    short = texts.mapInArrow(route(True), routes_schema((BITS + GROUPS) // 64))
-    points = texts.mapInArrow(route(False), routes_schema(GROUPS // 64))
-    pairs = meet(short, True, fingerprint_test(share)).unionByName(meet_sizes(points, True, share, long_size(share), overlap_test(share)))
+    if exact:
+        pairs = meet_sizes(texts.mapInArrow(route(None), ROUTES), True, share, 1, overlap_test(share))
+    else:
+        pairs = meet_keys(texts, route, n, True, fingerprint_test(share))
     near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     # different texts may have the same 3-grams: share 1 doesn't mean equal
@@ -128,14 +135,14 @@ def expand(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return full.unionByName(many_a).unionByName(many_b)
 
 
-def cross_split_overlaps(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text: str, canon: Column, share: float = 0.65) -> DataFrame:
+def cross_split_overlaps(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text: str, canon: Column, share: float = 0.65, exact: bool = False) -> DataFrame:
     """left_id, right_id as (a, b): pairs of a record of left and one of right whose texts are at least ``share`` alike or
     whose canonical queries are the same.
 
-    Null texts, queries and ids are no case. Repeated rows count once; extra columns aren't read. An empty side gives none.
+    ``exact`` and the chance of a miss without it: see near_texts. Null texts, queries and ids are no case. Repeated rows count once; extra columns aren't read. An empty side gives none.
     """
     one, two = read_once(left, left_id, text, canon), read_once(right, right_id, text, canon)
-    by_text = expand(cut(near_texts(one, two, share)), _copies(one, "text"), _copies(two, "text"))
+    by_text = expand(cut(near_texts(one, two, share, exact)), _copies(one, "text"), _copies(two, "text"))
     # equal queries: the groups of both sides meet on their canonical bytes, a fingerprint of distance 0
     groups = [canonical_groups(side, "id", F.col("canon")) for side in (one, two)]
     same = groups[0].select("canon", F.col("keep_id").alias("a")).join(groups[1].select("canon", F.col("keep_id").alias("b")), "canon").select("a", "b")

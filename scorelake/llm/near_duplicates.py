@@ -9,13 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.blocks import LEAF, Points, meet, meet_sizes, routes_batch, routes_schema, with_similarity
+from scorelake.llm import blocks
+from scorelake.llm.blocks import ROUTES, Points, meet_keys, meet_sizes, routes_batch, with_similarity
 from scorelake.llm.components import connected_components
-from scorelake.llm.textsim import SLICE, flat, gram_counts, gram_sets, long_size, mix, normal, popcount, routing_keys, similarities
+from scorelake.llm.textsim import SLICE, KeyPlan, background, flat, gram_counts, gram_sets, hash_table, keys_of, least_hashes, mix, normal, popcount, similarities
+from scorelake.session import cut
 
 #: Groups that 3-grams are hashed into: the dimensions of a point.
 GROUPS = 512
-FANOUT = 8
+#: Points of a leaf, and nodes of a node. Every block is a tree, whatever its size.
+LEAF, FANOUT = 4, 4
+#: Pairs of nodes that are opened together.
+_FRONTIER = 20_000
 #: Copies of one text up to which each two are a pair; in larger classes each copy is paired with the class's smallest id.
 ALL_PAIRS = 1000
 
@@ -32,59 +37,62 @@ def count_vectors(texts: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndar
 
 
 class CountRTree:
-    """A bulk-loaded R-tree of points. A node's box has the largest count of each group as its upper corner,
+    """Bulk-loaded R-trees of points, one for each block. A node's box has the largest count of each group as its upper corner,
     and the range of the sizes; two sets share at most the sum of the minima of the upper corners."""
 
-    def __init__(self, p: Points, rows: np.ndarray):
-        self.rows = rows[np.lexsort((p.words[rows, 1], p.words[rows, 0], p.size[rows]))]
+    def __init__(self, p: Points, ends: np.ndarray):
+        block = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        own = np.arange(ends[0], ends[-1])
+        self.rows = own[np.lexsort((p.words[own, 1], p.words[own, 0], p.size[own], block))]
         words, extra, low = p.words[self.rows], p.extra[self.rows], p.size[self.rows]
-        self.levels = []  # of nodes, lowest first: upper corner, most beyond its bits, least size
-        n, width = len(rows), LEAF
+        self.levels = []  # of nodes, lowest first: upper corner, most beyond its bits, least size; ends of their children
+        ends, width = ends - ends[0], LEAF
         while True:
-            at = np.arange(0, n, width)
+            n = -(-np.diff(ends) // width)  # nodes of each tree
+            block = np.repeat(np.arange(len(n)), n)
+            top = np.r_[0, np.cumsum(n)]
+            at = ends[block] + (np.arange(top[-1]) - top[block]) * width
             words, extra, low = np.bitwise_or.reduceat(words, at, axis=0), np.maximum.reduceat(extra, at), np.minimum.reduceat(low, at)
-            self.levels.append((words, extra, low))
-            n, width = len(at), FANOUT
-            if n == 1:
+            self.levels.append((words, extra, low, np.r_[at, ends[-1]]))
+            ends, width = top, FANOUT
+            if n.max() == 1:
                 return
 
-    def joined(self, share: float, test: Callable, p: Points, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs of points that pass, found by descending from the root with pairs of nodes whose bound passes."""
-        a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            words, extra, low = self.levels[level]
+    def joined(self, share: float, test: Callable, p: Points, across: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of points that pass, found by descending from the roots with pairs of nodes whose bound passes."""
+        stack = [(len(self.levels) - 1, np.arange(len(across)), np.arange(len(across)), np.arange(len(across)))]
+        while stack:
+            level, a, b, tree = stack.pop()
+            words, extra, low, children = self.levels[level]
             most = popcount(words[a] & words[b]) + np.minimum(extra[a], extra[b])
-            ok = most >= np.ceil(share / (1 + share) * (low[a] + low[b]) - 1e-9)
-            a, b = a[ok], b[ok]
-            if not len(a):
-                return
-            if level:
-                a, b = _children(a, b, FANOUT, len(self.levels[level - 1][0]))
-        for s in range(0, len(a), 256):
-            x, y = _children(a[s : s + 256], b[s : s + 256], LEAF, len(self.rows), strict=True)
-            x, y = self.rows[x], self.rows[y]
-            if cross:
-                keep = p.half[x] != p.half[y]
+            ok = most >= np.ceil(share / (1 + share) * (low[a].astype(np.int64) + low[b]) - 1e-9)
+            a, b, tree = a[ok], b[ok], tree[ok]
+            width = FANOUT if level else LEAF
+            for s in range(0, len(a), _FRONTIER):
+                t = tree[s : s + _FRONTIER]
+                x, y, t = _children(a[s : s + _FRONTIER], b[s : s + _FRONTIER], t, children, width, strict=not level)
+                if level:
+                    stack.append((level - 1, x, y, t))
+                    continue
+                x, y = self.rows[x], self.rows[y]
+                keep = ~across[t] | (p.half[x] != p.half[y])
                 x, y = x[keep], y[keep]
-            ok = test(p, x, y)
-            yield x[ok], y[ok]
+                ok = test(p, x, y)
+                yield x[ok], y[ok]
 
 
-def _children(a: np.ndarray, b: np.ndarray, width: int, n: int, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _children(a: np.ndarray, b: np.ndarray, tree: np.ndarray, ends: np.ndarray, width: int, strict: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     i, j = (x.ravel() for x in np.meshgrid(np.arange(width), np.arange(width)))
-    x, y = (a[:, None] * width + i).ravel(), (b[:, None] * width + j).ravel()
-    keep = (x < n) & (y < n) & ((x < y) if strict else (x <= y))
-    return x[keep], y[keep]
-
+    x, y = ends[a][:, None] + i, ends[b][:, None] + j
+    keep = (x < ends[a + 1][:, None]) & (y < ends[b + 1][:, None]) & ((x < y) if strict else (x <= y))
+    return x[keep], y[keep], np.broadcast_to(tree[:, None], x.shape)[keep]
 
-def overlap_test(share: float, first: int = 0) -> Callable:
-    """Passes pairs whose bound on the overlap, the summed minima of their counts, reaches what ``share`` asks for.
 
-    The points are the words from ``first`` on.
-    """
+def overlap_test(share: float) -> Callable:
+    """Passes pairs whose bound on the overlap, the summed minima of their counts, reaches what ``share`` asks for."""
 
     def test(p: Points, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = popcount(p.words[a, first:] & p.words[b, first:]) + np.minimum(p.extra[a], p.extra[b])
+        most = popcount(p.words[a] & p.words[b]) + np.minimum(p.extra[a], p.extra[b])
         return most >= np.ceil(share / (1 + share) * (p.size[a].astype(np.int64) + p.size[b]) - 1e-9)
 
     return test
@@ -103,18 +111,24 @@ def members(records: DataFrame, group: str, record_id: str, text: str, reps: Dat
     return base.join(many, (F.col("group") == F.col("g")) & (F.col("text") == F.col("t"))).select("group", "rep", F.col("member").alias("id"), "n_copies").distinct()
 
 
-def near_links(reps: DataFrame, share: float = 0.65) -> DataFrame:
-    """group, a, b, share: pairs of representatives (a < b) of one group whose texts are at least ``share`` alike.
+def near_links(reps: DataFrame, share: float = 0.65, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """reps with uid, a number for each, and a, b, share: pairs of uids of one group whose texts are at least ``share`` alike.
 
-    Short texts meet under the keys of textsim.routing_keys; a block of texts that share a key is joined by a CountRTree, which
-    drops pairs of nodes and points whose summed minima can't reach ``share``. Pairs with a longer text meet by size
-    (blocks.meet_sizes) under the same bound. Survivors are verified on the whole texts.
+    Texts meet under keys of least hashes (textsim.KeyPlan: a pair just ``share`` alike is missed with a chance of
+    textsim.MISS at most, one more alike with less, whatever the length of the texts and the kind of edit), or, if
+    ``exact``, by size, every two whose sizes allow it (blocks.meet_sizes): work that grows with the square of the number
+    of texts. The records of a key are a CountRTree, which drops pairs of nodes and points whose summed minima can't reach
+    ``share``. Survivors are verified on the whole texts.
     """
-    numbered = cut_ids(reps)
+    numbered = cut(reps.withColumn("uid", F.monotonically_increasing_id()))
+    n = numbered.count()
     counts = gram_counts(numbered, "text")
-    known = numbered.sparkSession.sparkContext.broadcast(counts)  # CODES numbers, whatever the corpus
+    alike = background(counts, n)
+    often = numbered.sparkSession.sparkContext.broadcast(counts > blocks.HOT)  # CODES flags, whatever the corpus
+
+    def route(more: int | None) -> Callable:
+        plan = KeyPlan(n, share, alike, more or 0)
 
-    def route(prefixes: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for i in range(0, whole.num_rows, SLICE):
@@ -123,31 +137,28 @@ def near_links(reps: DataFrame, share: float = 0.65) -> DataFrame:
                     texts, codes = gram_sets(raw, lengths)
                     words, extra = count_vectors(texts, codes, b.num_rows)
                     size = np.bincount(texts, minlength=b.num_rows)
-                    group = b.column("g").to_numpy()
-                    at, key = routing_keys(raw, lengths, known.value, share) if prefixes else (np.arange(b.num_rows), np.uint64(0))
-                    key = mix(key ^ mix(group[at], seed=3))
-                    yield routes_batch(key, np.zeros(len(at)), b.column("id").to_numpy()[at], size[at], words[at], extra[at])
+                    group, ids, half = b.column("g").to_numpy(), b.column("id").to_numpy(), np.zeros(b.num_rows)
+                    if more is None:
+                        yield routes_batch(mix(group, seed=3), half, ids, size, words, extra)
+                        continue
+                    at, values = least_hashes(texts, codes, hash_table(plan.n_keys * plan.n_values, often.value))
+                    key, hot = keys_of(values, plan, group[at])
+                    at = np.repeat(at, plan.n_keys)
+                    yield routes_batch(key.ravel(), half[at], ids[at], size[at], words[at], extra[at], hot.ravel())
 
         return run
 
-    hashed = numbered.select(F.col("uid").alias("id"), F.xxhash64("group").alias("g"), "text")
-    short, points = (hashed.mapInArrow(route(x), routes_schema(GROUPS // 64)) for x in (True, False))
-    tree = lambda p, rows, cross, test: CountRTree(p, rows).joined(share, test, p, cross)
+    hashed = numbered.select(F.col("uid").alias("id"), F.lit(0).alias("half"), F.xxhash64("group").alias("g"), "text")
     bound = overlap_test(share)
-    pairs = meet(short, False, bound, tree).unionByName(meet_sizes(points, False, share, long_size(share), bound))
+    if exact:
+        pairs = meet_sizes(hashed.mapInArrow(route(None), ROUTES), False, share, 1, bound)
+    else:
+        pairs = meet_keys(hashed, route, n, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
     by_uid = numbered.select(F.col("uid").alias("id"), "text")
     linked = with_similarity(pairs, by_uid, by_uid, share, similarities)
-    left = numbered.select(F.col("uid").alias("a"), "group", F.col("id").alias("ia"))
-    right = numbered.select(F.col("uid").alias("b"), F.col("group").alias("gb"), F.col("id").alias("ib"))
-    named = linked.join(left, "a").join(right, "b").where(F.col("group") == F.col("gb"))
-    return named.select("group", F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "share")
-
-
-def cut_ids(reps: DataFrame) -> DataFrame:
-    """reps with uid, a number of its own for each (group, id): a hash of both, written to the checkpoint folder."""
-    from scorelake.session import cut
-
-    return cut(reps.withColumn("uid", F.xxhash64("group", "id")))
+    # keys of two groups differ but for a clash of hashes, which this drops
+    groups = [numbered.select(F.col("uid").alias(x), F.col("group").alias("g" + x)) for x in "ab"]
+    return numbered, linked.join(groups[0], "a").join(groups[1], "b").where("ga <=> gb").select("a", "b", "share")
 
 
 def expand(links: DataFrame, copies: DataFrame) -> DataFrame:
@@ -166,30 +177,30 @@ def expand(links: DataFrame, copies: DataFrame) -> DataFrame:
     return across.unionByName(inside).unionByName(star).select("group", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicate_pairs(records: DataFrame, group: str, record_id: str, text: str, share: float = 0.65) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, group: str, record_id: str, text: str, share: float = 0.65, exact: bool = False) -> DataFrame:
     """group, id_a, id_b: records of one group whose texts are at least ``share`` alike (common / all 3-character
     substrings of the normal form, as sets), or equal in normal form.
 
-    Null texts and ids are no case. Texts without a 3-gram are alike only if equal. Repeated rows count once. Extra columns
+    ``exact`` and the chance of a miss without it: see near_links. Null texts and ids are no case. Texts without a 3-gram are alike only if equal. Repeated rows count once. Extra columns
     aren't read. An empty table gives none.
     """
     reps = classes(records, group, record_id, text)
-    return expand(near_links(reps, share), members(records, group, record_id, text, reps))
+    numbered, links = near_links(reps, share, exact)
+    left = numbered.select(F.col("uid").alias("a"), "group", F.col("id").alias("ia"))
+    right = numbered.select(F.col("uid").alias("b"), F.col("id").alias("ib"))
+    named = links.join(left, "a").join(right, "b").select("group", F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "share")
+    return expand(named, members(records, group, record_id, text, reps))
 
 
-def near_duplicate_groups(records: DataFrame, group: str, record_id: str, text: str, share: float = 0.65) -> DataFrame:
+def near_duplicate_groups(records: DataFrame, group: str, record_id: str, text: str, share: float = 0.65, exact: bool = False) -> DataFrame:
     """group, id, group_id, n_links: of each record with a text, the smallest id reached over links, and the links of its text."""
     reps = classes(records, group, record_id, text)
-    links = near_links(reps, share)
-    from scorelake.session import cut
-
-    named = cut(links)
-    edges = named.select(F.xxhash64("group", "a").alias("a"), F.xxhash64("group", "b").alias("b"))
-    root = connected_components(edges)
+    numbered, links = near_links(reps, share, exact)
+    links = cut(links)
     base = records.select(F.col(group).alias("group"), F.col(record_id).cast("bigint").alias("id"), normal(F.col(text)).alias("text")).where("text is not null and id is not null").distinct()
-    ends = named.select("group", F.explode(F.array("a", "b")).alias("e")).groupBy("group", "e").agg(F.count("*").alias("n_links"))
-    labelled = reps.withColumn("uid", F.xxhash64("group", "id")).join(root.withColumnRenamed("id", "uid"), "uid", "left")
-    least = labelled.groupBy("root").agg(F.min("id").alias("least")).where("root is not null").withColumnRenamed("root", "r")
-    placed = labelled.join(least, F.col("root") == F.col("r"), "left").join(ends.withColumnRenamed("group", "eg"), (F.col("group") == F.col("eg")) & (F.col("id") == F.col("e")), "left")
-    of = placed.select(F.col("group").alias("g"), F.col("text").alias("t"), F.coalesce("least", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return base.join(of, (F.col("group") == F.col("g")) & (F.col("text") == F.col("t"))).select("group", "id", "group_id", "n_links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
+    root = connected_components(links).withColumnRenamed("id", "uid")
+    labelled = numbered.join(root.join(ends, "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    least = labelled.groupBy("root").agg(F.min("id").alias("group_id"))
+    of = labelled.join(least, "root").select(F.col("group").alias("g"), F.col("text").alias("t"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return base.join(of, F.expr("group <=> g") & (F.col("text") == F.col("t"))).select("group", "id", "group_id", "n_links")

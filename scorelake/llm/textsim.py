@@ -1,4 +1,4 @@
-"""Texts as sets of 3-character substrings: normal form, codes, similarity, and routing keys. Vectorised with numpy."""
+"""Texts as sets of 3-character substrings: normal form, codes, similarity, least hashes and keys. Vectorised with numpy."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ _DIGIT = np.zeros(256, np.int64)
 for _i, _c in enumerate(b" abcdefghijklmnopqrstuvwxyz0123456789"):
     _DIGIT[_c] = _i
 
-#: Two texts of fewer than SHORT / share grams meet by the prefix filter on 3-grams, others by size (blocks.meet_sizes);
-#: neither misses a pair.
-SHORT = 64
+#: Chance that a pair just alike enough shares no key; a pair more alike has less.
+MISS = 1e-4
+#: Texts that a key of unrelated texts should hold on average.
+BLOCK = 100
 SLICE = 2000
 
 
@@ -100,24 +101,61 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def long_size(share: float) -> int:
-    """The number of grams from which a text isn't short."""
-    return math.ceil(SHORT / share)
-
-
-def routing_keys(raw: np.ndarray, lengths: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key): the keys under which a short text meets others: its rarest 3-grams, so many that every text at least
-    ``share`` alike, if short too, has one of them among its own. Each text's keys are distinct."""
-    gt, gc = gram_sets(raw, lengths)
-    size = np.bincount(gt, minlength=len(lengths))
-    few = size[gt] < long_size(share)
-    gt, gc = gt[few], gc[few]
-    o = np.lexsort((gc, counts[gc], gt))
-    gt, gc = gt[o], gc[o]
-    rank = np.arange(len(gt)) - np.searchsorted(gt, gt)
-    prefix = size[gt] - np.ceil(share * size[gt] - 1e-9).astype(np.int64) + 1
-    gt, gc = gt[rank < prefix], gc[rank < prefix]
-    return gt, mix(gc, seed=1)
+class KeyPlan:
+    """How texts meet: ``n_keys`` keys of ``n_values`` least hashes each.
+
+    A least hash of two sets is the same with the chance of their share of common grams, whatever their sizes and the kind
+    of edit, so a pair ``share`` alike misses all keys with a chance of at most MISS. The more texts, the more hashes a key
+    takes, until unrelated texts, ``background`` alike on average, come BLOCK to a key; keys then grow as
+    n ** (log(share) / log(background)), tests of pairs as n times that.
+    """
+
+    def __init__(self, n: int, share: float, background: float, more: int = 0):
+        self.n_values = more + max(1, math.ceil(math.log(max(n / BLOCK, 1)) / -math.log(min(max(background, 0.02), 0.5))))
+        self.n_keys = math.ceil(math.log(MISS) / math.log(1 - min(share, 0.999) ** self.n_values))
+
+
+def background(counts: np.ndarray, n: int) -> float:
+    """Common / all grams of two texts drawn at random, from the number of texts of each gram."""
+    f = counts / max(n, 1)
+    common = float(f @ f)
+    return common / max(2 * float(f.sum()) - common, 1e-9)
+
+
+_TABLES: dict[tuple, np.ndarray] = {}
+
+
+def hash_table(columns: int, often: np.ndarray) -> np.ndarray:
+    """16-bit hashes of each gram code, a column per hash function. The last bit tells the codes of ``often``."""
+    known = columns, often.tobytes()
+    if known not in _TABLES:
+        _TABLES.clear()
+        codes = np.arange(CODES, dtype=np.int64)
+        words = np.stack([mix(mix(codes, seed=1000 + i)) for i in range(-(-columns // 4))], axis=1)
+        _TABLES[known] = np.ascontiguousarray(words.view(np.uint16)[:, :columns] & np.uint16(0xFFFE) | often.astype(np.uint16)[:, None])
+    return _TABLES[known]
+
+
+def least_hashes(texts: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have grams, and of each the least value of every column of the table over its grams."""
+    at, first = np.unique(texts, return_index=True)
+    out = np.empty((len(at), table.shape[1]), np.uint16)
+    ends = np.r_[first[1:], len(texts)]
+    i = 0
+    while i < len(at):  # so many texts together that their hashes stay in the cache, one at least
+        j = max(i + 1, int(np.searchsorted(ends, first[i] + 600, side="right")))
+        out[i:j] = np.minimum.reduceat(table[codes[first[i] : ends[j - 1]]], first[i:j] - first[i], axis=0)
+        i = j
+    return at, out
+
+
+def keys_of(values: np.ndarray, plan: KeyPlan, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (a row per text) of the stretches of ``n_values`` least hashes, and which of them have frequent grams only."""
+    stretches = values[:, : plan.n_keys * plan.n_values].reshape(len(values), plan.n_keys, plan.n_values)
+    key = mix(np.arange(plan.n_keys, dtype=np.int64), seed=5)[None, :] ^ (mix(group, seed=3)[:, None] if group is not None else np.uint64(0))
+    for k in range(plan.n_values):
+        key = mix(key ^ stretches[:, :, k].astype(np.uint64))
+    return key, (stretches & np.uint16(1)).all(axis=2)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:

@@ -31,9 +31,9 @@ def brute(rows):
     return {(g, *sorted((i, j))) for (g, i), (h, j) in combinations(kept, 2) if g == h and alike(kept[g, i], kept[h, j]) >= 0.65}
 
 
-def pairs(spark, rows):
+def pairs(spark, rows, **more):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "g string, i bigint, t string, text string, a int")
-    return {(r["group"], r["id_a"], r["id_b"]) for r in near_duplicate_pairs(df, "g", "i", "t").collect()}
+    return {(r["group"], r["id_a"], r["id_b"]) for r in near_duplicate_pairs(df, "g", "i", "t", **more).collect()}
 
 
 def edited(rng, text):
@@ -75,15 +75,60 @@ def test_near_duplicates_of_the_tables(spark):
 
 
 def test_hot_key_is_split(spark, monkeypatch):
-    """A third of the rows share their rare windows; the block is split, and nothing is lost."""
+    """A third of the rows share most of their grams: hot keys give way to more specific ones, at last to sub-blocks, and nothing is lost."""
     rng = random.Random(1)
     stem = "zyxwvutsrq ponmlkjihg fedcba zyxwvutsrq"
     rows = [("g", i, f"{stem} {rng.randint(10**5, 10**6)}") for i in range(60)] + [("g", 100 + i, "".join(rng.choices("abcdefgh ", k=60))) for i in range(120)]
     monkeypatch.setattr(blocks, "HOT", 20)
     monkeypatch.setattr(blocks, "CHUNK", 7)
-    monkeypatch.setattr(blocks, "LEAF", 4)
-    monkeypatch.setattr(near_duplicates, "LEAF", 4)
     assert pairs(spark, rows) == brute(rows)
+    assert pairs(spark, rows, exact=True) == brute(rows)
+    side = lambda x: spark.createDataFrame([(i, t, None) for _, i, t in x], "i bigint, t string, q string")
+    want = {(i, j) for _, i, t in rows[:30] for _, j, u in rows[30:] if alike(t, u) >= 0.65}
+    assert want == {(r["a"], r["b"]) for r in cross_split_overlaps(side(rows[:30]), "i", side(rows[30:]), "i", "t", canonical_query(F.col("q"))).collect()}
+
+
+def word_edit(rng, text):
+    words = text.split(" ")
+    for _ in range(max(1, len(words) // 60)):
+        words[rng.randrange(len(words))] = rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices("abcdefghijklmnop", k=6))
+    return " ".join(words)
+
+
+def letter_edit(rng, text):
+    for _ in range(max(1, len(text) // 800)):
+        text = edited(rng, text)
+    return text
+
+
+@pytest.mark.parametrize("low, high", [(0.65, 0.72), (0.80, 0.88)])
+def test_recall_on_documents(spark, low, high):
+    """Documents of 400 to 4,000 characters, edited by words and by letters until ``low`` to ``high`` alike: 0.99 of the pairs are found."""
+    rng = random.Random(8)
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) between 400 and 4000 and lang = 'en'").orderBy("doc_id").select("text").collect()]
+    bases = [normal(t) for t in texts if len(normal(t)) >= 400][:60]
+    left, right = list(enumerate(bases)), []
+    for i, t in enumerate(bases):
+        for k, edit in enumerate((word_edit, letter_edit)):
+            u, goal = t, rng.uniform(low, high)
+            while alike(t, v := edit(rng, u)) >= goal:
+                u = v
+            right.append((1000 + 2 * i + k, u))
+    l, r = (spark.createDataFrame([(*x, None) for x in side], "i bigint, t string, q string") for side in (left, right))
+    want = {(i, j) for i, t in left for j, u in right if alike(t, u) >= 0.65}
+    got = {(x["a"], x["b"]) for x in cross_split_overlaps(l, "i", r, "i", "t", canonical_query(F.col("q"))).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) >= 60
+    both = [("g", *x) for x in left + right]
+    want, got = brute(both), pairs(spark, both)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_keys_grow_slower_than_the_texts():
+    from scorelake.llm.textsim import KeyPlan
+
+    for n in (10**3, 10**4, 10**6, 10**9):
+        a, b = KeyPlan(n, 0.65, 0.13), KeyPlan(10 * n, 0.65, 0.13)
+        assert b.n_keys <= 3 * a.n_keys and (1 - 0.65**b.n_values) ** b.n_keys <= 1e-4
 
 
 def test_large_class_of_copies(spark, monkeypatch):
