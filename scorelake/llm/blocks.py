@@ -7,15 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.textsim import flat
+from scorelake.llm.textsim import SLICE, KeyPlan, flat, gram_sets, hash_table, keys_of, least_hashes
 from scorelake.session import cut
 
 #: A key with more records than HOT gives way to more specific keys of its records, STEP more hashes each, up to LEVELS
 #: times; then its records are split into sub-blocks of CHUNK against CHUNK.
-HOT, CHUNK = 4096, 2048
+HOT, CHUNK = 8192, 4096
 STEP, LEVELS = 2, 3
 #: Bands of size to the ratio of sizes that a share allows: more of them leave out more pairs and repeat each record more often.
 BANDS = 4
@@ -23,18 +24,66 @@ _BUFFER = 100_000
 _PAIRS = 500_000
 
 
-#: Columns of routes: key, half, id, size, the words of the point or fingerprint, what lies beyond its bits, and whether the
-#: key may have many records.
-ROUTES = "key bigint, half int, id bigint, size int, words binary, extra int, often boolean"
+#: Columns of routes: key, id, meta (half, size and what lies beyond the point's bits, see pack_meta), the words of the point or
+#: fingerprint, and whether the key may have more than HOT records: all its 3-grams are in more texts than that.
+ROUTES = "key bigint, id bigint, meta bigint, words binary, often boolean"
 
 
-def routes_batch(key: np.ndarray, half: np.ndarray, ids: np.ndarray, size: np.ndarray, words: np.ndarray, extra: np.ndarray, often: np.ndarray | None = None) -> pa.RecordBatch:
-    small = lambda x: pa.array(x.astype(np.int32))
-    n, width = len(key), words.shape[1] * 8
-    ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1])
-    binary = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(words))])
-    columns = [pa.array(key.view(np.int64)), small(half), pa.array(ids), small(size), binary, small(extra), pa.array(np.ones(n, bool) if often is None else often)]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROUTES.split(", ")])
+def pack_meta(half: np.ndarray, size: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return (half.astype(np.int64) << 40) | (size.astype(np.int64) << 20) | extra.astype(np.int64)
+
+
+#: Columns of codes: what routes repeat for each key, the hash of the group that a text belongs to, and its least hashes.
+CODES = "id bigint, half int, g bigint, size int, words binary, extra int, hashes binary"
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """The rows that binary() made bytes of."""
+    return np.frombuffer(flat(column)[0], kind).reshape(len(column), -1)
+
+
+def encoder(plan: KeyPlan, often: Broadcast, columns: int, point: Callable) -> Callable:
+    """The batch function from id, half, g, text to CODES. ``point`` makes words and extra of a slice's 3-grams and hashes.
+
+    A text without a 3-gram has no code.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                texts, codes = gram_sets(*flat(b.column("text")))
+                at, hashes = least_hashes(texts, codes, hash_table(max(columns, plan.n_keys * plan.n_values), often.value))
+                words, extra = point(texts, codes, at, hashes, b.num_rows)
+                size = np.bincount(texts, minlength=b.num_rows)[at].astype(np.int32)
+                kept = [b.column(c).take(pa.array(at)) for c in ("id", "half", "g")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(size), binary(words), pa.array(extra.astype(np.int32)), binary(hashes)], names=[c.split()[0] for c in CODES.split(", ")])
+
+    return encode
+
+
+def spread(plan: KeyPlan) -> Callable:
+    """The batch function from CODES to ROUTES: a row for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                key, often = keys_of(matrix(b.column("hashes"), np.uint16), plan, b.column("g").to_numpy())
+                row = np.repeat(np.arange(b.num_rows), plan.n_keys)
+                col = lambda c: b.column(c).to_numpy()
+                meta = pack_meta(col("half"), col("size"), col("extra"))
+                columns = [pa.array(key.ravel().view(np.int64)), pa.array(col("id")[row]), pa.array(meta[row]), binary(matrix(b.column("words"), np.uint64)[row]), pa.array(often.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROUTES.split(", ")])
+
+    return run
 
 
 class Points:
@@ -44,27 +93,32 @@ class Points:
         self.ids, self.size, self.words, self.extra, self.half = ids, size, words, extra, half
 
 
-def block_join(batches: Iterator[pa.RecordBatch], test: Callable, join: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, lo, hi), a block each; gives (a, b) of the pairs that pass. ``join`` has the blocks' ends and
-    which of them hold two halves to be paired with each other."""
+def block_join(batches: Iterator[pa.RecordBatch], two: bool, test: Callable, join: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, or by (key, lo, hi), a block each; gives (a, b) of the pairs that pass. ``join`` has the blocks'
+    ends and which of them hold two halves to be paired with each other; ``two`` puts ids of half 0 first, not the smaller."""
+
+    def changes(table: pa.Table) -> np.ndarray:
+        """Whether each row but the first has another block than the row before."""
+        keys = [table.column(c).to_numpy() for c in ("key", "lo", "hi") if c in table.column_names]
+        return np.any([k[1:] != k[:-1] for k in keys], axis=0)
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: rows.column(c).to_numpy()
-        key, lo, hi = col("key"), col("lo"), col("hi")
-        same = np.r_[False, (key[1:] == key[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])]
-        rows = rows.filter(pa.array(same | np.r_[same[1:], False])).combine_chunks()  # of keys with two records at least
+        same = np.r_[False, ~changes(rows)]
+        several = same | np.r_[same[1:], False]  # keys with two records at least
+        rows = rows.filter(pa.array(several)).combine_chunks()
         if not rows.num_rows:
             return
-        new, across = np.flatnonzero(~same[same | np.r_[same[1:], False]]), col("across")
-        words = np.frombuffer(flat(rows.column("words").chunk(0))[0], np.uint64).reshape(rows.num_rows, -1)
-        p = Points(col("id"), col("size"), words, col("extra"), col("half"))
-        found = list(join(p, np.r_[new, rows.num_rows], across[new], test))
+        col = lambda c: rows.column(c).to_numpy()
+        new, meta = np.flatnonzero(~same[several]), col("meta")
+        words = matrix(rows.column("words").chunk(0), np.uint64)
+        p = Points(col("id"), (meta >> 20) & 0xFFFFF, words, meta & 0xFFFFF, meta >> 40)
+        across = col("across")[new] if "across" in rows.column_names else np.full(len(new), two)
+        found = list(join(p, np.r_[new, rows.num_rows], across, test))
         if not found:
             return
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
         a, b, ha, hb = p.ids[a], p.ids[b], p.half[a], p.half[b]
-        cross = rows.column("two")[0].as_py()
-        swap = (ha > hb) if cross else (a > b)
+        swap = (ha > hb) if two else (a > b)
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         both = np.unique(np.stack([a, b], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -77,9 +131,8 @@ def block_join(batches: Iterator[pa.RecordBatch], test: Callable, join: Callable
         if rows < _BUFFER:
             continue
         table = pa.Table.from_batches(kept).combine_chunks()
-        key, lo, hi = (table.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        same = (key == key[-1]) & (lo == lo[-1]) & (hi == hi[-1])
-        cutoff = len(key) - int(same.sum())  # the last block may go on
+        new = np.flatnonzero(changes(table))
+        cutoff = int(new[-1]) + 1 if len(new) else 0  # the last block may go on
         if cutoff:
             yield from pairs(table.slice(0, cutoff).combine_chunks())
         kept = table.slice(cutoff).to_batches()
@@ -107,17 +160,22 @@ def all_pairs(p: Points, ends: np.ndarray, across: np.ndarray, test: Callable) -
         s = t
 
 
-def meet_keys(texts: DataFrame, route: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
+def _half() -> Column:
+    return F.shiftright("meta", 40).cast("int")
+
+
+def meet_keys(texts: DataFrame, encode: Callable, plan: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
     """(a, b): the distinct pairs of ids of ``texts`` that share a key and pass ``test``; a < b, or with ``two`` a of half 0, b of half 1.
 
-    ``route(more)`` makes the batch function from texts to rows of ROUTES and "often" (false: the key can't have more
-    than HOT records), with keys of ``more`` hashes above the usual; n is the number of texts. A record of a key with more than
+    texts: id, half, g, text, n of them. ``plan(more)`` is a KeyPlan with ``more`` hashes to a key above the usual,
+    ``encode(plan)`` the batch function from texts to CODES, which are written once. A record of a key with more than
     HOT records takes part anew, with all other such records, under more specific keys, which miss a pair no more often than
     the first ones. What is hot after LEVELS such steps is joined whole, in sub-blocks (meet).
     """
     found = None
     for level in range(LEVELS + 1):
-        routes = texts.mapInArrow(route(level * STEP), ROUTES)
+        keys = plan(level * STEP)
+        routes = cut(texts.mapInArrow(encode(keys), CODES)).mapInArrow(spread(keys), ROUTES)
         last = level == LEVELS
         hot = None
         if n > HOT:
@@ -125,16 +183,16 @@ def meet_keys(texts: DataFrame, route: Callable, n: int, two: bool, test: Callab
             hot = None if hot.isEmpty() else hot
         of_hot = F.col("key") == F.col("k")
         cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
-        rows = cold.select("key", "half", "id", "size", "words", "extra").repartition("key").sortWithinPartitions("key")
-        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "across": F.lit(two), "two": F.lit(two)})
-        pairs = rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint")
+        rows = cold.select("key", "id", "meta", "words").repartition("key").sortWithinPartitions("key")
+        pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint")
         found = pairs if found is None else found.unionByName(pairs)
         if hot is None:
             break
         if last:
             found = found.unionByName(meet(routes.join(hot, of_hot, "left_semi"), two, test, join))
             break
-        texts = cut(texts.join(routes.join(hot, of_hot, "left_semi").select(F.col("id").alias("i"), F.col("half").alias("h")).distinct(), F.expr("id = i and half = h"), "left_semi"))
+        again = routes.join(hot, of_hot, "left_semi").select(F.col("id").alias("i"), _half().alias("h")).distinct()
+        texts = cut(texts.join(again, F.expr("id = i and half = h"), "left_semi"))
         n = texts.count()
     return found.distinct()
 
@@ -146,7 +204,7 @@ def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pair
     split: its records go to chunks by hash, and every pair of chunks is a sub-block of its own, so no task holds more than
     2 * CHUNK records of a key at once, and no pair is lost.
     """
-    routes = cut(routes)
+    routes = cut(routes.withColumn("half", _half()))
     count = routes.groupBy("key").agg(F.sum(F.expr("if(half = 0, 1, 0)")).alias("n0"), F.sum("half").alias("n1"))
     useful = count.where("n0 > 0 and n1 > 0" if two else "n0 > 1").withColumnRenamed("key", "k")
     rows = routes.join(useful, F.col("key") == F.col("k")).drop("k")
@@ -166,9 +224,11 @@ def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pair
         )
         one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("half"), F.lit(False).alias("across")))
     rows = rows.withColumn("s", F.explode(F.when(hot, subs).otherwise(one)))
-    rows = rows.select("key", "s.lo", "s.hi", "s.half", "s.across", "id", "size", "words", "extra", F.lit(two).alias("two"))
+    # of a block of two chunks, halves tell the chunks
+    meta = F.col("meta").bitwiseAND(F.lit((1 << 40) - 1)).bitwiseOR(F.shiftleft(F.col("s.half").cast("bigint"), 40))
+    rows = rows.select("key", "s.lo", "s.hi", "s.across", "id", meta.alias("meta"), "words")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint").distinct()
 
 
 def bounded_pairs(share: float) -> Callable:
@@ -200,14 +260,14 @@ def bounded_pairs(share: float) -> Callable:
 
 
 def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Callable) -> DataFrame:
-    """(a, b): the pairs of ids of one key, one at least ``least`` in size, whose sizes allow ``share`` and that pass
+    """(a, b): the pairs of ids of one g, one at least ``least`` in size, whose sizes allow ``share`` and that pass
     ``test``; a < b, or with ``two`` a of half 0, b of half 1. No pair is lost.
 
-    ``points`` has the columns of ROUTES, a row for each record. Records stand in bands of size, bands in chunks of
+    ``points`` has the columns of CODES, a row for each record; texts of different g don't meet. Records stand in bands of size, bands in chunks of
     some CHUNK by hash; two chunks whose least and largest sizes allow the share are a block.
     """
     band = F.floor(F.log(F.col("size") / least) * (BANDS / -math.log(share)))
-    points = cut(points.where("size > 0").withColumn("band", band))
+    points = cut(points.withColumnRenamed("g", "key").withColumn("band", band))
     own = ["key", "half", "band"]
     bands = cut(points.groupBy(*own).agg(F.ceil(F.count("*") / CHUNK).alias("parts"), F.min("size").alias("least"), F.max("size").alias("most")))
     chunk = lambda part: (F.col("band") * 2**32 + part).alias("chunk")
@@ -219,10 +279,10 @@ def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Cal
     ends = end("x", 0).unionByName(end("y", 1) if two else end("y", 1).where("lo <> hi"))
     placed = points.join(bands.select(*own, "parts"), own).withColumn("chunk", chunk(F.pmod(F.xxhash64("id"), "parts")))
     across = F.lit(True) if two else F.col("lo") != F.col("hi")
-    rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", F.col("to").alias("half"), across.alias("across"), "id", "size", "words", "extra", F.lit(two).alias("two"))
+    rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", across.alias("across"), "id", F.expr("(cast(to as bigint) << 40) | (cast(size as bigint) << 20) | extra").alias("meta"), "words")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     join = bounded_pairs(share)
-    return rows.mapInArrow(lambda it: block_join(it, test, join), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint").distinct()
 
 
 def with_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, similarity: Callable) -> DataFrame:

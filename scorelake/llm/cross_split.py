@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import blocks
-from scorelake.llm.blocks import ROUTES, Points, meet_keys, meet_sizes, routes_batch, with_similarity
+from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, with_similarity
 from scorelake.llm.canonical import canonical_groups
 from scorelake.llm.near_duplicates import count_vectors, overlap_test
-from scorelake.llm.textsim import MISS, SLICE, KeyPlan, background, flat, gram_counts, gram_sets, hash_table, keys_of, least_hashes, normal, popcount, similarities
+from scorelake.llm.textsim import MISS, KeyPlan, background, gram_counts, normal, popcount, similarities
 from scorelake.session import cut
 
 #: Bits of a fingerprint.
@@ -82,33 +81,20 @@ def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65, exact: bo
     alike = background(counts, n)
     often = sides.sparkSession.sparkContext.broadcast(counts > blocks.HOT)  # CODES flags, whatever the corpus
 
-    def route(more: int | None) -> Callable:
-        plan = KeyPlan(n, share, alike, more or 0)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for i in range(0, whole.num_rows, SLICE):
-                    b = whole.slice(i, SLICE)
-                    texts, codes = gram_sets(*flat(b.column("text")))
-                    ids, half = b.column("id").to_numpy(), b.column("half").to_numpy()
-                    size = np.bincount(texts, minlength=b.num_rows)
-                    if more is None:
-                        words, extra = count_vectors(texts, codes, b.num_rows)
-                        yield routes_batch(np.zeros(b.num_rows, np.uint64), half, ids, size, words, extra)
-                        continue
-                    at, values = least_hashes(texts, codes, hash_table(max(BITS, plan.n_keys * plan.n_values), often.value))
-                    key, hot = keys_of(values, plan)
-                    row = np.repeat(np.arange(len(at)), plan.n_keys)
-                    at = at[row]
-                    yield routes_batch(key.ravel(), half[at], ids[at], size[at], fingerprints(values)[row], np.zeros(len(at)), hot.ravel())
-
-        return run
-
-    texts = sides.select("id", "half", "text")
+    plan = lambda more: KeyPlan(n, share, alike, more)
+
+    def point(texts: np.ndarray, codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        if exact:
+            words, extra = count_vectors(texts, codes, rows)
+            return words[at], extra[at]
+        return fingerprints(hashes), np.zeros(len(at))
+
+    encode = lambda keys: encoder(keys, often, BITS, point)
+    texts = sides.select("id", "half", F.lit(0).cast("bigint").alias("g"), "text")
     if exact:
-        pairs = meet_sizes(texts.mapInArrow(route(None), ROUTES), True, share, 1, overlap_test(share))
+        pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), True, share, 1, overlap_test(share))
     else:
-        pairs = meet_keys(texts, route, n, True, fingerprint_test(share))
+        pairs = meet_keys(texts, encode, plan, n, True, fingerprint_test(share))
     near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     # different texts may have the same 3-grams: share 1 doesn't mean equal

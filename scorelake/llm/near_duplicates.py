@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import blocks
-from scorelake.llm.blocks import ROUTES, Points, meet_keys, meet_sizes, routes_batch, with_similarity
+from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, with_similarity
 from scorelake.llm.components import connected_components
-from scorelake.llm.textsim import SLICE, KeyPlan, background, flat, gram_counts, gram_sets, hash_table, keys_of, least_hashes, mix, normal, popcount, similarities
+from scorelake.llm.textsim import KeyPlan, background, gram_counts, mix, normal, popcount, similarities
 from scorelake.session import cut
 
 #: Groups that 3-grams are hashed into: the dimensions of a point.
@@ -123,37 +122,21 @@ def near_links(reps: DataFrame, share: float = 0.65, exact: bool = False) -> tup
     numbered = cut(reps.withColumn("uid", F.monotonically_increasing_id()))
     n = numbered.count()
     counts = gram_counts(numbered, "text")
-    alike = background(counts, n)
+    alike, largest = background(counts, n), numbered.groupBy("group").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     often = numbered.sparkSession.sparkContext.broadcast(counts > blocks.HOT)  # CODES flags, whatever the corpus
+    plan = lambda more: KeyPlan(largest, share, alike, more)
 
-    def route(more: int | None) -> Callable:
-        plan = KeyPlan(n, share, alike, more or 0)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for i in range(0, whole.num_rows, SLICE):
-                    b = whole.slice(i, SLICE)
-                    raw, lengths = flat(b.column("text"))
-                    texts, codes = gram_sets(raw, lengths)
-                    words, extra = count_vectors(texts, codes, b.num_rows)
-                    size = np.bincount(texts, minlength=b.num_rows)
-                    group, ids, half = b.column("g").to_numpy(), b.column("id").to_numpy(), np.zeros(b.num_rows)
-                    if more is None:
-                        yield routes_batch(mix(group, seed=3), half, ids, size, words, extra)
-                        continue
-                    at, values = least_hashes(texts, codes, hash_table(plan.n_keys * plan.n_values, often.value))
-                    key, hot = keys_of(values, plan, group[at])
-                    at = np.repeat(at, plan.n_keys)
-                    yield routes_batch(key.ravel(), half[at], ids[at], size[at], words[at], extra[at], hot.ravel())
-
-        return run
-
-    hashed = numbered.select(F.col("uid").alias("id"), F.lit(0).alias("half"), F.xxhash64("group").alias("g"), "text")
+    def point(texts: np.ndarray, codes: np.ndarray, at: np.ndarray, _: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        words, extra = count_vectors(texts, codes, rows)
+        return words[at], extra[at]
+
+    encode = lambda keys: encoder(keys, often, 0, point)
+    texts = numbered.select(F.col("uid").alias("id"), F.lit(0).alias("half"), F.xxhash64("group").alias("g"), "text")
     bound = overlap_test(share)
     if exact:
-        pairs = meet_sizes(hashed.mapInArrow(route(None), ROUTES), False, share, 1, bound)
+        pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), False, share, 1, bound)
     else:
-        pairs = meet_keys(hashed, route, n, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
+        pairs = meet_keys(texts, encode, plan, largest, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
     by_uid = numbered.select(F.col("uid").alias("id"), "text")
     linked = with_similarity(pairs, by_uid, by_uid, share, similarities)
     # keys of two groups differ but for a clash of hashes, which this drops

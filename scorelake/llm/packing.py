@@ -108,7 +108,10 @@ def dominating_set(sizes: Sizes, s: int, capacity: int) -> dict[int, int] | None
 
 
 def reduce_by_dominance(sizes: Sizes, capacity: int) -> list[Kind]:
-    """Containers fixed for good; what they hold is taken from ``sizes``. Passes over all sizes go on until one fixes nothing."""
+    """Containers fixed for good; what they hold is taken from ``sizes``. Passes over all sizes go on until one fixes nothing.
+
+    Each kind uses a size up but for a rest smaller than what one container takes of it: there are a few kinds to a size.
+    """
     fixed: list[Kind] = []
     again = True
     while again:
@@ -118,12 +121,8 @@ def reduce_by_dominance(sizes: Sizes, capacity: int) -> list[Kind]:
                 found = dominating_set(sizes, s, capacity)
                 if found is None:
                     break
-                if sum(k * n for k, n in found.items()) == capacity and len(found) <= 2 and sum(found.values()) <= 2:
-                    times = min(sizes.count[k] // n for k, n in found.items())  # a perfect pair stays one as long as both last
-                elif len(found) == 1 and found[s] == 1:
-                    times = sizes.count[s]  # nothing fits beside it, now or later
-                else:
-                    times = 1
+                # taking items away leaves fewer that fit, so the set dominates as long as all its sizes last
+                times = min(sizes.count[k] // n for k, n in found.items())
                 for k, n in found.items():
                     sizes.take(k, n * times)
                 fixed.append((times, found))
@@ -208,7 +207,8 @@ def fill_containers(docs: DataFrame, doc_id: str, text: str, tokenizer: str, cap
     kinds, _ = pack(histogram, capacity)
     known = docs.sparkSession.sparkContext.broadcast(places(kinds, capacity))
     first_space = capacity - sum(s * n for s, n in kinds[0][1].items()) if kinds else capacity
-    ranked = distributed_rank(listed.where("n_tokens > 0"), ["n_tokens"], F.struct("doc_id", "piece"), ["doc_id", "piece"], "rank")
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "piece"), 4)
+    ranked = distributed_rank(listed.where("n_tokens > 0"), ["n_tokens"], key, ["doc_id", "piece"], "rank", rows=sum(histogram.values()))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

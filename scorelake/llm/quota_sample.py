@@ -7,8 +7,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.ranks import distributed_rank
-from scorelake.session import strip
+from scorelake.operators.ranks import distributed_rank, text_key
+from scorelake.session import small, strip
 
 
 def plain_category(c: Column) -> Column:
@@ -59,13 +59,14 @@ def plan_sample(pool: DataFrame, targets: DataFrame) -> DataFrame:
 
     pool has stratum, category and id; targets the columns of sample_target. wanted is the greater of min_rows and the share
     of sample_size, rounded up; shortfall is what the pool lacks of it. Null numbers in targets count as 0, rows with a null
-    stratum or category are no target, a repeated one counts once. An empty pool gives quotas of 0.
+    stratum or category are no target, of repeated ones the greatest numbers count. An empty pool gives quotas of 0.
 
     The pool is counted with map-side combine; only the targets, a specification of a few rows, come to the driver.
     """
     spark = pool.sparkSession
     counts = pool.groupBy("stratum", "category").agg(F.count("*").alias("available"))
-    asked = targets.select("stratum", "category", "target_pct", "min_rows", "sample_size").where("stratum is not null and category is not null").dropDuplicates(["stratum", "category"])
+    asked = targets.select("stratum", "category", "target_pct", "min_rows", "sample_size").where("stratum is not null and category is not null")
+    asked = asked.groupBy("stratum", "category").agg(*[F.max(c).alias(c) for c in ("target_pct", "min_rows", "sample_size")])
     joined = asked.join(counts.withColumnsRenamed({"stratum": "_s", "category": "_c"}), (F.col("stratum") == F.col("_s")) & (plain_category(F.col("category")) == F.col("_c")), "left")
     rows = joined.select("stratum", "category", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("target_pct", "min_rows", "sample_size", "available")]).orderBy("stratum", "category").collect()
     out = []
@@ -79,11 +80,13 @@ def plan_sample(pool: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def draw_sample(pool: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """stratum, category, id: of each category its quota of records, those of smallest random key (a hash of id and seed).
+    """stratum, category, id: of each category its quota of records, those of smallest random key (ranks.text_key of the id).
 
     A category of any size is ranked in parts (distributed_rank); parts beyond the quota aren't shuffled. Records of equal
-    key are ordered by id; repeated ids are records of their own.
+    key are ordered by id; repeated ids are records of their own. The plan, a row per target, is broadcast if small.
     """
-    quotas = plan.select(F.col("stratum").alias("_s"), plain_category(F.col("category")).alias("_c"), "quota").where("quota > 0").dropDuplicates(["_s", "_c"])
-    kept = pool.select("stratum", "category", "id").join(F.broadcast(quotas), (F.col("stratum") == F.col("_s")) & (F.col("category") == F.col("_c"))).drop("_s", "_c")
-    return distributed_rank(kept, ["stratum", "category"], F.col("id"), ["id"], "rank", limit="quota", seed=seed).select("stratum", "category", "id")
+    per = plan.groupBy(F.col("stratum").alias("_s"), plain_category(F.col("category")).alias("_c")).agg(F.max("quota").alias("quota"), F.max("available").alias("_a")).where("quota > 0")
+    size = per.agg(F.count("*"), F.coalesce(F.sum("_a"), F.lit(0))).first()
+    quotas = small(per.drop("_a"), size[0], 200)
+    kept = pool.select("stratum", "category", "id").join(quotas, (F.col("stratum") == F.col("_s")) & (F.col("category") == F.col("_c"))).drop("_s", "_c")
+    return distributed_rank(kept, ["stratum", "category"], text_key(F.col("id"), seed), ["id"], "rank", rows=size[1], limit="quota").select("stratum", "category", "id")
