@@ -36,6 +36,75 @@ def test_defects(answer, defect):
     assert defect_of(answer, ASKED, MESSAGE) == defect
 
 
+# Refusals, prose in languages without a list of words, and what is neither; written after the rules and not used to fit them.
+HELD_OUT = {
+    "refusal": """I'm afraid I won't be answering that.
+Apologies, but writing queries over personal records is something I don't do.
+That's not a request I can act on.
+I would prefer not to work on this one.
+My guidelines stop me from helping with this.
+We are not authorised to return that kind of information.
+I have no means of looking into that database.
+Without further details I cannot tell what the statement should be.
+It isn't possible for me to write this.
+I must respectfully decline.
+I couldn't say which table would hold that.
+Sorry, no can do: I am not permitted to share it.
+Leider bin ich nicht in der Lage, das zu beantworten.
+Ich möchte dazu nichts schreiben.
+Désolé, je ne suis pas en mesure de vous aider.
+No dispongo de permiso para consultar esos datos.
+Non sono autorizzato a rispondere.
+Infelizmente não consigo responder a isso.
+Ik mag deze vraag niet beantwoorden.
+Niestety nie jestem w stanie odpowiedzieć.
+Jag får inte lämna ut det.
+Jeg kan desværre ikke hjælpe med det.
+En voi vastata tähän kysymykseen.
+К сожалению, я не могу помочь.
+抱歉，我无法回答这个问题。""",
+    "language": """Frågan räknar hur många djurskötare som finns i varje stad.
+Svaret ovan visar bara de poster vars värde är större än noll.
+Tämä lause laskee kaikki rivit ja näyttää niiden määrän.
+Vastaus sisältää vain ne kaupungit joissa on useita hoitajia.
+Bu ifade her şehirdeki bakıcıların sayısını gösterir.
+Sonuç yalnızca değeri sıfırdan büyük olan kayıtları içerir.
+Výraz spočítá všechny záznamy a zobrazí jejich počet podle města.
+A kifejezés megszámolja az összes rekordot városonként.
+Instrucțiunea numără toate înregistrările din fiecare oraș.
+Pernyataan tersebut menghitung semua catatan di setiap kota.
+Sætningen tæller alle poster og viser antallet for hver by.
+Der Befehl zählt sämtliche Wärter je Stadt.
+Cette instruction compte tous les gardiens par ville.
+L'istruzione conta tutti i custodi per ogni città.
+A instrução conta todos os tratadores por cidade.
+Polecenie liczy wszystkich opiekunów w każdym mieście.
+Η εντολή μετρά όλες τις εγγραφές ανά πόλη.
+명령문은 도시별로 모든 기록을 셉니다.""",
+    "truncated": """Sure, here is the statement you need:
+Counting keepers by town takes a single grouped statement, which follows below.
+One grouping over the town column will do, as shown here.
+I think the cleanest statement for this reads as follows:
+Happy to. The statement is
+Keepers are stored once per record, therefore a plain count works:""",
+}
+
+
+def test_held_out():
+    cases = [(line, kind) for kind, text in HELD_OUT.items() for line in text.split("\n")]
+    found = {kind: [defect_of(line, ASKED, MESSAGE) == kind for line, k in cases if k == kind] for kind in HELD_OUT}
+    assert all(sum(v) >= 0.9 * len(v) for v in found.values()), {k: sum(v) / len(v) for k, v in found.items()}
+    beside = [defect_of(f"{line}\nSELECT count(*) FROM keeper", ASKED, MESSAGE) == "language" for line, k in cases if k == "language"]
+    assert sum(beside) >= 0.9 * len(beside)
+
+
+def test_statements_that_look_like_prose():
+    prompt = "Select the names from the singers, please."
+    assert defect_of("select the names from the singers please", prompt, None) == "copy" and defect_of("SELECT name FROM singer", prompt, None) is None
+    assert defect_of("I cannot select anything from that table.", ASKED, MESSAGE) == "refusal"
+    assert defect_of("INSERT INTO a VALUES (1)", ASKED, MESSAGE) is None and defect_of("DELETE FROM a WHERE", ASKED, MESSAGE) == "truncated"
+
+
 def test_without_prompt():
     assert defect_of("Die Abfrage liefert alle Zeilen.", None, None) == "truncated" and defect_of("SELECT a FROM t", None, None) is None
 
