@@ -49,8 +49,10 @@ def gram_sets(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(text, code) of each distinct 3-gram, ordered."""
     text, left, code = _positions(raw, lengths)
     ok = left >= 3
-    both = np.unique(text[ok] * CODES + code[ok])
-    return both // CODES, both % CODES
+    both = np.sort(text[ok] * CODES + code[ok])
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    text = both // CODES
+    return text, both - text * CODES
 
 
 def similarities(a: pa.StringArray, b: pa.StringArray) -> np.ndarray:
@@ -138,15 +140,12 @@ def hash_table(columns: int, often: np.ndarray) -> np.ndarray:
 
 def least_hashes(texts: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts that have grams, and of each the least value of every column of the table over its grams."""
-    at, first = np.unique(texts, return_index=True)
-    out = np.empty((len(at), table.shape[1]), np.uint16)
+    first = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]]) if len(texts) else np.empty(0, np.int64)
     ends = np.r_[first[1:], len(texts)]
-    i = 0
-    while i < len(at):  # so many texts together that their hashes stay in the cache, one at least
-        j = max(i + 1, int(np.searchsorted(ends, first[i] + 600, side="right")))
-        out[i:j] = np.minimum.reduceat(table[codes[first[i] : ends[j - 1]]], first[i:j] - first[i], axis=0)
-        i = j
-    return at, out
+    out = np.empty((len(first), table.shape[1]), np.uint16)
+    for i, (lo, hi) in enumerate(zip(first, ends)):
+        table[codes[lo:hi]].min(axis=0, out=out[i])
+    return texts[first], out
 
 
 def keys_of(values: np.ndarray, plan: KeyPlan, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
