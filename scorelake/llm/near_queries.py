@@ -39,9 +39,16 @@ def grams_sql(rows: str) -> str:
 _ROWS = f"""select 'dev' as side, example_id as id, {normal_sql("question")} as t from dev where question is not null
   union all select 'spider_instance', instance_id, {normal_sql("utterance")} from spider_instance where utterance is not null"""
 
+_LINKS = """select a.side, a.id as a, b.id as b from g a join g b on a.side = b.side and a.gram = b.gram and a.id < b.id group by a.side, a.id, b.id, a.n, b.n having count(*) >= 0.65 * (a.n + b.n - count(*))"""
+
 ORACLES = {
     "p1_found": f"""with r as ({_ROWS}), g as ({grams_sql("select * from r")})
-      select side as source_table, id_a, id_b from (
-        select a.side, a.id as id_a, b.id as id_b from g a join g b on a.side = b.side and a.gram = b.gram and a.id < b.id group by a.side, a.id, b.id, a.n, b.n having count(*) >= 0.65 * (a.n + b.n - count(*))
-        union select a.side, a.id, b.id from r a join r b on a.side = b.side and a.t = b.t and a.id < b.id)""",
+      select side as source_table, a as id_a, b as id_b from (
+        {_LINKS} union select a.side, a.id, b.id from r a join r b on a.side = b.side and a.t = b.t and a.id < b.id)""",
+    "p1_groups": f"""with recursive r as ({_ROWS}), texts as (select side, t, min(id) as id from r group by 1, 2), g as ({grams_sql("select side, id, t from texts")}),
+      links as materialized ({_LINKS}), both_ways as (select side, a, b from links union all select side, b, a from links),
+      reach as (select side, id, id as other from texts union select x.side, x.id, y.b from reach x join both_ways y on x.side = y.side and x.other = y.a),
+      least as (select side, id, min(other) as group_id from reach group by 1, 2), ends as (select side, a as id, count(*) as n from both_ways group by 1, 2)
+      select r.side as source_table, r.id, group_id, coalesce(n, 0) as n_links from r join texts x on r.side = x.side and r.t = x.t
+        join least m on m.side = x.side and m.id = x.id left join ends e on e.side = x.side and e.id = x.id""",
 }

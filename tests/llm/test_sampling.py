@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scorelake.llm.group_split import leaking_entities, round_bundles, split_by_entity, split_rows
+from scorelake.llm import group_split
+from scorelake.llm.group_split import leaking_entities, place_components, round_bundles, split_by_entity, split_rows
 from scorelake.llm.quota_sample import allocate, draw_sample, largest_remainder, plan_sample
 
 lists = st.integers(1, 6).flatmap(lambda n: st.tuples(st.lists(st.integers(0, 60), min_size=n, max_size=n), st.lists(st.integers(0, 10), min_size=n, max_size=n), st.lists(st.integers(0, 200), min_size=n, max_size=n)))
@@ -63,6 +64,18 @@ def test_split_keeps_entities_together(spark):
         entity_splits(spark, rows[:5], {})
 
 
+def test_less_detail(spark, monkeypatch):
+    """Whatever the bound on bundles, entities stay whole and shares near."""
+    rows = [(i, f"e{i * i % 211}" if i % 7 else None, "xyz"[i % 3], "clash", 1) for i in range(3000)]
+    for bound in (30, 12, 4):
+        monkeypatch.setattr(group_split, "BUNDLES", bound)
+        monkeypatch.setattr(group_split, "LABELS", 2)
+        got = entity_splits(spark, rows, {"train": 80, "validation": 10, "test": 10})
+        assert len({r["i"] for r in got}) == len(got) == len(rows)
+        assert len({(r["entity"], r["new_split"]) for r in got if r["entity"]}) == len({r["entity"] for r in got if r["entity"]})
+        assert abs(sum(r["new_split"] == "train" for r in got) / len(rows) - 0.8) < 0.05
+
+
 def test_flow_meets_quotas():
     rows = split_rows({"a": 1000, "b": 37, "": 5}, {"train": 80, "validation": 10, "test": 10})
     for label, n in (("a", 1000), ("b", 37), ("", 5)):
@@ -70,17 +83,40 @@ def test_flow_meets_quotas():
     assert abs(sum(v for (_, s), v in rows.items() if s == "train") - 833) <= 1
 
 
+def test_flow_of_many_labels():
+    labels = {f"l{i}": 1 + i * 7919 % 1000 for i in range(10_000)}
+    shares = {"train": 80, "validation": 10, "test": 10}
+    rows = split_rows(labels, shares)
+    for label, n in labels.items():
+        assert sum(rows[label, s] for s in shares) == n and all(0 <= rows[label, s] - n * pct // 100 <= 2 for s, pct in shares.items())
+    for s, pct in shares.items():
+        assert 0 <= sum(rows[label, s] for label in labels) - sum(labels.values()) * pct // 100 <= 2
+    bundles = [(1 + i % 40, ((f"l{i}", 1 + i % 40),), 3) for i in range(10_000)]
+    out = round_bundles(bundles, split_rows({p[0][0]: 3 * s for s, p, _ in bundles}, shares), list(shares))
+    assert sum(n for *_, n in out) == 30_000
+
+
+profiles = st.dictionaries(st.sampled_from("abc"), st.integers(1, 20), min_size=1).map(lambda d: tuple(sorted(d.items())))
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 50), st.sampled_from("ab"), st.integers(1, 30)), min_size=1, max_size=12, unique_by=lambda t: t[:2]))
-def test_rounding_places_every_component(bundles):
+@given(st.lists(st.tuples(profiles, st.integers(1, 30)), min_size=1, max_size=12, unique_by=lambda t: t[0]))
+def test_rounding_places_every_component(found):
+    bundles = [(sum(n for _, n in p), p, count) for p, count in found]
     labels = {}
-    for size, lab, n in bundles:
-        labels[lab] = labels.get(lab, 0) + size * n
-    out = round_bundles(bundles, split_rows(labels, {"train": 80, "validation": 10, "test": 10}), ["train", "validation", "test"])
-    for size, lab, n in bundles:
-        assert sum(k for s, b, _, k in out if (s, b) == (size, lab)) == n
+    for _, p, count in bundles:
+        for label, n in p:
+            labels[label] = labels.get(label, 0) + n * count
+    shares = {"train": 80, "validation": 10, "test": 10}
+    out = round_bundles(bundles, split_rows(labels, shares), list(shares))
+    for b, (_, _, count) in enumerate(bundles):
+        assert sum(n for c, _, n in out if c == b) == count
+    total, largest = sum(labels.values()), max(s for s, *_ in bundles)
+    for s, pct in shares.items():
+        assert abs(sum(bundles[b][0] * n for b, t, n in out if t == s) - total * pct / 100) <= largest + len(shares)
 
 
 def test_leaks(spark):
-    df = spark.createDataFrame([("a", "dev"), ("a", "train"), ("b", "dev"), (None, "dev"), (None, "train"), ("c", None)], "e string, s string")
-    assert [r["entity"] for r in leaking_entities(df, F.col("e"), F.col("s"), ["dev", "train"]).collect()] == ["a"]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([("a", "dev"), ("a", "train"), ("b", "dev"), (None, "dev"), (None, "train"), ("c", None)])], "i bigint, e string, s string")
+    placed = place_components(df, ["i"], F.col("e"), F.col("s"), {"train": 1})
+    assert [r["entity"] for r in leaking_entities(placed, F.col("label"), ["dev", "train"]).collect()] == ["a"]
