@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scorelake.session import SPACE, cut
 
@@ -17,23 +20,54 @@ LEVELS = (24, 48, 96, 192)
 #: Bytes of an edge of a trie.
 STEP = 8
 
-_DROP = SPACE[:-1] + ";'\"`]"
+_SPACE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE)
+_DROP = re.compile(_SPACE[:-1] + ";'\"`]+")
+_SELECT = re.compile(rf"\bselect\b(?:{_SPACE}*distinct\b)?", re.A)
+_FROM = re.compile(r"\bfrom\b", re.A)
+
+
+def select_items(text: str) -> list[str]:
+    """The items of a select list: they end at commas that no pair of parentheses holds, at whatever depth.
+
+    A parenthesis without its other half is an ordinary character; empty items are none.
+    """
+    if "," not in text:
+        return [text] if text else []
+    inside, open_ = np.zeros(len(text) + 1, np.int64), []
+    for i, ch in enumerate(text):
+        if ch == "(":
+            open_.append(i)
+        elif ch == ")" and open_:
+            inside[open_.pop()] += 1
+            inside[i] -= 1
+    depth, out, start = np.cumsum(inside) if inside.any() else inside, [], 0
+    for m in re.finditer(",", text):
+        if not depth[m.start()]:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [x for x in [*out, text[start:]] if x]
+
+
+def canonical_text(low: str) -> str:
+    """The canonical form of a query in lower case, empty if nothing is left."""
+    m = _SELECT.search(low)
+    end = m and _FROM.search(low, m.end())
+    if not end:
+        return _DROP.sub("", low)
+    items = select_items(_DROP.sub("", low[m.end() : end.start()]))
+    return f"{_DROP.sub('', low[: m.end()])}{','.join(sorted(items))}{_DROP.sub('', low[end.start() :])}"
+
+
+@F.arrow_udf(StringType())
+def _canonical(low: pa.Array) -> pa.Array:
+    return pa.array([(canonical_text(x) or None) if x is not None else None for x in low.to_pylist()], pa.string())
 
 
 def canonical_query(c: Column) -> Column:
     """A query in the form in which copies agree: lower case, without white space, ``;``, quotes and backticks, the items
     of the first SELECT list (up to the first FROM, DISTINCT aside) in order. Null for null and for what leaves nothing.
-
-    Items end at commas outside parentheses (to a depth of three).
     """
-    low = F.lower(c)
-    head = rf"(?s)^(.*?\bselect\b)({SPACE}*distinct\b)?(.*?)(\bfrom\b.*)$"
-    part = lambda i: F.regexp_replace(F.regexp_extract(low, head, i), _DROP, "")
-    paren = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-    items = F.regexp_extract_all(part(3), F.lit(rf"((?:[^,()]|{paren}|[()])+)"), F.lit(1))
-    sorted_list = F.concat(part(1), part(2), F.concat_ws(",", F.array_sort(items)), part(4))
-    plain = F.regexp_replace(low, _DROP, "")
-    return F.nullif(F.when(low.rlike(head), sorted_list).otherwise(plain), F.lit(""))
+    return _canonical(F.lower(c))
 
 
 class Trie:
@@ -93,7 +127,8 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie, rows = Trie(), 0
     for b in batches:
         for key, i in zip(b.column("canon").to_pylist(), b.column("id").to_pylist()):
-            trie.add(key, i, 1)
+            if key is not None and i is not None:
+                trie.add(key, i, 1)
         rows += b.num_rows
         if rows >= BUCKET_ROWS:
             yield from _emit(trie)
@@ -123,7 +158,7 @@ def canonical_groups(records: DataFrame, record_id: str, canon: Column, bucket_r
     combined rows; only prefixes of oversized buckets, at most rows / bucket_rows of a level, are held in a table of their
     own. A bucket at the last level is one text only and always fits.
     """
-    keyed = records.select(F.col(record_id).cast("bigint").alias("id"), canon.cast("binary").alias("canon")).where("canon is not null and id is not null")
+    keyed = records.select(F.col(record_id).cast("bigint").alias("id"), canon.cast("binary").alias("canon"))
     combined = cut(keyed.mapInArrow(_combine, "canon binary, keep_id bigint, copies bigint"))
     bucket, open_ = F.substring("canon", 1, LEVELS[0]), F.lit(True)
     placed = combined.withColumn("bucket", bucket).withColumn("open", open_)
@@ -145,6 +180,8 @@ def canonical_copies(records: DataFrame, record_id: str, canon: Column, bucket_r
 
     Records of equal id and text are one record. Null ids and null canonical texts are no case.
     """
-    many = canonical_groups(records, record_id, canon, bucket_rows).where("copies > 1").select(F.col("canon").alias("_canon"), "keep_id")
-    keyed = records.select(F.col(record_id).cast("bigint").alias("copy_id"), canon.cast("binary").alias("canon"))
-    return keyed.join(many, F.col("canon") == F.col("_canon")).where("copy_id > keep_id").select("keep_id", "copy_id").distinct()
+    keyed = cut(records.select(F.col(record_id).cast("bigint").alias("copy_id"), canon.cast("binary").alias("canon")))
+    key = F.unhex(F.md5("canon"))  # 128 bits stand for a text that the buckets compared byte by byte
+    many = canonical_groups(keyed, "copy_id", F.col("canon"), bucket_rows).where("copies > 1").select(key.alias("k"), "keep_id")
+    found = keyed.where("canon is not null").select("copy_id", key.alias("key")).join(many, F.col("key") == F.col("k"))
+    return found.where("copy_id > keep_id").select("keep_id", "copy_id").distinct()

@@ -26,7 +26,6 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}
 
 _W = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_P = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _HEAD = rf"(?s)^(.*?\bselect\b)({_W}]*distinct\b)?(.*?)(\bfrom\b.*)$"
 
 
@@ -34,10 +33,13 @@ def _part(i: int) -> str:
     return f"""regexp_replace(regexp_extract(lower(query), '{_HEAD}', {i}), '{_W};''"`]', '', 'g')"""
 
 
+#: A select list split at the commas before which as many parentheses are closed as opened.
+_SPLIT = """string_split(array_to_string(list_transform(range(1, length(items) + 1), lambda i: if(items[i] = ','
+  and length(replace(items[1:i], '(', '')) = length(replace(items[1:i], ')', '')), chr(1), items[i])), ''), chr(1))"""
 #: example_id and canonical query of every record; also used by problem 4.
 CANON_SQL = f"""
   select example_id, case when regexp_matches(lower(query), '{_HEAD}')
-      then {_part(1)} || {_part(2)} || array_to_string(list_sort(regexp_extract_all({_part(3)}, '(?:[^,()]|{_P}|[()])+')), ',') || {_part(4)}
+      then {_part(1)} || {_part(2)} || (select array_to_string(list_sort(list_filter({_SPLIT}, lambda x: x <> '')), ',') from (select {_part(3)} as items)) || {_part(4)}
       else regexp_replace(lower(query), '{_W};''"`]', '', 'g') end as canon
   from (select example_id, query from dev union all select example_id, query from train_spider)"""
 

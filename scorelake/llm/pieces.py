@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.tokens import encode, encoder, texts_of
+from scorelake.llm.tokens import SAFE, encode, encoder, texts_of
 
 #: Strength of a boundary: a place between characters only, words, sentences, lines, paragraphs.
 NAMES = ["character", "word", "sentence", "line", "paragraph"]
@@ -103,11 +103,19 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[str, int,
             at += 1
         return at
 
+    safe = np.flatnonzero(strength[: len(ids)] >= 1)
+    safe = safe[[bool(SAFE.match(text, char[i])) for i in safe]] if len(safe) else safe
     known: dict[tuple[int, int], int] = {}
 
+    def tokens_in(start: int, hi: int) -> int:
+        return len(encode(text[char[start] : char[hi]], enc)) if start < hi else 0
+
     def counted(start: int, hi: int) -> int:
+        """The tokens of a piece as a text of its own: between two safe boundaries they are those of the whole text."""
         if (start, hi) not in known:
-            known[start, hi] = len(encode(text[char[start] : char[hi]], enc))
+            i, j = np.searchsorted(safe, start), np.searchsorted(safe, hi, side="right") - 1
+            inner = i < j
+            known[start, hi] = tokens_in(start, safe[i]) + int(safe[j] - safe[i]) + tokens_in(safe[j], hi) if inner else tokens_in(start, hi)
         return known[start, hi]
 
     def fits(lo: int, hi: int) -> bool:
@@ -129,6 +137,7 @@ def split_corpus(docs: DataFrame, doc_id: str, text: str, tokenizer: str, most:
     """doc_id, piece_no (from 1), n_tokens, overlap_tokens, overlap_chars, cut_at, piece: of every text of more than ``most`` tokens.
 
     Without their overlap_chars the pieces join to the text. Texts within the limit, null and empty ones have no rows.
+    A piece that nothing can cut (one character of more tokens than ``most``) stays over it, with its tokens counted.
     Repeated rows are split as often as they stand; other columns aren't read. No shuffle.
     """
     if not 0 <= overlap < most:
@@ -146,7 +155,7 @@ def split_corpus(docs: DataFrame, doc_id: str, text: str, tokenizer: str, most:
                     if len(t.encode("utf-8", "replace")) <= most:
                         continue  # a token has a byte at least
                     pieces = split_text(t, enc, most, overlap)
-                    if len(pieces) > 1:
+                    if pieces[0][1] > most or len(pieces) > 1:
                         rows += [(d, k, n, o, oc, at, p) for k, (p, n, o, oc, at) in enumerate(pieces, 1)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

@@ -37,14 +37,14 @@ def encoder(path: str):
 
 #: Before white space that follows something else: every token pattern keeps white space at its start only and looks ahead
 #: no further than the end of a run of it, so encoding the parts gives the tokens of the whole.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
 def parts(text: str, most: int = LONG_TEXT) -> Iterator[str]:
     """text in parts of about ``most`` characters, cut at safe boundaries; a stretch without one stays whole."""
     start = 0
     while len(text) - start > most:
-        m = _SAFE.search(text, start + most)
+        m = SAFE.search(text, start + most)
         if not m:
             break
         yield text[start : m.start()]
