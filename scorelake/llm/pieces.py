@@ -10,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.tokens import SAFE, encode, encoder, texts_of
+from scorelake.llm.tokens import encode, encoder, texts_of
 
 #: Strength of a boundary: a place between characters only, words, sentences, lines, paragraphs.
 NAMES = ["character", "word", "sentence", "line", "paragraph"]
 _ENDS = [
-    (1, re.compile(r"(?<=\S)(?=\s)")),
     (2, re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s)|[。！？](?=\S)")),
     (3, re.compile(r"[\n\r ](?=[^\n\r])")),
     (4, re.compile(r"\n[^\S\n]*\n\s*(?=\S)| ")),
 ]
 
 
+#: Whether a code point is white space.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
 _LENGTHS: dict[int, np.ndarray] = {}
 
 
@@ -38,23 +39,32 @@ def token_lengths(enc) -> np.ndarray:
     return _LENGTHS[id(enc)]
 
 
-def boundaries(text: str, ids: np.ndarray, enc) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token but the first: the strength of the boundary before it, -1 if it begins inside a character. And the
-    character at which each token begins (of the last whole character before, if inside one)."""
+def word_ends(text: str) -> np.ndarray:
+    """The characters of white space that follow something else: the safe boundaries of tokens.parts."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _SPACE[np.minimum(points, len(_SPACE) - 1)] & (points < len(_SPACE))
+    return np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+
+
+def boundaries(text: str, ids: np.ndarray, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token but the first: the strength of the boundary before it, -1 if it begins inside a character. The
+    character at which each token begins (of the last whole character before, if inside one). And the tokens that begin at
+    the end of a word."""
     token_byte = np.r_[0, np.cumsum(token_lengths(enc)[ids])]
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     starts = np.flatnonzero((raw & 0xC0) != 0x80)  # the byte at which each character begins
     char_byte = np.r_[starts, len(raw)]
     at = np.searchsorted(char_byte, token_byte, side="right") - 1
     strength = np.where(char_byte[at] == token_byte, 0, -1)
-    for rank, pattern in _ENDS:
-        ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
+    safe = np.empty(0, np.int64)
+    for rank, ends in [(1, word_ends(text)), *((r, np.fromiter((m.end() for m in x.finditer(text)), np.int64)) for r, x in _ENDS)]:
         if len(ends):
             want = char_byte[ends]
             k = np.searchsorted(token_byte, want)
             hit = k[(k < len(token_byte)) & (token_byte[np.minimum(k, len(token_byte) - 1)] == want)]
             strength[hit] = np.maximum(strength[hit], rank)
-    return strength, at
+            safe = hit if rank == 1 else safe
+    return strength, at, safe
 
 
 def bisect(strength: np.ndarray, n: int, fits: Callable[[int, int], bool]) -> list[int]:
@@ -96,15 +106,13 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[str, int,
     ids = encode(text, enc)
     if len(ids) <= most:
         return [(text, len(ids), 0, 0, "start")]
-    strength, char = boundaries(text, ids, enc)
+    strength, char, safe = boundaries(text, ids, enc)
 
     def begin(lo: int, at: int) -> int:
         while at < lo and strength[at] < 0:
             at += 1
         return at
 
-    safe = np.flatnonzero(strength[: len(ids)] >= 1)
-    safe = safe[[bool(SAFE.match(text, char[i])) for i in safe]] if len(safe) else safe
     known: dict[tuple[int, int], int] = {}
 
     def tokens_in(start: int, hi: int) -> int:
