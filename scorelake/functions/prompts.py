@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The wordings that models are asked with.
 PATTERN_SYSTEM = "You are a helpful assistant that generates strings matching regular expressions. Only output the exact string that matches the regex pattern, nothing more."
@@ -65,3 +70,42 @@ def serialize_schema(tables: Column) -> Column:
     table = lambda t: F.concat_ws("\n", t["name"], F.array_join(F.transform(t["columns"], line), "\n"))
     bare = lambda t: F.when(F.size(t["columns"]) > 0, table(t)).otherwise(t["name"])
     return F.array_join(F.transform(tables, bare), "\n\n")
+
+
+def _ids(make: Callable[[], Callable], column: Column) -> Column:
+    """array<int>: what the function that ``make`` builds, once per task, gives for every value of the column."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for values in parts:
+            yield values.map(lambda v: None if v is None else [int(i) for i in encode(v)])
+
+    return run(column)
+
+
+def prompt_ids(prompt: Column, make: Callable[[], Callable[[str], list[int]]]) -> Column:
+    """array<int>: a plain prompt by a tokenizer. ``make`` builds its function from text to ids; it is called in the tasks."""
+    return _ids(make, prompt)
+
+
+def chat_ids(messages: Column, make: Callable[[], Callable[[list[dict]], list[int]]]) -> Column:
+    """array<int>: chat messages (chat_messages) by a chat template. ``make`` builds its function from a list of dicts with
+    role and content to ids."""
+    return _ids(lambda: (lambda encode: lambda text: encode(json.loads(text)))(make()), F.to_json(messages))
+
+
+def pattern_ids(pattern: Column, make: Callable[[], Callable], use_chat_format: bool = False, system: str = PATTERN_SYSTEM, shots: list[tuple[str, str]] = PATTERN_EXAMPLES) -> Column:
+    if use_chat_format:
+        return chat_ids(chat_messages(F.lit(system), examples(shots), pattern), make)
+    return prompt_ids(pattern_prompt(pattern, system, shots), make)
+
+
+def sql_ids(shots: Column, user: Column, make: Callable[[], Callable], use_chat_format: bool = False, system: str = SQL_SYSTEM) -> Column:
+    return chat_ids(chat_messages(F.lit(system), shots, user), make) if use_chat_format else prompt_ids(sql_prompt(shots, user, system), make)
+
+
+def molecule_ids(molecules: Column, make: Callable[[], Callable], system: str, use_chat_format: bool = False) -> Column:
+    if use_chat_format:
+        raise ValueError("molecules have no chat form")
+    return prompt_ids(molecule_prompt(molecules, system), make)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,13 +98,23 @@ def score_patterns(df: DataFrame, pattern: str, response: str, timeout: float |
     return quick.unionByName(slow).withColumn("score", F.when(F.col("desc") == "valid", 1.0).otherwise(0.0))
 
 
+#: Of the portable patterns those that Java and the UDF's engine read alike over any text, not only ASCII: no dot, no anchors,
+#: no classes by letter.
+_ANY_TEXT = re.compile(r"^(?:[^\\.^$\[]|\\[.+*?()\[\]{}|^$/-]|\[\^?[^\\\[\]]+\])*$")
+
+
 def full_match(pattern: str, text: Column, timeout: float | None = 5.0) -> Column:
-    """Boolean: does text match the whole of one literal pattern?"""
+    """Boolean: does text match the whole of one literal pattern? In the JVM where both engines read it alike."""
+    if re.match(PORTABLE, pattern) and _ANY_TEXT.match(pattern):
+        return text.rlike(rf"\A(?:{pattern})\z")
     return _udf(timeout)(F.lit(pattern), text) == "valid"
 
 
-def complete_weight(pattern: Column, text: Column, timeout: float | None = 5.0) -> Column:
-    """A critic's weight of a complete text: 0 if it matches the whole pattern, else minus infinity."""
+def complete_weight(pattern: Column | str, text: Column, timeout: float | None = 5.0) -> Column:
+    """A critic's weight of a complete text: 0 if it matches the whole pattern, else minus infinity. A literal pattern is
+    routed as by full_match."""
+    if isinstance(pattern, str):
+        return weight(full_match(pattern, text, timeout))
     return weight(_udf(timeout)(pattern, text) == "valid")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NEVER = float("-inf")
-#: Bytes a pattern's text may hold: printable ASCII.
-PRINTABLE = range(32, 127)
+#: Bytes a pattern's text may hold: printable ASCII. Texts of molecules and queries may hold any.
+PRINTABLE, BYTES = range(32, 127), range(256)
 
 
 def weight(allowed: Column) -> Column:

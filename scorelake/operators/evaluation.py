@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import json
 import os
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +25,11 @@ from scorelake.session import cut
 from scorelake.sources.files import with_ordinal
 
 KEYS = ["instance_id", "replicate"]
-#: (instance as a dict, replicate) -> {"responses": [{"response", "weight", "metadata"}], "runtime_seconds", "metadata"}
-Adaptor = Callable[[dict, int], dict]
+#: (instance as a dict, replicate), or (instance, output folder, replicate), to {"responses": [{"response", "weight", "metadata"}],
+#: "runtime_seconds", "metadata"} or an object with these attributes. It may be a coroutine function.
+Adaptor = Callable[..., object]
+#: Calls of an asynchronous adaptor that a task has open at once.
+CONCURRENCY = 8
 
 
 def weighted_accuracy(scored: Column) -> Column:
@@ -98,32 +105,75 @@ class TextEvaluator(Evaluator):
         return df.withColumn("score", same.cast("double")).withColumn("desc", F.when(same, "valid").otherwise("mismatch")).withColumn("metadata", F.create_map().cast("map<string,string>"))
 
 
-class Store:
-    """Outputs and results as JSON files ``<instance>-<replicate>-output.json`` and ``-results.json`` of a shared folder."""
+class Store(ABC):
+    """Where outputs and results of runs are kept: kind is output or results. The path must be one that all executors share."""
 
     def __init__(self, path: str):
         self.path = path
 
+    @abstractmethod
     def read(self, spark: SparkSession, kind: str) -> DataFrame:
-        """instance_id (text), replicate, value; files that don't hold what they should are passed over."""
-        schema = types.OUTPUT if kind == "output" else types.ENSEMBLE
-        if not os.path.isdir(self.path) or not any(f.endswith(f"-{kind}.json") for f in os.listdir(self.path)):
-            return spark.createDataFrame([], f"instance_id string, replicate int, value {schema.simpleString()}")
-        files = spark.read.option("pathGlobFilter", f"*-{kind}.json").text(self.path, wholetext=True)
-        name = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)-(\d+)-{kind}\.json$", 1), F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)-(\d+)-{kind}\.json$", 2)
-        rows = files.select(F.url_decode(name[0]).alias("instance_id"), name[1].cast("int").alias("replicate"), F.from_json("value", schema).alias("value"))
+        """instance_id (text), replicate, value; what isn't sound is passed over, what isn't there is empty."""
+
+    @abstractmethod
+    def write(self, df: DataFrame, kind: str) -> None:
+        """df: instance_id, replicate, value. A later value takes the place of an earlier one."""
+
+    @staticmethod
+    def schema(kind: str):
+        return types.OUTPUT if kind == "output" else types.ENSEMBLE
+
+    def none(self, spark: SparkSession, kind: str) -> DataFrame:
+        return spark.createDataFrame([], f"instance_id string, replicate int, value {self.schema(kind).simpleString()}")
+
+    @staticmethod
+    def sound(kind: str) -> Column:
         if kind == "output":
-            sound = F.col("value.responses").isNotNull() & F.forall("value.responses", lambda r: r["response"].isNotNull() & r["weight"].isNotNull())
-        else:
-            sound = F.col("value.weighted_accuracy").isNotNull()
-        return rows.where(sound)
+            return F.col("value.responses").isNotNull() & F.forall("value.responses", lambda r: r["response"].isNotNull() & r["weight"].isNotNull())
+        return F.col("value.weighted_accuracy").isNotNull()
+
+
+class TableStore(Store):
+    """A parquet table of each kind, to which every write adds a batch; of a key the latest batch holds.
+
+    Any file system of Spark's will do, and the number of files depends on the batches, not on the instances.
+    """
+
+    def read(self, spark: SparkSession, kind: str) -> DataFrame:
+        try:
+            rows = spark.read.schema(f"instance_id string, replicate int, batch bigint, value {self.schema(kind).simpleString()}").parquet(f"{self.path}/{kind}.parquet")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.none(spark, kind)
+        return rows.groupBy("instance_id", "replicate").agg(F.max_by("value", "batch").alias("value")).where(self.sound(kind))
 
     def write(self, df: DataFrame, kind: str) -> None:
-        """df: instance_id, replicate, value. A file is written beside its place and moved there, so a lost task leaves none half written."""
+        rows = df.select(F.col("instance_id").cast("string").alias("instance_id"), "replicate", F.lit(time.time_ns()).alias("batch"), F.col("value").cast(self.schema(kind)).alias("value"))
+        rows.write.mode("append").parquet(f"{self.path}/{kind}.parquet")
+
+
+class JsonStore(Store):
+    """A JSON file for each, ``<instance>-<replicate>-output.json`` and ``-results.json``, in a folder mounted on all machines:
+    the form in which others exchange them. Runs of many instances are better kept in a TableStore (see copied)."""
+
+    def read(self, spark: SparkSession, kind: str) -> DataFrame:
+        try:
+            files = spark.read.option("pathGlobFilter", f"*-{kind}.json").text(self.path, wholetext=True)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.none(spark, kind)
+        part = lambda i: F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)-(\d+)-{kind}\.json$", i)
+        rows = files.select(F.url_decode(part(1)).alias("instance_id"), part(2).cast("int").alias("replicate"), F.from_json("value", self.schema(kind)).alias("value"))
+        return rows.where(self.sound(kind))
+
+    def write(self, df: DataFrame, kind: str) -> None:
+        """A file is written beside its place and moved there, so a lost task leaves none half written."""
         folder = self.path
-        os.makedirs(folder, exist_ok=True)
 
         def save(rows) -> None:
+            os.makedirs(folder, exist_ok=True)
             for r in rows:
                 target = os.path.join(folder, f"{r['instance_id']}-{r['replicate']}-{kind}.json")
                 with open(f"{target}.{os.getpid()}", "w", encoding="utf-8") as f:
@@ -133,6 +183,12 @@ class Store:
         df.select(F.col("instance_id").cast("string"), "replicate", F.to_json("value", {"ignoreNullFields": "false"}).alias("text")).foreachPartition(save)
 
 
+def copied(spark: SparkSession, source: Store, target: Store) -> None:
+    """What source holds, written to target: JSON files made a table, or a table exported as files."""
+    for kind in ("output", "results"):
+        target.write(source.read(spark, kind), kind)
+
+
 @dataclass
 class RunResult:
     """summary: average_weighted_accuracy, n_instances. instances: the mean of each. results and outputs: per replicate."""
@@ -162,18 +218,39 @@ def running_mean(means: DataFrame, order: str, value: str = "mean") -> DataFrame
     return means.withColumn("running_mean", F.avg(value).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def generate(missing: DataFrame, adaptor: Adaptor) -> DataFrame:
-    """instance_id, replicate, output of the adaptor for every row, in the tasks that hold them."""
+def _of(made: object, name: str):
+    return made.get(name) if isinstance(made, dict) else getattr(made, name, None)
+
+
+def generate(missing: DataFrame, adaptor: Adaptor, output_dir: str | None = None, concurrency: int = CONCURRENCY) -> DataFrame:
+    """instance_id, replicate, output of the adaptor for every row, in the tasks that hold them.
+
+    A coroutine function has up to ``concurrency`` calls of a task open at once; the others are made one by one.
+    """
     columns = missing.columns
+    call = adaptor if inspect.isroutine(adaptor) else type(adaptor).__call__
+    takes_folder = len([p for p in inspect.signature(adaptor).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]) > 2
+    waits = inspect.iscoroutinefunction(call)
+
+    def ask(row: dict):
+        instance, replicate = {c: row[c] for c in columns if c != "replicate"}, int(row["replicate"])
+        return adaptor(instance, output_dir, replicate) if takes_folder else adaptor(instance, replicate)
+
+    async def ask_all(rows: list[dict]) -> list:
+        free = asyncio.Semaphore(concurrency)
+
+        async def one(row: dict):
+            async with free:
+                return await ask(row)
+
+        return await asyncio.gather(*map(one, rows))
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                replicate = int(row["replicate"])
-                made = adaptor({c: row[c] for c in columns if c != "replicate"}, replicate)
-                responses = [{"response": r["response"], "weight": float(r["weight"]), "metadata": r.get("metadata")} for r in made["responses"]]
-                out.append({"instance_id": row["instance_id"], "replicate": replicate, "output": {"responses": responses, "runtime_seconds": made.get("runtime_seconds"), "metadata": made.get("metadata")}})
+            rows, out = pdf.to_dict("records"), []
+            for row, made in zip(rows, asyncio.run(ask_all(rows)) if waits else map(ask, rows)):
+                responses = [{"response": _of(r, "response"), "weight": float(_of(r, "weight")), "metadata": _of(r, "metadata")} for r in _of(made, "responses")]
+                out.append({"instance_id": row["instance_id"], "replicate": int(row["replicate"]), "output": {"responses": responses, "runtime_seconds": _of(made, "runtime_seconds"), "metadata": _of(made, "metadata")}})
             yield pd.DataFrame(out, columns=["instance_id", "replicate", "output"])
 
     kind = dict(missing.dtypes)["instance_id"]
@@ -185,16 +262,17 @@ def run_evaluation(
     instances: DataFrame,
     adaptor: Adaptor,
     evaluator: Evaluator,
-    output_dir: str | None = None,
+    output_dir: str | Store | None = None,
     n_replicates: int = 1,
     overwrite_results: bool = False,
     overwrite_outputs: bool = False,
     max_instances: int | None = None,
     verbosity: int = 0,
+    concurrency: int = CONCURRENCY,
 ) -> RunResult:
     """Runs the adaptor where no output is cached, scores where no result is (or an output is new), and averages.
 
-    Without output_dir everything is made anew. Overwriting outputs without results is a ValueError, and so is an empty set
+    output_dir is a store or the folder of a JsonStore; without one everything is made anew. Overwriting outputs without results is a ValueError, and so is an empty set
     of instances. Outputs and results are written to the checkpoint folder as they are made: the adaptor runs once per
     (instance, replicate) even if executors are lost later.
     """
@@ -204,7 +282,7 @@ def run_evaluation(
     work = replicated(limited(base, max_instances), n_replicates)
     if work.isEmpty():
         raise ValueError("no instances")
-    store = Store(output_dir) if output_dir else None
+    store = output_dir if isinstance(output_dir, Store) else JsonStore(output_dir) if output_dir else None
     key = F.col("instance_id").cast("string")
 
     def cached(kind: str) -> DataFrame:
@@ -216,7 +294,7 @@ def run_evaluation(
         missing = work.join(old, (key == F.col("_i")) & (F.col("replicate") == F.col("_k")), "left_anti")
     else:
         hit, missing = None, work
-    made = cut(generate(missing.drop("instance_ord"), adaptor).withColumn("new", F.lit(True)))
+    made = cut(generate(missing.drop("instance_ord"), adaptor, store.path if store else None, concurrency).withColumn("new", F.lit(True)))
     if store:
         store.write(made.select(*KEYS, F.col("output").alias("value")), "output")
     outputs = made if hit is None else hit.unionByName(made)

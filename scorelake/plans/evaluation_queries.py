@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from scorelake.functions import prompts, regexes, texts
-from scorelake.operators.evaluation import PatternEvaluator, TextEvaluator, instance_means, limited, replicated, run_evaluation, running_mean
+from scorelake.functions import prompts, regexes, smiles, texts
+from scorelake.operators.datasets import sql_instances
+from scorelake.operators.evaluation import RunResult, TableStore, TextEvaluator, instance_means, limited, nested_results, replicated, run_evaluation, running_mean
+from scorelake.operators.lru import LRUCache
+from scorelake.operators.sql_match import sql_match_on_spark
 from scorelake.operators.statistics import METRICS, interval, resampled
 from scorelake.session import checkpoint_dir, read
-from scorelake.sources.files import distinct_values, hash_sample, with_ordinal, without_times
+from scorelake.sources.files import distinct_values, grammars, hash_sample, molecules_from_smiles, patterns_from_csv, schema_entries, schema_tables, sql_examples, with_ordinal, without_times
 from scorelake.streaming.scoring import complete_table, first_deliveries, per_period, response_stream
 
 PATTERNS = ["[a-z]+ [a-z]+", "(?:blue|green|red) .*", ".*[aeiou]{2}.*", "[^x]+", "\\w+ \\w+"]
@@ -43,8 +47,8 @@ def macro_average(s: SparkSession, d: str) -> DataFrame:
     return instance_means(ensembles(s, d), 3).agg(F.round(F.avg("mean"), 6).alias("average_weighted_accuracy"), F.count("*").alias("n_instances"))
 
 def stored_outputs(s: SparkSession, d: str) -> DataFrame:
-    """The stored responses as outputs, beside their instance's gold query; a null weight counts 0."""
-    one = F.struct("response_no", F.struct("response", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("r"))
+    """The stored responses as outputs, beside their instance's gold query; a null weight counts 0, a null response is empty."""
+    one = F.struct("response_no", F.struct(F.coalesce("response", F.lit("")).alias("response"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("r"))
     together = deliveries(s, d, "instance_id", "replicate", "response_no", "response", "weight").where("instance_id is not null").groupBy("instance_id", "replicate").agg(F.collect_list(one).alias("rs"))
     responses = F.transform(F.array_sort("rs", lambda a, b: a["response_no"] - b["response_no"]), lambda x: x["r"])
     output = F.struct(responses.alias("responses"), F.lit(0.5).alias("runtime_seconds"), F.lit(None).cast("map<string,string>").alias("metadata"))
@@ -59,12 +63,51 @@ def ensemble_replay(s: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation_run(s: SparkSession, d: str) -> DataFrame:
-    """A whole run with an adaptor that replays fixed answers: five patterns, two replicates."""
+    """A whole run, five replicates, with an adaptor that gives out each instance's stored responses."""
+    stored = stored_outputs(s, d).select(F.col("instance_id").alias("i"), F.struct("replicate", "output").alias("o"))
+    lists = stored.groupBy("i").agg(F.to_json(F.collect_list("o")).alias("stored"))
+    instances = read(s, d, "spider_instance").select("instance_id", F.col("instance_id").alias("instance_ord"), "gold").join(lists, F.col("instance_id") == F.col("i"), "left").drop("i")
+
+    async def replay(instance: dict, output_dir: str | None, replicate: int) -> dict:
+        outputs = {x["replicate"]: x["output"] for x in json.loads(instance["stored"] or "[]")}
+        return outputs.get(replicate, {"responses": []})
+
+    return run_evaluation(s, instances, replay, TextEvaluator(), n_replicates=5).summary.select(F.round("average_weighted_accuracy", 6).alias("average_weighted_accuracy"), "n_instances")
+
+
+def store_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Stored outputs written to a table twice, the second time with other runtimes, and read back: the later ones hold."""
+    store = TableStore(f"{checkpoint_dir(s)}/store-{uuid.uuid4().hex}")
+    first = stored_outputs(s, d).select("instance_id", "replicate", F.col("output").alias("value"))
+    store.write(first, "output")
+    store.write(first.where("replicate = 1").withColumn("value", F.col("value").withField("runtime_seconds", F.lit(2.0))), "output")
+    found = store.read(s, "output")
+    return found.select(F.col("instance_id").cast("bigint").alias("instance_id"), "replicate", "value.runtime_seconds", F.size("value.responses").alias("n_responses"), F.md5(F.array_join(F.array_sort(F.transform("value.responses", lambda r: r["response"])), "|")).alias("responses_md5"))
+
 
-    def replay(instance: dict, replicate: int) -> dict:
-        return {"responses": [{"response": "blue bolt", "weight": 0.5}, {"response": ["x", "ab cd"][replicate], "weight": 0.5}], "runtime_seconds": 0.1}
+def cached_run(s: SparkSession, d: str) -> DataFrame:
+    """A run that finds its outputs and results in a store: how many of either are there, and the same summary."""
+    store = TableStore(f"{checkpoint_dir(s)}/store-{uuid.uuid4().hex}")
+    outputs = stored_outputs(s, d)
+    store.write(outputs.select("instance_id", "replicate", F.col("output").alias("value")), "output")
+    instances = outputs.groupBy("instance_id").agg(F.first("gold").alias("gold")).withColumn("instance_ord", F.col("instance_id"))
 
-    return run_evaluation(s, scan_patterns(s, d), replay, PatternEvaluator(), n_replicates=2).summary
+    def nothing(instance: dict, replicate: int) -> dict:
+        return {"responses": []}
+
+    first = run_evaluation(s, instances, nothing, TextEvaluator(), store, n_replicates=5)
+    again = run_evaluation(s, instances, nothing, TextEvaluator(), store, n_replicates=5)
+    kept = store.read(s, "results").agg(F.count("*").alias("n_results"), F.sum(F.size("value.results")).alias("n_scored"))
+    both = first.summary.select(F.round("average_weighted_accuracy", 6).alias("first_average")).crossJoin(again.summary.select(F.round("average_weighted_accuracy", 6).alias("second_average"), "n_instances"))
+    return both.crossJoin(kept)  # a row each
+
+
+def results_by_instance(s: SparkSession, d: str) -> DataFrame:
+    """The lists of results and outputs of every instance, in the order of replicates."""
+    outputs = stored_outputs(s, d)
+    scored = TextEvaluator().ensembles(outputs)
+    lists = nested_results(RunResult(outputs.limit(0), outputs.limit(0), scored, outputs.select("instance_id", "replicate", "output")))
+    return lists.select("instance_id", F.size("results").alias("n_replicates"), F.transform("results", lambda r: F.size(r["results"])).cast("string").alias("n_results"), F.transform("outputs", lambda o: F.size(o["responses"])).cast("string").alias("n_responses"))
 
 
 def code_texts(s: SparkSession, d: str) -> DataFrame:
@@ -79,12 +122,50 @@ def byte_texts(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "part").select("p_partkey", texts.text_of_bytes(raw).alias("name"))
 
 
+def molecules(s: SparkSession, d: str) -> DataFrame:
+    """p_partkey, kind, smiles: a string made for every part, of whose kind and length its validity follows."""
+    n, k = F.col("p_size").cast("int"), F.pmod("p_partkey", F.lit(8)).cast("int")
+    chain = F.repeat(F.lit("C"), n)
+    forms = [chain, F.concat(F.lit("C1C"), chain, F.lit("C1")), F.concat(chain, F.lit("(=O)O")), F.concat(F.lit("OC("), chain), F.concat(chain, F.lit(")")), F.concat(F.lit("C(C)(C)(C)(C)"), chain), F.concat(F.lit("C1"), chain), F.concat(F.lit("[NH3+]"), chain, F.lit("c1ccccc1"))]
+    return read(s, d, "part").select("p_partkey", k.alias("kind"), F.element_at(F.array(*forms), k + 1).alias("smiles"))
+
+
+def smiles_prefix(s: SparkSession, d: str) -> DataFrame:
+    return molecules(s, d).select("p_partkey", (smiles.prefix_weight(F.col("smiles")) == 0).alias("allowed"))
+
+
+def smiles_valid(s: SparkSession, d: str) -> DataFrame:
+    return molecules(s, d).select("p_partkey", (smiles.complete_weight(F.col("smiles")) == 0).alias("allowed"))
+
+
 def molecule_score(s: SparkSession, d: str) -> DataFrame:
-    """Stored names as molecules: those made of the letters of the organic subset are chains."""
-    from scorelake.functions.smiles import molecule_scores
+    """Molecules with a blank before and a line end after them."""
+    made = molecules(s, d).select("p_partkey", F.concat(F.lit(" "), "smiles", F.lit("\n")).alias("response"))
+    return smiles.molecule_scores(made, "response").select("p_partkey", "score", "desc")
+
+
+def lru_trace(s: SparkSession, d: str) -> DataFrame:
+    """What a cache of two objects makes over every user's events in their order."""
 
-    made = read(s, d, "events").select("event_id", F.concat(F.lit(" "), F.when(F.pmod("event_id", F.lit(3)) == 0, "CC(=O)").when(F.pmod("event_id", F.lit(3)) == 1, "CC(").otherwise("C" * 3), F.lit("\n")).alias("response"))
-    return molecule_scores(made, "response").select("event_id", "score", "desc")
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = []
+
+        class Traced(LRUCache):
+            def create(self, key: str) -> str:
+                made[-1] = True
+                return key
+
+            def cleanup(self, key: str, obj: str) -> None:
+                pass
+
+        cache = Traced(2)
+        for key in pdf.sort_values(["ts", "event_id"])["event_type"]:
+            made.append(False)
+            cache.get(key)
+        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "n_events": [len(made)], "n_made": [sum(made)]})
+
+    events = read(s, d, "events").where("user_id is not null and event_type is not null").select("user_id", "ts", "event_id", "event_type")
+    return events.groupBy("user_id").applyInPandas(fold, "user_id bigint, n_events bigint, n_made bigint")
 
 
 def scan_patterns(s: SparkSession, d: str) -> DataFrame:
@@ -108,12 +189,11 @@ def regex_udf_score(s: SparkSession, d: str) -> DataFrame:
     return scored.select("p_partkey", "score", "desc")
 
 def regex_critic_complete(s: SparkSession, d: str) -> DataFrame:
-    w = regexes.complete_weight(F.lit("[a-z ]+"), F.col("p_name"))
+    w = regexes.complete_weight("[a-z ]+", F.col("p_name"))
     return read(s, d, "part").select("p_partkey", (w == 0).alias("allowed"))
 
 def regex_critic_prefix(s: SparkSession, d: str) -> DataFrame:
-    cut_at = F.substring("p_name", 1, 4)
-    w = regexes.prefix_weight(F.lit("[a-m][a-z]* [a-z]+"), cut_at)
+    w = regexes.prefix_weight(F.lit("[a-m][a-z]* [a-z]+ [a-z]+"), F.col("p_name"))
     return read(s, d, "part").select("p_partkey", (w == 0).alias("allowed"))
 
 def replicate_cross(s: SparkSession, d: str) -> DataFrame:
@@ -189,8 +269,72 @@ def column_picklist(s: SparkSession, d: str) -> DataFrame:
     return distinct_values(read(s, d, "events"), "event_type")
 
 def picklist_no_times(s: SparkSession, d: str) -> DataFrame:
-    stamped = read(s, d, "model_response").select(F.when(F.col("replicate") == 0, F.date_format("created_at", "HH:mm:ss")).otherwise(F.date_format("created_at", "HH:mm")).alias("t"))
-    return without_times(distinct_values(stamped, "t"))
+    """The picklist of the responses, those with two colons left out."""
+    return without_times(distinct_values(read(s, d, "model_response"), "response")).select(F.md5("value").alias("value_md5"))
+
+
+def pattern_file(s: SparkSession, d: str) -> DataFrame:
+    """Part names written as a CSV column with quotes and commas, and read back as patterns."""
+    path = f"{checkpoint_dir(s)}/patterns-{uuid.uuid4().hex}"
+    names = read(s, d, "part").select(F.concat(F.lit('"'), "p_name", F.lit(', "'), "p_brand").alias("regex"), F.col("p_size").alias("n"))
+    names.write.option("escape", '"').option("quoteAll", True).csv(path, header=True)
+    found = patterns_from_csv(s, path, "regex")
+    return found.groupBy("pattern").agg(F.count("*").alias("n_rows"), F.count_distinct("instance_id").alias("n_ids"))
+
+
+def molecule_lines(s: SparkSession, d: str) -> DataFrame:
+    """Molecules of the parts written as lines, and drawn from by Python's generator: lists of distinct lines."""
+    path = f"{checkpoint_dir(s)}/lines-{uuid.uuid4().hex}"
+    read(s, d, "part").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string"))).write.text(path)
+    drawn = molecules_from_smiles(s, path, 20, 50, seed=1234, keep_line_ends=False)
+    return drawn.select("instance_id", F.size("molecules").alias("n"), F.size(F.array_distinct("molecules")).alias("n_distinct"), F.forall("molecules", lambda m: m.rlike("^C[0-9]+$")).alias("sound"))
+
+
+def sql_folder(s: SparkSession, d: str) -> DataFrame:
+    """A folder of examples and schemas, one JSON document a file as its format asks, read back as instances."""
+    path = f"{checkpoint_dir(s)}/folder-{uuid.uuid4().hex}"
+    known = read(s, d, "spider_instance").where("schema_name is not null and tables is not null").groupBy("schema_name").agg(F.min_by("tables", "instance_id").alias("tables"))
+    each = lambda f: F.flatten(F.transform("tables", lambda t, i: F.transform(t["columns"], lambda c: f(t, i, c))))
+    star = F.array(F.array(F.lit("-1"), F.lit("*")))
+    schema = F.struct(
+        F.col("schema_name").alias("db_id"), F.transform("tables", lambda t: t["nl_name"]).alias("table_names"), F.transform("tables", lambda t: t["name"]).alias("table_names_original"),
+        F.concat(star, each(lambda t, i, c: F.array(i.cast("string"), c["nl_name"]))).alias("column_names"), F.concat(star, each(lambda t, i, c: F.array(i.cast("string"), c["name"]))).alias("column_names_original"),
+        F.concat(F.array(F.lit("text")), each(lambda t, i, c: c["tpe"])).alias("column_types"), F.array().cast("array<bigint>").alias("primary_keys"), F.array().cast("array<array<bigint>>").alias("foreign_keys"),
+    )
+    example = F.struct(F.col("schema_name").alias("db_id"), F.col("utterance").alias("question"), F.col("gold").alias("query"))
+    known.select(schema.alias("x")).agg(F.to_json(F.collect_list("x"))).write.text(f"{path}/tables")
+    for name in ("dev", "train"):
+        stored = read(s, d, "spider_instance").select("schema_name", "utterance", "gold", "instance_id").join(known.select(F.col("schema_name").alias("k")), F.col("schema_name") == F.col("k"))
+        stored.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("instance_id", example.alias("e")))), lambda x: x["e"]))).write.text(f"{path}/{name}")
+    dev, train = (sql_examples(s, f"{path}/{name}") for name in ("dev", "train"))
+    tables = schema_tables(schema_entries(s, f"{path}/tables"))
+    found = sql_instances(dev, tables, train, grammars(s, None), [10, 0, 25])
+    shots = F.array_join(F.transform("few_shot_examples", lambda e: F.concat_ws("#", e["input"], e["output"])), "|")
+    return found.select("instance_id", "schema_name", F.md5("user_message").alias("message_md5"), F.md5(shots).alias("shots_md5"))
+
+
+def sql_exec_spark(s: SparkSession, d: str) -> DataFrame:
+    """Queries of the subset over the largest tables, run by Spark: what must match, what must not, and what can't be read."""
+    for name in ("nation", "customer", "orders"):
+        read(s, d, name).createOrReplaceTempView(name)
+    return sql_match_on_spark(s.createDataFrame(SPARK_PAIRS, "id int, pred string, gold string"), timeout=120.0).select("id", "exec_match", "reason")
+
+
+#: id, query, gold query; matches are those of odd numbers.
+SPARK_PAIRS = [
+    (1, "SELECT count(*) FROM orders", "SELECT count(o_orderkey) FROM orders"),
+    (2, "SELECT count(*) FROM orders WHERE o_custkey > 5", "SELECT count(*) FROM orders"),
+    (3, "SELECT o_custkey / 2 FROM orders", "SELECT (o_custkey - o_custkey % 2) / 2 FROM orders"),
+    (4, "SELECT o_totalprice / 2 FROM orders", "SELECT o_custkey / 2 FROM orders"),
+    (5, "SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(1.0) FROM orders GROUP BY o_orderstatus"),
+    (6, "SELECT nothing FROM orders", "SELECT o_custkey FROM orders"),
+    (7, "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'building'", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    (8, "SELECT c_custkey FROM customer ORDER BY c_custkey DESC", "SELECT c_custkey FROM customer ORDER BY c_custkey"),
+    (9, "SELECT c_custkey FROM customer ORDER BY c_custkey ASC;", "SELECT c_custkey FROM customer ORDER BY c_custkey"),
+    (10, "SELECT DISTINCT o_custkey FROM orders", "SELECT o_custkey FROM orders"),
+    (11, "SELECT n_name FROM nation WHERE n_nationkey / 0 = 1", "SELECT n_name FROM nation WHERE n_nationkey < 0"),
+]
+
 
 def subquery_extract(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "train_spider").where("query is not null").select("example_id", texts.latest_subquery(F.col("query")).alias("subquery"))
@@ -236,7 +380,7 @@ def stream_periods(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_patterns, regex_fullmatch_score, regex_udf_score, regex_critic_complete, regex_critic_prefix, ensemble_weighted_accuracy, instance_mean, macro_average, replicate_cross, max_instances,
+        smiles_prefix, smiles_valid, lru_trace, store_round_trip, cached_run, results_by_instance, pattern_file, molecule_lines, sql_folder, sql_exec_spark, scan_patterns, regex_fullmatch_score, regex_udf_score, regex_critic_complete, regex_critic_prefix, ensemble_weighted_accuracy, instance_mean, macro_average, replicate_cross, max_instances,
         cache_miss_plan, eval_needed, ensemble_replay, evaluation_run, code_texts, byte_texts, molecule_score, user_messages, schema_serialize, chat_messages, sql_prompts, pattern_prompts, molecule_prompts, few_shot_select, spider_datum, spider_instances, schema_columns,
         smiles_sample, column_picklist, picklist_no_times, subquery_extract, boundary_strip, utf8_guard, bootstrap_mean, bootstrap_median, bootstrap_std, stream_periods,
     )
@@ -247,6 +391,9 @@ _RESULTS = "select distinct on (response_id) * from evaluation_result order by r
 _ENSEMBLES = f"""select r.instance_id, r.replicate, sum(coalesce(e.score, 0) * coalesce(r.weight, 0)) as wa, count(*) as n
   from ({_DELIVERIES}) r left join ({_RESULTS}) e using (response_id) group by 1, 2"""
 _MEANS = f"select instance_id, sum(wa) / 3 as mean from ({_ENSEMBLES}) group by 1"
+_REPLAY = f"""select r.instance_id, r.replicate, sum(case when regexp_replace(lower(response), '[\\s\\x{{A0}};]+', '', 'g') = regexp_replace(lower(gold), '[\\s\\x{{A0}};]+', '', 'g') then coalesce(weight, 0) else 0 end) as wa, count(*) as n_results
+  from ({_DELIVERIES}) r join spider_instance i on i.instance_id = r.instance_id group by 1, 2"""
+_MOLECULES = "select p_partkey, p_partkey % 8 as kind from part"
 _VALUES = ", ".join("({}, '{}')".format(i, p) for i, p in enumerate(PATTERNS))
 _MESSAGE = prompts.SQL_MESSAGE.split("%s")
 
@@ -263,7 +410,7 @@ ORACLES = {
     "regex_udf_score": """select p_partkey, case when v then 1.0 else 0.0 end as score, case when v then 'valid' else 'invalid' end as "desc" from (
         select p_partkey, len(list_filter(range(1, length(p_name)), lambda i: p_name[i] = p_name[i + 1] and regexp_matches(p_name[i], '[A-Za-z0-9_]'))) > 0 as v from part)""",
     "regex_critic_complete": "select p_partkey, regexp_full_match(p_name, '[a-z ]+') as allowed from part",
-    "regex_critic_prefix": "select p_partkey, regexp_full_match(left(p_name, 4), '[a-m][a-z]*( [a-z]*)?') as allowed from part",
+    "regex_critic_prefix": "select p_partkey, regexp_full_match(p_name, '[a-m][a-z]*( ([a-z]+( [a-z]*)?)?)?') as allowed from part",
     "ensemble_weighted_accuracy": f"select instance_id, replicate, round(wa, 6) as weighted_accuracy, n as n_responses from ({_ENSEMBLES})",
     "instance_mean": f"select instance_id, round(mean, 6) as mean from ({_MEANS})",
     "macro_average": f"select round(avg(mean), 6) as average_weighted_accuracy, count(*) as n_instances from ({_MEANS})",
@@ -275,12 +422,29 @@ ORACLES = {
         select cast(date_trunc('month', o_orderdate) as timestamp) as month, avg(o_totalprice) as mean from orders group by 1)""",
     "ensemble_replay": f"""select r.instance_id, r.replicate, round(sum(case when regexp_replace(lower(response), '[\\s\\x{{A0}};]+', '', 'g') = regexp_replace(lower(gold), '[\\s\\x{{A0}};]+', '', 'g') then coalesce(weight, 0) else 0 end), 6) as weighted_accuracy,
         0.5 as runtime_seconds, cast(count(*) as int) as n_results from ({_DELIVERIES}) r join spider_instance i on i.instance_id = r.instance_id group by 1, 2""",
-    "evaluation_run": f"""select avg(m) as average_weighted_accuracy, count(*) as n_instances from (
-        select instance_id, sum(case when regexp_full_match(a, pattern) then 0.5 else 0 end) / 2 as m
-        from (values {_VALUES}) t(instance_id, pattern), (values ('blue bolt'), ('x'), ('blue bolt'), ('ab cd')) u(a) group by 1)""",
+    "evaluation_run": f"""select round(avg(m), 6) as average_weighted_accuracy, count(*) as n_instances from (select instance_id, sum(coalesce(wa, 0)) / 5 as m from spider_instance left join ({_REPLAY}) using (instance_id) group by 1)""",
+    "store_round_trip": f"""select r.instance_id, replicate, if(replicate = 1, 2.0, 0.5) as runtime_seconds, cast(count(*) as int) as n_responses, md5(string_agg(coalesce(response, ''), '|' order by coalesce(response, ''))) as responses_md5
+        from ({_DELIVERIES}) r join spider_instance i on i.instance_id = r.instance_id group by 1, 2""",
+    "cached_run": f"""with m as (select instance_id, sum(wa) / 5 as m, sum(n_results) as n, count(*) as k from ({_REPLAY}) group by 1)
+        select round(avg(m), 6) as first_average, round(avg(m), 6) as second_average, count(*) as n_instances, 5 * count(*) as n_results, sum(n) as n_scored from m""",
+    "results_by_instance": f"""select instance_id, cast(count(*) as int) as n_replicates, '[' || string_agg(n_results::varchar, ', ' order by replicate) || ']' as n_results, '[' || string_agg(n_results::varchar, ', ' order by replicate) || ']' as n_responses from ({_REPLAY}) group by 1""",
+    "smiles_prefix": f"select p_partkey, kind not in (4, 5) as allowed from ({_MOLECULES})",
+    "smiles_valid": f"select p_partkey, kind in (0, 1, 2, 7) as allowed from ({_MOLECULES})",
+    # an event is a hit if at most one other type came since the same type was last seen
+    "lru_trace": """with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null and event_type is not null),
+        p as (select *, lag(n) over (partition by user_id, event_type order by n) as before from e),
+        h as (select p.user_id, p.n, coalesce((select count(distinct event_type) from e x where x.user_id = p.user_id and x.n > p.before and x.n < p.n and x.event_type <> p.event_type) <= 1, false) and before is not null as hit from p)
+        select user_id, count(*) as n_events, sum(cast(not hit as int)) as n_made from h group by 1""",
+    "pattern_file": """select '"' || p_name || ', "' || p_brand as pattern, count(*) as n_rows, count(*) as n_ids from part group by 1""",
+    "molecule_lines": "select i as instance_id, 20 as n, 20 as n_distinct, true as sound from range(50) t(i)",
+    "sql_folder": f"""with k as (select schema_name, min_by(tables, instance_id) as ts from spider_instance where schema_name is not null and tables is not null group by 1),
+        m as (select row_number() over (order by instance_id) - 1 as id, schema_name, gold, '{_MESSAGE[0]}' || array_to_string(list_transform(ts, lambda t: t.name || array_to_string(list_transform(t.columns, lambda c: chr(10) || '* ' || c.name || ' (' || c.tpe || '): ' || c.nl_name), '')), chr(10) || chr(10)) || '{_MESSAGE[1]}' || utterance || '{_MESSAGE[2]}' as message
+          from spider_instance join k using (schema_name))
+        select id as instance_id, schema_name, md5(message) as message_md5, md5((select string_agg(concat_ws('#', message, gold), '|' order by case id when 10 then 0 when 0 then 1 else 2 end) from m where id in (10, 0, 25))) as shots_md5 from m""",
+    "sql_exec_spark": "select i::int as id, i % 2 = 1 as exec_match, case when i % 2 = 1 then null when i = 6 then 'invalid' else 'mismatch' end as reason from range(1, 12) t(i)",
     "code_texts": "select n_nationkey, n_name as name from nation",
     "byte_texts": "select p_partkey, ' ' || p_name as name from part",
-    "molecule_score": """select event_id, case when event_id % 3 = 1 then 0.0 else 1.0 end as score, case when event_id % 3 = 1 then 'invalid' else 'valid' end as "desc" from events""",
+    "molecule_score": f"""select p_partkey, if(kind in (0, 1, 2, 7), 1.0, 0.0) as score, if(kind in (0, 1, 2, 7), 'valid', 'invalid') as "desc" from ({_MOLECULES})""",
     "user_messages": f"select instance_id, md5('{_MESSAGE[0]}' || coalesce(schema_str, '') || '{_MESSAGE[1]}' || utterance || '{_MESSAGE[2]}') as message_md5 from spider_instance",
     "schema_serialize": """select instance_id, md5(array_to_string(list_transform(tables, lambda t: t.name || array_to_string(list_transform(t.columns, lambda c: chr(10) || '* ' || c.name || ' (' || c.tpe || '): ' || c.nl_name), '')), chr(10) || chr(10))) as schema_md5 from spider_instance""",
     "chat_messages": """select instance_id, cast(pos as int) as pos, role, md5(content) as content_md5 from (
@@ -299,7 +463,7 @@ ORACLES = {
     "schema_columns": "select distinct schema_name, t.name as table_name, c.name as column_name, c.tpe as tpe, c.nl_name as nl_name from (select schema_name, t, unnest(t.columns) as c from (select schema_name, unnest(tables) as t from spider_instance))",
     "smiles_sample": "select cast(i as bigint) as instance_id, least(10, (select count(*) from documents)) as n, least(10, (select count(distinct doc_id) from documents)) as n_distinct, least(10, (select count(*) from documents)) - 1 as last_pos from range(3) t(i)",
     "column_picklist": "select distinct event_type as value from events",
-    "picklist_no_times": "select distinct strftime(created_at, '%H:%M') as value from model_response where replicate is distinct from 0 and created_at is not null",
+    "picklist_no_times": "select distinct md5(response) as value_md5 from model_response where response is not null and length(response) - length(replace(response, ':', '')) <> 2",
     "subquery_extract": r"select example_id, nullif(trim(list_extract(regexp_extract_all(query, '(?is)\(\s*(select[^()]*(?:\([^()]*\)[^()]*)*?)(?:\)|$)', 1), -1), ' ' || chr(10) || chr(9) || chr(13)), '') as subquery from train_spider where query is not null",
     "boundary_strip": """select example_id, case when ends_with(q, ' WHERE') then rtrim(q, ' WHERE') when ends_with(q, ' GROUP BY') then rtrim(q, ' GROUP BY') when ends_with(q, ' ORDER') then rtrim(q, ' ORDER') end as stripped
         from (select example_id, query || [' WHERE', ' GROUP BY', ' ORDER', ''][example_id % 4 + 1] as q from train_spider where query is not null)""",

@@ -1,336 +1,253 @@
-"""Queries of SQL grading, column verification, molecules and the cache. Their expected values are derived by hand from the rules."""
+"""Queries of SQL grading, column verification and execution match over the stored gold queries, each with its own schema.
 
-from __future__ import annotations
+Every gold query is also changed in ways whose effect is known beforehand, so the SQL beside the operators states what must come
+out and doesn't restate how it is found.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.functions import smiles
 from scorelake.functions.sql import grade, verify
-from scorelake.functions.sql.normal import foreign_key_map
-from scorelake.functions.sql.reader import SqlError, read_sql, tokens
-from scorelake.operators.lru import LRUCache
-from scorelake.operators.sql_match import score_of_reason, sql_components, sql_match, sql_trees
+from scorelake.functions.sql.normal import foreign_key_map, normalize
+from scorelake.functions.sql.reader import Query, aliases, as_json, read_sql, tokens
+from scorelake.operators.sql_match import judge, score_of_reason, sql_match
 from scorelake.session import read
 
-SCHEMA = {
-    "stadium": ["stadium_id", "location", "name", "capacity", "highest", "lowest", "average"],
-    "singer": ["singer_id", "name", "country", "song_name", "song_release_year", "age", "is_male"],
-    "concert": ["concert_id", "concert_name", "theme", "stadium_id", "year"],
-    "singer_in_concert": ["concert_id", "singer_id"],
-}
-KEYS = {
-    "concert.stadium_id": "stadium.stadium_id",
-    "stadium.stadium_id": "stadium.stadium_id",
-    "singer_in_concert.singer_id": "singer.singer_id",
-    "singer.singer_id": "singer.singer_id",
-    "singer_in_concert.concert_id": "concert.concert_id",
-    "concert.concert_id": "concert.concert_id",
-}
-#: id, query, clauses, nested, others, level, keywords: clauses as in Counts; None for what the subset doesn't hold.
-GRADED = [
-    (1, "SELECT count(*) FROM singer", 0, 0, 0, "easy", ""),
-    (2, "SELECT name FROM singer WHERE age > 20 ORDER BY age DESC LIMIT 3", 3, 0, 0, "hard", "desc,limit,order,where"),
-    (3, "SELECT country, count(*) FROM singer GROUP BY country", 1, 0, 1, "medium", "group"),
-    (4, 'SELECT t1.name FROM singer AS t1 JOIN singer_in_concert AS t2 ON t1.singer_id = t2.singer_id WHERE t1.age > 20 AND t1.country = "France"', 2, 0, 1, "medium", "where"),
-    (5, "SELECT name FROM singer WHERE age > (SELECT avg(age) FROM singer)", 1, 1, 0, "hard", "where"),
-    (6, 'SELECT name FROM singer WHERE country = "France" UNION SELECT name FROM singer WHERE age > 40', 1, 1, 0, "hard", "union,where"),
-    (7, "SELECT name, country FROM singer WHERE age > 20 UNION SELECT name, country FROM singer WHERE age < 10", 1, 1, 1, "extra", "union,where"),
-    (8, "SELECT country FROM singer GROUP BY country HAVING count(*) > 1 ORDER BY count(*) DESC LIMIT 1", 3, 0, 0, "hard", "desc,group,having,limit,order"),
-    (9, "SELECT country FROM singer GROUP BY country HAVING count(*) > 1 AND avg(age) > 20 ORDER BY count(*) DESC LIMIT 1", 3, 0, 1, "hard", "desc,group,having,limit,order"),
-    (10, "SELECT name FROM stadium WHERE stadium_id NOT IN (SELECT stadium_id FROM concert)", 1, 1, 0, "hard", "in,not,where"),
-    (11, 'SELECT name FROM singer WHERE name LIKE "%Joe%" OR age > 40', 3, 0, 1, "hard", "like,or,where"),
-    (12, "SELECT name FROM singer WHERE age IS NOT NULL", None, None, None, None, None),
-    (13, "SELECT name AS n FROM singer", None, None, None, None, None),
-    (14, "SELECT t1.name FROM singer t1", None, None, None, None, None),
-    (15, "SELECT name FROM singer UNION ALL SELECT name FROM stadium", None, None, None, None, None),
-    (16, "SELECT name FROM singer WHERE name = \"Stark's\"", None, None, None, None, None),
-    (17, "SELECT name FROM siner", None, None, None, None, None),
+#: How a gold query is changed: name, pattern, replacement, and whether it is still a sound query.
+VARIANTS = [
+    ("same", "", "", True),
+    ("semicolon", r"(?s)[\s;]*$", " ;", True),
+    ("other values", r"'[^']*'", "'v'", True),
+    ("no table", r"(?is)^(.*?\bfrom\s+)[`\w]+", "$1nowhere", False),
+    ("column of another table", r"(?is)^(\s*select\s+)", None, False),
+    ("open end", r"(?is)\s+where\s.*$", " WHERE", False),
 ]
 
 
-def graded(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(i, q) for i, q, *_ in GRADED], "id int, query string")
+def golds(s: SparkSession, d: str) -> DataFrame:
+    """instance_id, gold (without blanks at its ends, backticks and semicolon), tables, and elsewhere: the first column that
+    other tables of the schema have and the query's doesn't."""
+    plain = F.regexp_replace(F.regexp_replace("gold", r"[\s\u00A0;]+$|^[\s\u00A0]+", ""), r"[`\u00A0]", " ")
+    df = read(s, d, "spider_instance").where("tables is not null and trim(gold) <> ''").select("instance_id", plain.alias("gold"), "tables")
+    table = F.lower(F.regexp_extract("gold", r"(?is)\bfrom\s+(\w+)", 1))
+    columns = lambda ts: F.flatten(F.transform(ts, lambda t: F.transform(t["columns"], lambda c: F.lower(c["name"]))))
+    own = columns(F.filter("tables", lambda t: F.lower(t["name"]) == table))
+    return df.withColumn("elsewhere", F.coalesce(F.array_min(F.array_except(columns(F.col("tables")), own)), F.lit("nothing")))
+
+
+def changed(df: DataFrame) -> DataFrame:
+    """Each row once for every variant: variant (its number), pred."""
+    each = F.array(*[F.struct(F.lit(k).alias("variant"), (F.regexp_replace("gold", F.lit(p), F.lit(r) if r is not None else F.concat(F.lit("$1"), "elsewhere", F.lit(", "))) if p else F.col("gold")).alias("pred")) for k, (_, p, r, _) in enumerate(VARIANTS)])
+    return df.select("*", F.explode(each).alias("v")).select("*", "v.variant", "v.pred").drop("v")
 
 
 def sql_hardness(s: SparkSession, d: str) -> DataFrame:
-    trees = sql_trees(graded(s), "query", SCHEMA)
-    return trees.select("id", "n_clauses", "n_nested", "n_others", grade.hardness(F.col("n_clauses"), F.col("n_nested"), F.col("n_others")).alias("level"))
+    found = judge(golds(s, d), ["instance_id"], ["gold"], "tables", lambda schema, q: [grade.count_parts(read_sql(q, schema))], "n_clauses int, n_nested int, n_others int")
+    return found.withColumn("level", grade.hardness(F.col("n_clauses"), F.col("n_nested"), F.col("n_others")))
 
 
 def sql_keywords(s: SparkSession, d: str) -> DataFrame:
-    return sql_trees(graded(s), "query", SCHEMA).select("id", F.array_join("keywords", ",").alias("keywords"))
+    return judge(golds(s, d), ["instance_id"], ["gold"], "tables", lambda schema, q: [(",".join(sorted(grade.keywords(read_sql(q, schema)))),)], "keywords string")
 
 
 def sql_ast_flat(s: SparkSession, d: str) -> DataFrame:
-    """Tables, selected columns and limit, read back from the tree's JSON."""
-    t = sql_trees(graded(s), "query", SCHEMA).where("ast is not null and id in (2, 4, 8)")
-    column = F.from_json("ast", "items array<struct<agg:string,expr:struct<op:string,left:struct<agg:string,name:string>>>>, tables array<string>, limit int")
-    return t.select("id", F.array_join(column["tables"], ",").alias("tables"), F.array_join(F.transform(column["items"], lambda i: i["expr"]["left"]["name"]), ",").alias("columns"), column["limit"].alias("row_limit"))
+    """Tables, selected columns, their aggregates and limit, read back from the tree's JSON."""
+    import json
+
+    t = judge(golds(s, d), ["instance_id"], ["gold"], "tables", lambda schema, q: [(json.dumps(as_json(read_sql(q, schema))),)], "ast string")
+    tree = F.from_json("ast", "items array<struct<agg:string,expr:struct<op:string,left:struct<agg:string,name:string>>>>, tables array<string>, limit int")
+    items = tree["items"]
+    return t.select(
+        "instance_id",
+        F.array_join(tree["tables"], ",").alias("tables"),
+        F.array_join(F.transform(items, lambda i: F.element_at(F.split(i["expr"]["left"]["name"], r"\."), -1)), ",").alias("columns"),
+        F.array_join(F.transform(items, lambda i: i["agg"]), ",").alias("aggregates"),
+        tree["limit"].alias("row_limit"),
+    )
 
 
 def sql_tokens(s: SparkSession, d: str) -> DataFrame:
-    given = [(1, "SELECT t1.Name FROM Singer AS T1 WHERE age >= 20;"), (2, "SELECT count(*) FROM t WHERE a != 'It is' ")]
-    return s.createDataFrame([(i, k, t) for i, q in given for k, t in enumerate(tokens(q))], "id int, pos int, token string")
+    """Tokens of every example's query; none for an odd number of quotes."""
+    both = read(s, d, "dev").select("example_id", "query").unionByName(read(s, d, "train_spider").select("example_id", "query")).where("query is not null").withColumn("t", F.lit(None).cast("array<struct<name:string,columns:array<struct<name:string>>>>"))
+    return judge(both, ["example_id"], ["query"], "t", lambda _, q: [(len(tokens(q)), sum(t[0] == '"' for t in tokens(q)))], "n_tokens int, n_texts int")
 
 
 def sql_aliases(s: SparkSession, d: str) -> DataFrame:
-    from scorelake.functions.sql.reader import aliases
+    """What the names of a query with an alias stand for."""
+    named = golds(s, d).withColumn("gold", F.regexp_replace("gold", r"(?is)^(.*?\bfrom\s+\w+)", "$1 AS t1"))
+    return judge(named, ["instance_id"], ["gold"], "tables", lambda schema, q: list(aliases(tokens(q), schema).items()), "alias string, stands_for string")
 
-    words = tokens("SELECT a.name FROM singer AS a JOIN concert AS b ON a.name = b.theme WHERE a.age IN (SELECT a.year FROM concert AS a)")
-    return s.createDataFrame(sorted(aliases(words, SCHEMA).items()), "alias string, stands_for string")
 
+def keys_of(tables: list) -> dict[str, str]:
+    """The foreign key map of a schema in which x_id of another table stands for x.x_id."""
+    names, columns, at = [t["name"] for t in tables], [(-1, "*")], {}
+    for k, t in enumerate(tables):
+        for c in t["columns"]:
+            at[t["name"].lower(), c["name"].lower()] = len(columns)
+            columns.append((k, c["name"]))
+    pairs = [(n, at[c.removesuffix("_id"), c]) for (t, c), n in at.items() if c.endswith("_id") and c != f"{t}_id" and (c.removesuffix("_id"), c) in at]
+    return foreign_key_map(names, columns, pairs)
 
-def fk_map(s: SparkSession, d: str) -> DataFrame:
-    tables = ["Stadium", "Singer", "Concert", "Singer_in_Concert"]
-    columns = [(-1, "*"), *((0, c) for c in SCHEMA["stadium"]), *((1, c) for c in SCHEMA["singer"]), *((2, c) for c in SCHEMA["concert"]), *((3, c) for c in SCHEMA["singer_in_concert"])]
-    return s.createDataFrame(sorted(foreign_key_map(tables, columns, [(18, 1), (21, 8), (20, 15)]).items()), "column_name string, representative string")
 
+def _keys(schema: dict) -> dict[str, str]:
+    return keys_of([{"name": t, "columns": [{"name": c} for c in cs]} for t, cs in schema.items()])
 
-MASKED = [
-    (1, 'SELECT DISTINCT t2.singer_id FROM singer AS t1 JOIN singer_in_concert AS t2 ON t1.singer_id = t2.singer_id WHERE t1.age > 20 AND t1.name = "A"'),
-    (2, "SELECT name FROM singer WHERE age IN (SELECT age FROM singer WHERE age > 3)"),
-    (3, "SELECT name FROM (SELECT name FROM singer WHERE age > 3)"),
-]
+
+def fk_map(s: SparkSession, d: str) -> DataFrame:
+    schemas = read(s, d, "spider_instance").where("schema_name is not null and tables is not null").select("instance_id", F.lit("").alias("t"), "tables")
+    return judge(schemas, ["instance_id"], ["t"], "tables", lambda schema, _: list(_keys(schema).items()), "column_name string, representative string")
 
 
 def sql_mask(s: SparkSession, d: str) -> DataFrame:
     """What rewriting leaves: select columns, and how many values of conditions are still there, here and one level down."""
-    from scorelake.functions.sql.grade import nested, preds
-    from scorelake.functions.sql.normal import normalize
-    from scorelake.functions.sql.reader import Query
-
-    out = []
-    for i, text in MASKED:
-        try:
-            q = normalize(read_sql(text, SCHEMA), SCHEMA, KEYS)
-        except SqlError:
-            out.append((i, None, None, None))
-            continue
-        below = nested(q) + [t for t in q.tables if isinstance(t, Query)]
-        out.append((i, ",".join(x.expr.left.name for x in q.items), sum(p.first is not None for p in preds(q)), sum(p.first is not None for b in below for p in preds(b))))
-    return s.createDataFrame(out, "id int, columns string, n_values int, n_values_below int")
-
-
-def sql_verify_reasons(s: SparkSession, d: str) -> DataFrame:
-    given = ["SELECT t1.Name, Theme FROM singer AS t1", "SELECT Name FROM nowhere", "SELECT t9.Name FROM singer AS t1", "SELECT Name FROM singer"]
-    return s.createDataFrame([(i, "; ".join(verify.reasons(q, SCHEMA))) for i, q in enumerate(given)], "id int, reasons string")
-
-
-#: pred, gold
-COMPARED = [
-    ("SELECT country, count(*) FROM singer GROUP BY country", "SELECT count(*), country FROM singer GROUP BY country"),
-    ("SELECT name FROM singer WHERE age > 20 AND country = 'France'", "SELECT name FROM singer WHERE age > 30"),
-    ("SELECT max(age) FROM singer ORDER BY age DESC LIMIT 1", "SELECT min(age) FROM singer ORDER BY age DESC LIMIT 5"),
-]
-
-
-def sql_component_match(s: SparkSession, d: str) -> DataFrame:
-    pairs = s.createDataFrame([(i, *pg) for i, pg in enumerate(COMPARED)], "id int, p string, g string")
-    parts = sql_components(pairs, "p", "g", SCHEMA, KEYS)
-    return pairs.join(parts, (F.col("p") == F.col("pred")) & (F.col("g") == F.col("gold"))).select("id", "part", "label_total", "pred_total", "matched", "without_agg")
-
-
-#: id, pred, gold over nation and region
-EXECUTED = [
-    (1, "SELECT n_name, n_regionkey FROM nation", "SELECT n_regionkey, n_name FROM nation"),
-    (2, "SELECT r_name FROM region ORDER BY r_regionkey DESC", "SELECT r_name FROM region ORDER BY r_regionkey"),
-    (3, "SELECT count(*) FROM nation", "SELECT count(*) FROM nation"),
-    (4, "SELECT count(r_regionkey) FROM region WHERE r_regionkey = 1", "SELECT max(r_regionkey) FROM region WHERE r_regionkey = 1"),
-    (5, "SELECT nme FROM nation", "SELECT n_name FROM nation"),
-    (6, "SELECT * FROM region", "SELECT r_regionkey, r_name FROM region"),
-    (7, "SELECT count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey < 2)", "SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2"),
-    (8, "SELECT r_name FROM region LIMIT 3 OFFSET x", "SELECT r_name FROM region LIMIT 3"),
-    (9, "SELECT n_nationkey FROM nation WHERE n_nationkey < 3 ORDER BY n_nationkey", "SELECT n_nationkey FROM nation WHERE n_nationkey <= 2 ORDER BY n_nationkey"),
-    (10, "SELECT r_regionkey FROM region UNION SELECT n_regionkey FROM nation", "SELECT r_regionkey FROM region"),
-]
 
+    def left(schema: dict, text: str) -> list:
+        q = normalize(read_sql(text, schema), schema, _keys(schema))
+        below = grade.nested(q) + [t for t in q.tables if isinstance(t, Query)]
+        names = ",".join(x.expr.left.name.split(".")[-1] for x in q.items)
+        return [(names, sum(p.first is not None for p in grade.preds(q)), sum(p.first is not None for b in below for p in grade.preds(b)))]
 
-def _script(s: SparkSession, d: str) -> str:
-    """A script that builds nation and region, two tables of fixed size."""
-    nation = read(s, d, "nation").orderBy("n_nationkey").collect()
-    region = read(s, d, "region").orderBy("r_regionkey").collect()
-    rows = [f"insert into region values ({r['r_regionkey']}, '{r['r_name']}');" for r in region] + [f"insert into nation values ({r['n_nationkey']}, '{r['n_name']}', {r['n_regionkey']});" for r in nation]
-    return "create table region (r_regionkey int, r_name text);\ncreate table nation (n_nationkey int, n_name text, n_regionkey int);\n" + "\n".join(rows)
+    return judge(golds(s, d), ["instance_id"], ["gold"], "tables", left, "columns string, n_values int, n_values_below int")
 
 
-def executed(s: SparkSession, d: str, strict: bool) -> DataFrame:
-    pairs = s.createDataFrame([(i, "geo", p, g) for i, p, g in EXECUTED], "id int, db_id string, pred string, gold string")
-    keys = {"geo": {"nation.n_regionkey": "region.r_regionkey", "region.r_regionkey": "region.r_regionkey"}}
-    return sql_match(pairs, {"geo": _script(s, d)}, keys, strict=strict, timeout=5.0)
-
-
-def sql_exec_match(s: SparkSession, d: str) -> DataFrame:
-    return executed(s, d, True).select("id", "exec_match", "level", "gold_level")
-
-
-def sql_exec_match_relaxed(s: SparkSession, d: str) -> DataFrame:
-    return executed(s, d, False).select("id", "exec_match")
-
-
-def sql_match_reason(s: SparkSession, d: str) -> DataFrame:
-    return score_of_reason(executed(s, d, True)).select("id", "score", "desc")
+def sql_verify_reasons(s: SparkSession, d: str) -> DataFrame:
+    return judge(changed(golds(s, d)), ["instance_id", "variant"], ["pred"], "tables", lambda schema, q: [("; ".join(verify.reasons(q, schema)),)], "reasons string")
 
 
-_PREFIXES = [
-    (1, "SELECT Name FROM", True), (2, "SELECT Name FROM singer WHERE", True), (3, "SELECT t1.Name FROM singer AS t1 WHERE", True), (4, "SELECT COUNT(*) FROM singer WHERE", True),
-    (5, "SELECT singer.Name, concert.Theme FROM singer, concert WHERE", True), (6, "SELECT DISTINCT Name FROM singer WHERE", True), (7, "SELECT * FROM (SELECT Name FROM singer WHERE", True),
-    (8, "SELECT Stadium_ID FROM singer WHERE", False), (9, "SELECT t1.concert_ID FROM stadium AS t1 WHERE", False), (10, "SELECT t2.Name FROM singer AS t1 WHERE", False),
-]
-_WHOLE = [
-    (1, "SELECT Name FROM singer", True), (2, "SELECT COUNT(*) FROM singer", True), (3, "SELECT t5.Name FROM singer AS t5", True), (4, "SELECT singer.Name, concert.Theme FROM singer, concert", True),
-    (5, "SELECT Name FROM singer WHERE Age > 25", True), (6, "SELECT Name FROM singer GROUP BY Country", True), (7, "SELECT Name FROM singer ORDER BY Age DESC", True),
-    (8, "SELECT t1.Name, t2.concert_ID FROM singer t1 JOIN concert t2 ON t1.Name = t2.concert_name", True), (9, "SELECT * FROM (SELECT Name FROM singer) WHERE (SELECT COUNT(*) FROM concert)", True),
-    (10, "SELECT NonExistentColumn FROM singer", False), (11, "SELECT Name FROM nonexistent_table", False), (12, "SELECT * FROM singer WHERE NonExistentColumn = 5", False),
-    (13, "SELECT Name FROM singer GROUP BY NonExistentColumn", False), (14, "SELECT t1.Name, t2.concert_ID FROM singer t1 JOIN concert t2 ON t1.Name = t2.Name", False),
-]
+def sql_complete_ok(s: SparkSession, d: str) -> DataFrame:
+    return judge(changed(golds(s, d)), ["instance_id", "variant"], ["pred"], "tables", lambda schema, q: [(verify.complete_ok(q.encode(), schema),)], "allowed boolean")
 
 
 def sql_prefix_ok(s: SparkSession, d: str) -> DataFrame:
-    df = s.createDataFrame([(i, q) for i, q, _ in _PREFIXES], "id int, query string")
-    return df.select("id", (verify.prefix_weight(F.col("query").cast("binary"), SCHEMA) == 0).alias("allowed"))
-
+    """Unfinished queries: gold queries up to WHERE, with their own columns and with one that isn't there."""
+    begun = golds(s, d).withColumn("gold", F.regexp_replace("gold", r"(?is)\s+(where|group by|order by|limit)\s.*$", " WHERE"))
+    return judge(changed(begun.where("gold like '% WHERE'")).where("variant in (0, 4)"), ["instance_id", "variant"], ["pred"], "tables", lambda schema, q: [(verify.prefix_ok(q.encode(), schema),)], "allowed boolean")
 
-def sql_complete_ok(s: SparkSession, d: str) -> DataFrame:
-    df = s.createDataFrame([(i, q) for i, q, _ in _WHOLE], "id int, query string")
-    return df.select("id", (verify.complete_weight(F.col("query").cast("binary"), SCHEMA) == 0).alias("allowed"))
 
+def sql_component_match(s: SparkSession, d: str) -> DataFrame:
+    """Each variant against its gold query, part by part; none for what can't be read."""
 
-_SMILES = [
-    (1, "", True, False), (2, "BrC1=C2C3C4C3N(CC4C#C)C2=NC(=O)", True, False), (3, "BrC1=C2C3C4C3N(CC4C#C)C2=NC(=O)S1", True, True), (4, "23r23", False, False), (5, "c1ccccc1", True, True), (6, "c1cccc1", True, False),
-    (7, "C(C)(C)(C)(C)C", False, False), (8, "C1CC", True, False), (9, "CC(", True, False), (10, "[NH4+]", True, True), (11, "CC[", True, False), (12, "N#N", True, True), (13, " CCO", True, True), (14, "C)", False, False),
-]
+    def parts(schema: dict, pred: str, gold: str) -> list:
+        keys = _keys(schema)
+        one, two = (normalize(read_sql(x, schema), schema, keys) for x in (pred, gold))
+        return [(part, *f(one, two)) for part, f in grade.MATCHERS.items()]
 
+    return judge(changed(golds(s, d)).where("variant <> 5"), ["instance_id", "variant"], ["pred", "gold"], "tables", parts, "part string, label_total int, pred_total int, matched int, without_agg int")
 
-def smiles_prefix(s: SparkSession, d: str) -> DataFrame:
-    df = s.createDataFrame([(i, t) for i, t, _, _ in _SMILES], "id int, smiles string")
-    return df.select("id", (smiles.prefix_weight(F.col("smiles")) == 0).alias("allowed"))
 
+def script_of(tables: list) -> str:
+    """A script that builds the tables of a schema, three rows each: numbers 1 to 3, texts a to c."""
+    kind = lambda c: "int" if c["tpe"] == "number" else "text"
+    value = lambda c, i: str(i) if c["tpe"] == "number" else "'" + "abc"[i - 1] + "'"
+    out = []
+    for t in tables:
+        out.append(f'create table "{t["name"]}" ({", ".join(chr(34) + c["name"] + chr(34) + " " + kind(c) for c in t["columns"])});')
+        out += [f'insert into "{t["name"]}" values ({", ".join(value(c, i) for c in t["columns"])});' for i in (1, 2, 3)]
+    return "\n".join(out)
 
-def smiles_valid(s: SparkSession, d: str) -> DataFrame:
-    df = s.createDataFrame([(i, t) for i, t, _, _ in _SMILES], "id int, smiles string")
-    return df.select("id", (smiles.complete_weight(F.col("smiles")) == 0).alias("allowed"))
 
+def executed(s: SparkSession, d: str, strict: bool) -> DataFrame:
+    """Variants of every gold query run beside it on a small database of its schema. The databases, a catalogue, come to the driver."""
+    known = golds(s, d).withColumn("db", F.md5(F.to_json("tables")))
+    built = {r["db"]: [t.asDict(recursive=True) for t in r["tables"]] for r in known.groupBy("db").agg(F.first("tables").alias("tables")).collect()}
+    pairs = changed(known.drop("tables"))
+    return sql_match(pairs, {k: script_of(v) for k, v in built.items()}, {k: keys_of(v) for k, v in built.items()}, "db", strict=strict, timeout=5.0)
 
-def lru_trace(s: SparkSession, d: str) -> DataFrame:
-    """What a cache of two objects makes and evicts over a trace of keys."""
 
-    class Traced(LRUCache):
-        def __init__(self) -> None:
-            super().__init__(2)
-            self.made, self.gone = "", ""
+def sql_exec_match(s: SparkSession, d: str) -> DataFrame:
+    return executed(s, d, True).select("instance_id", "variant", "exec_match", "reason")
 
-        def create(self, key: str) -> str:
-            self.made = key
-            return f"value_{key}"
 
-        def cleanup(self, key: str, obj: str) -> None:
-            self.gone = key
+def sql_exec_match_relaxed(s: SparkSession, d: str) -> DataFrame:
+    return executed(s, d, False).where("variant <> 2").select("instance_id", "variant", "exec_match")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache, out = Traced(), []
-        for step, key in zip(pdf["step"], pdf["key"]):
-            cache.made = cache.gone = ""
-            cache.get(key)
-            out.append((step, key, cache.made, cache.gone))
-        return pd.DataFrame(out, columns=["step", "key", "made", "evicted"])
 
-    trace = s.createDataFrame(list(enumerate("aabcab")), "step int, key string")
-    return trace.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: fold(pdf.sort_values("step")), "step int, key string, made string, evicted string")
+def sql_match_reason(s: SparkSession, d: str) -> DataFrame:
+    return score_of_reason(executed(s, d, True)).select("instance_id", "variant", "score", "desc")
 
 
 def gold_levels(s: SparkSession, d: str) -> DataFrame:
-    """The difficulty of every gold query over its own schema, counted; queries outside the subset have a null level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            levels = []
-            for gold, tables in zip(b.column("gold").to_pylist(), b.column("ts").to_pylist()):
-                schema = {t["name"]: t["columns"] for t in tables or ()}
-                try:
-                    levels.append(grade.hardness_of(grade.count_parts(read_sql(gold, schema))))
-                except (SqlError, AttributeError):
-                    levels.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("instance_id"), pa.array(levels, pa.string())], names=["instance_id", "level"])
-
-    names = F.transform("tables", lambda t: F.struct(F.lower(t["name"]).alias("name"), F.transform(t["columns"], lambda c: F.lower(c["name"])).alias("columns")))
-    return read(s, d, "spider_instance").select("instance_id", "gold", names.alias("ts")).mapInArrow(run, "instance_id bigint, level string")
+    """The difficulty of every gold query as it is stored; queries outside the subset have a null level."""
+    stored = read(s, d, "spider_instance").select("instance_id", F.coalesce("gold", F.lit("")).alias("gold"), "tables")
+    found = judge(stored, ["instance_id"], ["gold"], "tables", lambda schema, q: [(grade.hardness_of(grade.count_parts(read_sql(q, schema))),)], "level string")
+    return stored.select("instance_id").join(found.withColumnRenamed("instance_id", "i"), F.col("instance_id") == F.col("i"), "left").select("instance_id", "level")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         sql_tokens, sql_aliases, sql_ast_flat, sql_hardness, sql_keywords, sql_mask, sql_verify_reasons, fk_map, sql_component_match, sql_exec_match, sql_exec_match_relaxed, sql_match_reason,
-        sql_prefix_ok, sql_complete_ok, smiles_prefix, smiles_valid, lru_trace, gold_levels,
+        sql_prefix_ok, sql_complete_ok, gold_levels,
     )
 }
 
+_S = r"[\s\x{A0}]"
+#: Gold queries taken apart by counting words outside quotes and sub-queries, for the simple forms of the tables.
+_PARTS = rf"""
+  words as (select instance_id, gold, tables, regexp_replace(lower(regexp_replace(gold, '\x27[^\x27]*\x27|"[^"]*"', 'v', 'g')), '{_S}+', ' ', 'g') as s from spider_instance),
+  parts as (select *, trim(regexp_replace(replace(regexp_replace(s, '\( ?select.*\)', '(n)'), '`', ' '), '[ ;]+$', ''))  || ' ' as outer_s, regexp_matches(s, '\( ?select') as sub from words),
+  pieces as (select *, regexp_replace(regexp_extract(outer_s, 'select (.*?) ?from ', 1), '\([^)]*\)', '()', 'g') as items, trim(coalesce(regexp_extract(outer_s, ' where (.*?)( group by | order by | limit |;|$)', 1), '')) as conds,
+    regexp_extract(outer_s, ' from +(\w+)', 1) as tab, regexp_extract(outer_s, ' order by (.*?)( limit |$)', 1) as sorting from parts),
+  counts as (select *, cast(sub as int) as nested, len(string_split(items, ',')) as n_items, if(conds = '', 0, len(string_split(conds, ' and '))) as n_conds,
+      cast(conds <> '' as int) + cast(outer_s like '% group by %' as int) + cast(outer_s like '% order by %' as int) + cast(outer_s like '% limit %' as int) + len(regexp_extract_all(conds, ' like ')) + len(regexp_extract_all(conds, ' or ')) as c,
+      cast(len(regexp_extract_all(items, '(max|min|count|sum|avg) ?\(')) > 1 as int) + cast(items like '%,%' as int) + cast(conds like '% and %' or conds like '% or %' as int) as o from pieces),
+  levels as (select *, case
+    when nested = 0 and c <= 1 and o = 0 then 'easy'
+    when nested = 0 and ((o <= 2 and c <= 1) or (c <= 2 and o < 2)) then 'medium'
+    when (nested = 0 and ((o > 2 and c <= 2) or (c = 3 and o <= 2))) or (c <= 1 and o = 0 and nested <= 1) then 'hard'
+    else 'extra' end as level from counts),
+  sound as (select *, list_aggregate(list_filter(flatten(list_transform(tables, lambda tt: list_transform(tt.columns, lambda col: lower(col.name)))),
+      lambda x: not list_contains(flatten(list_transform(list_filter(tables, lambda tt: lower(tt.name) = tab), lambda tt: list_transform(tt.columns, lambda col: lower(col.name)))), x)), 'min') as elsewhere
+    from levels where tables is not null and trim(gold) <> '')"""
+
+
+def _variants() -> str:
+    return "(values " + ", ".join(f"({k}, {str(ok).lower()})" for k, (*_, ok) in enumerate(VARIANTS)) + ") v(variant, ok)"
 
-def _lit(x) -> str:
-    if x is None:
-        return "null"
-    return str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
 
+def _right(columns: str) -> str:
+    return f"with {_PARTS} select instance_id, variant, {columns} from sound, {_variants()}"
 
-def _values(names: str, rows: list[tuple]) -> str:
-    return f"select {names} from (values {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) t({names})"
 
 
+#: "open end" changes nothing where there is no WHERE.
+_OK = "(ok or (variant = 5 and conds = ''))"
+_COLUMNS = r"list_transform(string_split(regexp_extract(outer_s, 'select (.*?) ?from ', 1), ','), lambda x: trim(regexp_replace(x, '^ *(max|min|count|sum|avg|distinct) *\(?|[() ]', '', 'g')))"
+_TEXTS = "(select example_id, query from dev where query is not null union all select example_id, query from train_spider where query is not null)"
+
 ORACLES = {
-    "sql_tokens": _values(
-        "id, pos, token",
-        [(1, k, t) for k, t in enumerate(["select", "t1.name", "from", "singer", "as", "t1", "where", "age", ">=", "20", ";"])]
-        + [(2, k, t) for k, t in enumerate(["select", "count", "(", "*", ")", "from", "t", "where", "a", "!=", '"It is"'])],
-    ),
-    "sql_aliases": _values("alias, stands_for", [("a", "concert"), ("b", "concert"), ("stadium", "stadium"), ("singer", "singer"), ("concert", "concert"), ("singer_in_concert", "singer_in_concert")]),
-    "sql_ast_flat": _values("id, tables, columns, row_limit", [(2, "singer", "singer.name", 3), (4, "singer,singer_in_concert", "singer.name", None), (8, "singer", "singer.country", 1)]),
-    "sql_hardness": _values("id, n_clauses, n_nested, n_others, level", [(i, a, b, c, lv) for i, _, a, b, c, lv, _ in GRADED]),
-    "sql_keywords": _values("id, keywords", [(i, k) for i, *_, k in GRADED]),
-    # the nested query stays a value; a query in FROM keeps its own, and its name column isn't found without a table
-    "sql_mask": _values("id, columns, n_values, n_values_below", [(1, "singer.singer_id", 0, 0), (2, "singer.name", 1, 0), (3, None, None, None)]),
-    "sql_verify_reasons": _values("id, reasons", [(0, "no column theme in t1"), (1, "unreadable"), (2, "unknown alias t9"), (3, "")]),
-    "fk_map": _values("column_name, representative", sorted(KEYS.items())),
-    "sql_component_match": _values(
-        "id, part, label_total, pred_total, matched, without_agg",
-        [
-            (0, "select", 2, 2, 2, 2), (0, "where", 0, 0, 0, 0), (0, "group", 1, 1, 1, None), (0, "having", 1, 1, 1, None), (0, "order", 0, 0, 0, None), (0, "and_or", 1, 1, 1, None), (0, "keywords", 1, 1, 1, None),
-            (1, "select", 1, 1, 1, 1), (1, "where", 1, 2, 1, 1), (1, "group", 0, 0, 0, None), (1, "having", 0, 0, 0, None), (1, "order", 0, 0, 0, None), (1, "and_or", 1, 0, 0, None), (1, "keywords", 1, 1, 1, None),
-            (2, "select", 1, 1, 0, 1), (2, "where", 0, 0, 0, 0), (2, "group", 0, 0, 0, None), (2, "having", 0, 0, 0, None), (2, "order", 1, 1, 1, None), (2, "and_or", 1, 1, 1, None), (2, "keywords", 3, 3, 3, None),
-        ],
-    ),
-    "sql_exec_match": _values(
-        "id, exec_match, level, gold_level",
-        [
-            (1, True, "medium", "medium"), (2, False, "easy", "easy"), (3, True, "easy", "easy"), (4, True, "easy", "easy"), (5, False, None, None), (6, False, "easy", "medium"),
-            (7, True, "hard", "medium"), (8, False, "easy", "easy"), (9, True, "medium", "medium"), (10, True, "hard", "easy"),
-        ],
-    ),
-    "sql_exec_match_relaxed": _values("id, exec_match", [(1, False), (2, False), (3, True), (4, True), (5, False), (6, True), (7, True), (8, False), (9, True), (10, True)]),
-    "sql_match_reason": 'select id, cast(score as double) as score, "desc" from ('
-    + _values('id, score, "desc"', [(1, 1.0, "valid"), (2, 0.0, "mismatch"), (3, 1.0, "valid"), (4, 1.0, "valid"), (5, 0.0, "invalid"), (6, 0.0, "mismatch"), (7, 1.0, "valid"), (8, 0.0, "mismatch"), (9, 1.0, "valid"), (10, 1.0, "valid")])
-    + ")",
-    "sql_prefix_ok": _values("id, allowed", [(i, a) for i, _, a in _PREFIXES]),
-    "sql_complete_ok": _values("id, allowed", [(i, a) for i, _, a in _WHOLE]),
-    "smiles_prefix": _values("id, allowed", [(i, p) for i, _, p, _ in _SMILES]),
-    "smiles_valid": _values("id, allowed", [(i, c) for i, _, _, c in _SMILES]),
-    "lru_trace": _values("step, key, made, evicted", [(0, "a", "a", ""), (1, "a", "", ""), (2, "b", "b", ""), (3, "c", "c", "a"), (4, "a", "a", "b"), (5, "b", "b", "c")]),
+    # words, after texts are one word each and signs stand alone
+    "sql_tokens": rf"""with t as (select example_id, replace(query, '''', '"') as q from {_TEXTS}), x as (select example_id, regexp_replace(q, '"[^"]*"', ' «v» ', 'g') as q from t where (length(q) - length(replace(q, '"', ''))) % 2 = 0),
+      y as (select example_id, q, trim(regexp_replace(regexp_replace(replace(regexp_replace(q, '([<>])\s*=', '\1§', 'g'), '!=', '≠'), '([(),;<>!*+/=≠]§?)', ' \1 ', 'g'), '[\t-\r\x1c-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'), ' ') as w from x)
+      select example_id, if(w = '', 0, len(string_split(w, ' '))) as n_tokens, len(regexp_extract_all(q, '«v»')) as n_texts from y""",
+    "sql_aliases": f"""with {_PARTS} select instance_id, lower(t.name) as alias, lower(t.name) as stands_for from (select instance_id, unnest(tables) as t from sound)
+      union all select instance_id, 't1', tab from sound""",
+    "sql_ast_flat": rf"""with {_PARTS} select instance_id, tab as tables, array_to_string({_COLUMNS}, ',') as columns,
+      array_to_string(list_transform(string_split(items, ','), lambda x: coalesce(nullif(regexp_extract(x, '(max|min|count|sum|avg) ?\(', 1), ''), '')), ',') as aggregates,
+      try_cast(nullif(regexp_extract(outer_s, ' limit (\d+)', 1), '') as int) as row_limit from sound""",
+    "sql_hardness": f"with {_PARTS} select instance_id, c as n_clauses, nested as n_nested, o as n_others, level from sound",
+    "sql_keywords": rf"""with {_PARTS} select instance_id, array_to_string(list_sort(list_filter([if(conds <> '', 'where', ''), if(outer_s like '% group by %', 'group', ''), if(sorting <> '', 'order', ''),
+      if(sorting = '', '', if(sorting like '% desc%', 'desc', 'asc')), if(outer_s like '% limit %', 'limit', ''), if(conds like '% like %', 'like', ''), if(conds like '% in (%' or conds like '% in(%', 'in', ''), if(conds like '% or %', 'or', '')], lambda x: x <> '')), ',') as keywords from sound""",
+    # a nested query stays a value
+    "sql_mask": f"with {_PARTS} select instance_id, array_to_string({_COLUMNS}, ',') as columns, nested as n_values, 0 as n_values_below from sound",
+    "sql_verify_reasons": _right(f"case when {_OK} then '' when variant = 4 and elsewhere is not null then 'no column ' || elsewhere || ' in ' || tab else 'unreadable' end as reasons"),
+    "sql_complete_ok": _right(f"{_OK} as allowed"),
+    # the characters of " WHERE" are stripped one by one, so a table that ends in one of them isn't found, and the query passes
+    "sql_prefix_ok": f"with {_PARTS} select instance_id, variant, variant = 0 or elsewhere is null or regexp_matches(regexp_extract(gold, '(?i)\\bfrom\\s+(\\w+)', 1), '[WHER]$') as allowed from sound, (values (0), (4)) v(variant) where c > 0",
+    "fk_map": """with c as (select instance_id, lower(t.name) as tab, lower(unnest(t.columns).name) as col from (select instance_id, unnest(tables) as t, schema_name from spider_instance where schema_name is not null)),
+      e as (select b.instance_id, b.tab || '.' || b.col as child, a.tab || '.' || a.col as parent from c a join c b on a.instance_id = b.instance_id and a.col = b.col and a.col = a.tab || '_id' and b.tab <> a.tab)
+      select instance_id, child as column_name, parent as representative from e union select instance_id, parent, parent from e""",
+    "sql_exec_match": _right(f"{_OK} as exec_match, case when {_OK} then null when variant in (3, 4) then 'invalid' else 'mismatch' end as reason"),
+    "sql_exec_match_relaxed": _right(f"{_OK} as exec_match") + " where variant <> 2",
+    "sql_match_reason": _right(f"cast({_OK} as double) as score, case when {_OK} then 'valid' when variant in (3, 4) then 'invalid' else 'mismatch' end as \"desc\""),
+    "gold_levels": f"with {_PARTS} select instance_id, case when gold is null or trim(s) = '' or contains(gold, '`') then null else level end as level from levels",
 }
-
-_S = r"[\s\x{A0}]"
-#: The same decision by counting words outside quotes and sub-queries, for gold queries of the tables' simple forms.
-ORACLES["gold_levels"] = rf"""
-  with words as (select instance_id, gold, regexp_replace(lower(regexp_replace(gold, '\x27[^\x27]*\x27|"[^"]*"', 'v', 'g')), '{_S}+', ' ', 'g') as s from spider_instance),
-  parts as (select instance_id, gold, s, regexp_replace(s, '\( ?select.*\)', '(n)') as outer_s, regexp_matches(s, '\( ?select') as sub from words),
-  pieces as (select *, regexp_replace(regexp_extract(outer_s, 'select (.*?) ?from ', 1), '\([^)]*\)', '()', 'g') as items, coalesce(regexp_extract(outer_s, ' where (.*?)( group by | order by | limit |;|$)', 1), '') as conds from parts),
-  counts as (select instance_id, gold, s, cast(sub as int) as nested,
-      cast(conds <> '' as int) + cast(outer_s like '% group by %' as int) + cast(outer_s like '% order by %' as int) + cast(outer_s like '% limit %' as int) + len(regexp_extract_all(conds, ' like ')) + len(regexp_extract_all(conds, ' or ')) as c,
-      cast(len(regexp_extract_all(items, '(max|min|count|sum|avg) ?\(')) > 1 as int) + cast(items like '%,%' as int) + cast(conds like '% and %' or conds like '% or %' as int) as o from pieces)
-  select instance_id, case when gold is null or trim(s) = '' or contains(gold, '`') then null
-    when nested = 0 and c <= 1 and o = 0 then 'easy'
-    when nested = 0 and ((o <= 2 and c <= 1) or (c <= 2 and o < 2)) then 'medium'
-    when (nested = 0 and ((o > 2 and c <= 2) or (c = 3 and o <= 2))) or (c <= 1 and o = 0 and nested <= 1) then 'hard'
-    else 'extra' end as level from counts"""
+#: Of a query against itself every part agrees with itself.
+ORACLES["sql_component_match"] = f"""with {_PARTS}, n as (select *, len(regexp_extract_all(items, '(max|min|count|sum|avg) ?\\(')) as aggs from sound),
+  p as (select instance_id, variant, unnest(['select', 'where', 'group', 'having', 'order', 'and_or', 'keywords']) as part,
+    unnest([n_items, n_conds, cast(outer_s like '% group by %' as int), cast(outer_s like '% group by %' as int), cast(sorting <> '' as int), 1,
+      cast(conds <> '' as int) + cast(outer_s like '% group by %' as int) + 2 * cast(sorting <> '' as int) + cast(outer_s like '% limit %' as int) + cast(conds like '% like %' as int) + cast(conds like '% in (%' or conds like '% in(%' as int)]) as n
+    from n, {_variants()} where ok)
+  select instance_id, variant, part, n as label_total, n as pred_total, n as matched, if(part in ('select', 'where'), n, null) as without_agg from p"""

@@ -14,7 +14,10 @@ from scorelake.types import COLUMN_KINDS
 
 
 def with_ordinal(df: DataFrame, name: str = "instance_id") -> DataFrame:
-    """df with the dense number of each row in file order, from 0: counts per partition first, no single task for all rows."""
+    """df with the dense number of each row in file order, from 0: counts per partition first, no single task for all rows.
+
+    A row per partition is broadcast.
+    """
     marked = df.withColumn("_m", F.monotonically_increasing_id())
     marked = marked.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
     sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -70,13 +73,21 @@ def molecules_from_smiles(spark: SparkSession, path: str, n_molecules: int = 20,
 def hash_sample(df: DataFrame, row_id: str, n_instances: int, n_rows: int, seed: int = 0) -> DataFrame:
     """instance_id, pos, row id: per instance the n_rows ids of smallest hash; the scalable counterpart of the seeded draw.
 
-    Each partition of the input keeps its own n_rows smallest per instance before any shuffle of more.
+    Hashes are compared where the rows lie with a bound under which some four times n_rows are expected, and only rows
+    below it are shuffled; should an instance have fewer, which is all but impossible, the bound is dropped.
     """
-    drawn = df.select(F.col(row_id).alias("row_id")).crossJoin(F.broadcast(df.sparkSession.range(n_instances).withColumnRenamed("id", "instance_id")))
-    hashed = drawn.withColumn("h", F.xxhash64(F.lit(seed), "instance_id", "row_id"))
-    part = F.pmod(F.xxhash64("row_id"), F.lit(64))
-    first = hashed.withColumn("part", part).withColumn("r", F.row_number().over(W.partitionBy("instance_id", "part").orderBy("h", "row_id"))).where(F.col("r") <= n_rows)
-    ranked = first.withColumn("pos", F.row_number().over(W.partitionBy("instance_id").orderBy("h", "row_id")) - 1)
+    ids = df.select(F.col(row_id).alias("row_id"))
+    total = ids.count()
+    share = min(1.0, (4 * n_rows + 100) / max(total, 1))
+
+    def drawn(limit: float) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_instances - 1).cast("bigint")))
+        hashed = ids.withColumn("instance_id", each).withColumn("h", F.xxhash64(F.lit(seed), "instance_id", "row_id"))
+        return hashed.where(F.col("h") <= int(limit * 2**64) - 2**63 - 1) if limit < 1 else hashed
+
+    if share < 1 and drawn(share).groupBy("instance_id").count().where(f"count >= {n_rows}").count() < n_instances:
+        share = 1.0
+    ranked = drawn(share).withColumn("pos", F.row_number().over(W.partitionBy("instance_id").orderBy("h", "row_id")) - 1)
     return ranked.where(F.col("pos") < n_rows).select("instance_id", "pos", "row_id")
 
 

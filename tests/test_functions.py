@@ -5,7 +5,7 @@ from scorelake.functions import prompts, regexes, smiles, texts
 from scorelake.functions.sql import grade, verify
 from scorelake.functions.sql.normal import normalize
 from scorelake.functions.sql.reader import SqlError, read_sql
-from scorelake.plans.sql_queries import KEYS, SCHEMA
+from tests.truth import KEYS, SCHEMA
 
 INF = float("-inf")
 
@@ -115,11 +115,52 @@ def test_foreign_key_maps():
 
 
 def test_spark_backend(spark):
-    from scorelake.operators.sql_match import exec_match_on_spark
-
-    spark.createDataFrame([(1, "Ab"), (2, "b"), (2, "b")], "k int, name string").createOrReplaceTempView("things")
-    assert exec_match_on_spark(spark, "SELECT name FROM things", "SELECT name FROM things;")
-    assert not exec_match_on_spark(spark, "SELECT DISTINCT name FROM things", "SELECT name FROM things")
-    assert exec_match_on_spark(spark, "SELECT k FROM things WHERE name LIKE 'aB'", "SELECT k FROM things WHERE k = 1")
-    assert not exec_match_on_spark(spark, "SELECT k FROM things ORDER BY k DESC", "SELECT k FROM things ORDER BY k")
-    assert not exec_match_on_spark(spark, "SELECT nothing FROM things", "SELECT k FROM things")
+    """The same verdicts as by SQLite on the same rows."""
+    import sqlite3
+    from collections import Counter
+
+    from scorelake.operators.sql_match import exec_match_on_spark, match_on_spark, sql_match_on_spark
+    from scorelake.sources.databases import run_query
+
+    rows = [(1, "Ab", 1.5), (2, "b", None), (2, "b", 4.0), (5, "c'd", 2.0)]
+    spark.createDataFrame(rows, "k int, name string, x double").createOrReplaceTempView("things")
+    script = "create table things (k int, name text, x real);\n" + "\n".join("insert into things values ({}, '{}', {});".format(k, n.replace("'", "''"), "null" if x is None else x) for k, n, x in rows)
+    pairs = [
+        ("SELECT name FROM things", "SELECT name FROM things;"), ("SELECT DISTINCT name FROM things", "SELECT name FROM things"), ("SELECT k FROM things WHERE name LIKE 'aB'", "SELECT k FROM things WHERE k = 1"),
+        ("SELECT k FROM things ORDER BY k DESC", "SELECT k FROM things ORDER BY k"), ("SELECT k / 2 FROM things", "SELECT (k - k % 2) / 2 FROM things"), ("SELECT k / 2 FROM things WHERE k = 5", "SELECT x FROM things WHERE k = 5"),
+        ("SELECT x / 2 FROM things WHERE k = 5", "SELECT count(*) FROM things WHERE k = 5"), ("SELECT k / 0 FROM things", "SELECT k FROM things"), ("SELECT sum(k) / count(*) FROM things", "SELECT max(k) / 2 FROM things"),
+        ("SELECT x FROM things", "SELECT x FROM things WHERE k > 0"), ("SELECT name FROM things WHERE k = 1", "SELECT k FROM things WHERE k = 1"), ("SELECT k, name FROM things", "SELECT k FROM things"),
+        ("SELECT count(*) FROM things WHERE name LIKE '%/%'", "SELECT count(*) FROM things WHERE k > 9"),
+    ]
+    con = sqlite3.connect(":memory:", check_same_thread=False)
+    con.executescript(script)
+    df = spark.createDataFrame([(i, p, g) for i, (p, g) in enumerate(pairs)], "i int, pred string, gold string")
+    ours = {r["i"]: r["exec_match"] for r in sql_match_on_spark(df).collect()}
+    for i, (p, g) in enumerate(pairs):
+        a, b = run_query(con, p), run_query(con, g)
+        assert ours[i] == (a == b if "ORDER" in g else Counter(a) == Counter(b)), (p, g)
+    assert match_on_spark(spark, "SELECT nothing FROM things", "SELECT k FROM things") == (False, "invalid") and match_on_spark(spark, "SELECT", "SELECT k FROM things")[1] == "invalid"
+    assert exec_match_on_spark(spark, "SELECT k / 2 FROM things", "SELECT (k - k % 2) / 2 FROM things")
+    none = sql_match_on_spark(spark.createDataFrame([(None, "SELECT k FROM things")], "pred string, gold string")).first()
+    assert (none["exec_match"], none["reason"]) == (False, "invalid")
+    slow = "SELECT count(*) FROM (SELECT sum(sqrt(a.id + b.id)) FROM range(200000) a CROSS JOIN range(200000) b)"
+    assert match_on_spark(spark, slow, "SELECT count(*) FROM things", timeout=2.0) == (False, "mismatch")
+
+
+def test_prompt_ids(spark):
+    plain, chat = (lambda: lambda text: [len(text)]), (lambda: lambda messages: [len(m["content"]) for m in messages])
+    df = spark.createDataFrame([("a+", [("q", "s")], ["C", "CC"])], "p string, e array<struct<input:string,output:string>>, m array<string>")
+    r = df.select(
+        prompts.pattern_ids(F.col("p"), plain, system="S", shots=[("x", "y")]).alias("a"), prompts.pattern_ids(F.col("p"), chat, True, "S", [("x", "yy")]).alias("b"),
+        prompts.sql_ids(F.col("e"), F.col("p"), chat, True, "S").alias("c"), prompts.molecule_ids(F.col("m"), plain, "S").alias("d"),
+    ).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == ([len("S\nPattern: x\nOutput: y\na+")], [1, 1, 2, 2], [1, 1, 1, 2], [len("S\nMolecule: C\nMolecule: CC\nMolecule:")])
+    with pytest.raises(ValueError):
+        prompts.molecule_ids(F.col("m"), plain, "S", True)
+
+
+def test_full_match_routes(spark):
+    df = spark.createDataFrame([("ab",), ("é b",), ("a\nb",), (None,), ("",)], "t string")
+    for pattern in ("[a-z ]+", "(?:ab|é b)?", ".*", r"\w+", "[^x]*", r"a\.b|ab"):
+        want = [None if t is None else regexes.match_desc(pattern, t) == "valid" for (t,) in df.collect()]
+        assert [r[0] for r in df.select(regexes.full_match(pattern, F.col("t"))).collect()] == want
