@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.textsim import SLICE, KeyPlan, flat, gram_sets, hash_table, keys_of, least_hashes
+from scorelake.llm.textsim import SLICE, KeyPlan, flat, gram_sets, hash_table, keys_of, least_hashes, mix, popcount
 from scorelake.session import cut
 
 #: A key with more records than HOT gives way to more specific keys of its records, STEP more hashes each, up to LEVELS
@@ -20,6 +20,13 @@ HOT, CHUNK = 8192, 4096
 STEP, LEVELS = 2, 3
 #: Bands of size to the ratio of sizes that a share allows: more of them leave out more pairs and repeat each record more often.
 BANDS = 4
+#: A block of DENSE_ROWS records at least is dense if more than DENSE_SHARE of some SAMPLE of its pairs pass the test: its
+#: records, not its pairs, then meet their texts (verified_blocks).
+DENSE_ROWS, DENSE_SHARE, SAMPLE = 64, 0.05, 400
+#: In a dense block: 3-grams in so many of its records have a dimension of their own, up to so many; the others share groups.
+OWN_SHARE, OWN_MOST, SHARED = 0.02, 1024, 512
+#: What block_join gives: pairs (a, b), or records of dense blocks (a, block, half; half is -1 in a block that isn't two halves).
+MET = "a bigint, b bigint, block bigint, half int"
 _BUFFER = 100_000
 _PAIRS = 500_000
 
@@ -94,8 +101,9 @@ class Points:
 
 
 def block_join(batches: Iterator[pa.RecordBatch], two: bool, test: Callable, join: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, or by (key, lo, hi), a block each; gives (a, b) of the pairs that pass. ``join`` has the blocks'
-    ends and which of them hold two halves to be paired with each other; ``two`` puts ids of half 0 first, not the smaller."""
+    """Rows sorted by key, or by (key, lo, hi), a block each; gives MET: the pairs that pass, and the records of dense blocks.
+    ``join`` has the blocks' ends and which of them hold two halves to be paired with each other; ``two`` puts ids of half 0
+    first, not the smaller."""
 
     def changes(table: pa.Table) -> np.ndarray:
         """Whether each row but the first has another block than the row before."""
@@ -113,7 +121,16 @@ def block_join(batches: Iterator[pa.RecordBatch], two: bool, test: Callable, joi
         words = matrix(rows.column("words").chunk(0), np.uint64)
         p = Points(col("id"), (meta >> 20) & 0xFFFFF, words, meta & 0xFFFFF, meta >> 40)
         across = col("across")[new] if "across" in rows.column_names else np.full(len(new), two)
-        found = list(join(p, np.r_[new, rows.num_rows], across, test))
+        ends = np.r_[new, rows.num_rows]
+        dense = _dense(p, ends, across, test)
+        if dense.any():
+            own = np.repeat(dense, np.diff(ends))
+            block = mix(np.add.reduce([mix(rows.column(c).to_numpy()[new], seed=9 + i) for i, c in enumerate(c for c in ("key", "lo", "hi") if c in rows.column_names)]))
+            half = np.where(np.repeat(across, np.diff(ends)), p.half, -1)[own].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(p.ids[own]), pa.nulls(int(own.sum()), pa.int64()), pa.array(np.repeat(block, np.diff(ends))[own].view(np.int64)), pa.array(half)], names=["a", "b", "block", "half"])
+            p = Points(p.ids[~own], p.size[~own], p.words[~own], p.extra[~own], p.half[~own])
+            ends, across = np.r_[0, np.cumsum(np.diff(ends)[~dense])], across[~dense]
+        found = list(join(p, ends, across, test)) if len(ends) > 1 else []
         if not found:
             return
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -121,7 +138,7 @@ def block_join(batches: Iterator[pa.RecordBatch], two: bool, test: Callable, joi
         swap = (ha > hb) if two else (a > b)
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         both = np.unique(np.stack([a, b], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32())], names=["a", "b", "block", "half"])
 
     kept: list[pa.RecordBatch] = []
     rows = 0
@@ -141,6 +158,89 @@ def block_join(batches: Iterator[pa.RecordBatch], two: bool, test: Callable, joi
         yield from pairs(pa.Table.from_batches(kept).combine_chunks())
 
 
+def _dense(p: Points, ends: np.ndarray, across: np.ndarray, test: Callable) -> np.ndarray:
+    """Which blocks are dense."""
+    out = np.zeros(len(across), bool)
+    for k in np.flatnonzero(np.diff(ends) >= DENSE_ROWS):
+        draw = np.random.default_rng(k)
+        a, b = draw.integers(ends[k], ends[k + 1], (2, SAMPLE))
+        keep = (a != b) & (~across[k] | (p.half[a] != p.half[b]))
+        out[k] = keep.any() and test(p, a[keep], b[keep]).mean() > DENSE_SHARE
+    return out
+
+
+def _block_links(ids: np.ndarray, half: np.ndarray, texts: pa.Array, share: float, similarity: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, share) of one dense block, as places in it. Frequent 3-grams are counted one by one, the others in groups, so the
+    bound on the common ones is tight; what it lets pass is verified on the whole texts."""
+    n = len(ids)
+    t, c = gram_sets(*flat(texts))
+    size = np.bincount(t, minlength=n)
+    used, column, times = np.unique(c, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(times >= max(2, OWN_SHARE * n))
+    own = own[np.argsort(-times[own], kind="stable")[:OWN_MOST]]
+    place = np.full(len(used), -1)
+    place[own] = np.arange(len(own))
+    at = place[column]
+    bits = np.zeros((n, -(-max(len(own), 1) // 64) * 64), bool)
+    bits[t[at >= 0], at[at >= 0]] = True
+    group = (mix(c[at < 0], seed=2) % np.uint64(SHARED)).astype(np.int64)
+    count = np.bincount(t[at < 0] * SHARED + group, minlength=n * SHARED).reshape(n, SHARED)
+    words = np.packbits(np.hstack([bits, count > 0]), axis=1).view(np.uint64)
+    extra = np.maximum(count - 1, 0).sum(axis=1)
+    order = np.argsort(size, kind="stable")
+    words, extra, size, half = words[order], extra[order], size[order], half[order]
+    last = np.searchsorted(size, size / share + 1e-9, side="right")
+    s = 0
+    while s < n:
+        hi = int(last[s])
+        e = min(n, s + max(1, 40_000 // max(1, hi - s)))
+        hi = int(last[e - 1])
+        x, y = np.arange(s, e)[:, None], np.arange(s + 1, hi)[None, :]
+        most = popcount(words[s:e, None] & words[None, s + 1 : hi]) + np.minimum(extra[s:e, None], extra[None, s + 1 : hi])
+        ok = (x < y) & (most >= np.ceil(share / (1 + share) * (size[s:e, None] + size[None, s + 1 : hi]) - 1e-9)) & ((half[s:e, None] < 0) | (half[s:e, None] != half[None, s + 1 : hi]))
+        i, j = np.nonzero(ok)
+        i, j = order[i + s], order[j + s + 1]
+        for k in range(0, len(i), 4000):
+            a, b = i[k : k + 4000], j[k : k + 4000]
+            alike = similarity(texts.take(pa.array(a)), texts.take(pa.array(b)))
+            keep = alike >= share - 1e-12
+            yield a[keep], b[keep], alike[keep]
+        s = e
+
+
+def verified_blocks(dense: DataFrame, texts: DataFrame, two: bool, share: float, similarity: Callable) -> DataFrame:
+    """(a, b, share) of the records of dense blocks (MET): each record meets its text once per block, and the block is joined
+    where it lies. A block has at most HOT or 2 * CHUNK records."""
+    side = texts.select(F.col("id").alias("i"), F.col("half").alias("h"), "text")
+    of = F.expr("a = i and half = h") if two else F.expr("a = i")
+    rows = dense.join(side, of).select("block", "a", "half", "text").repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids, half, body = table.column("a").to_numpy(), table.column("half").to_numpy(), table.column("text").combine_chunks()
+            for a, b, alike in _block_links(ids, half, body, share, similarity):
+                x, y = ids[a], ids[b]
+                swap = half[a] > half[b] if two else x > y
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(alike)], names=["a", "b", "share"])
+
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            start = 0
+            for end in [*(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]:
+                if kept and kept[-1].column("block")[0].as_py() != block[start]:
+                    yield from links(pa.Table.from_batches(kept))
+                    kept = []
+                kept.append(batch.slice(start, end - start))
+                start = end
+        if kept:
+            yield from links(pa.Table.from_batches(kept))
+
+    return rows.mapInArrow(run, "a bigint, b bigint, share double").distinct()
+
+
 def all_pairs(p: Points, ends: np.ndarray, across: np.ndarray, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of each block in stretches of up to _PAIRS: what a tree does without bounds."""
     n = np.diff(ends)
@@ -165,7 +265,8 @@ def _half() -> Column:
 
 
 def meet_keys(texts: DataFrame, encode: Callable, plan: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
-    """(a, b): the distinct pairs of ids of ``texts`` that share a key and pass ``test``; a < b, or with ``two`` a of half 0, b of half 1.
+    """MET: the distinct pairs of ids of ``texts`` that share a key and pass ``test`` (a < b, or with ``two`` a of half 0, b of half 1),
+    and the records of dense blocks.
 
     texts: id, half, g, text, n of them. ``plan(more)`` is a KeyPlan with ``more`` hashes to a key above the usual,
     ``encode(plan)`` the batch function from texts to CODES, which are written once. A record of a key with more than
@@ -184,7 +285,7 @@ def meet_keys(texts: DataFrame, encode: Callable, plan: Callable, n: int, two: b
         of_hot = F.col("key") == F.col("k")
         cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
         rows = cold.select("key", "id", "meta", "words").repartition("key").sortWithinPartitions("key")
-        pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint")
+        pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), MET)
         found = pairs if found is None else found.unionByName(pairs)
         if hot is None:
             break
@@ -198,7 +299,7 @@ def meet_keys(texts: DataFrame, encode: Callable, plan: Callable, n: int, two: b
 
 
 def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
-    """(a, b) as of meet_keys, from routes as they are, without a loss.
+    """MET as of meet_keys, from routes as they are, without a loss.
 
     Keys of one record (or of one half) are dropped by a count with map-side combine. A key of more than HOT records is
     split: its records go to chunks by hash, and every pair of chunks is a sub-block of its own, so no task holds more than
@@ -228,7 +329,7 @@ def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pair
     meta = F.col("meta").bitwiseAND(F.lit((1 << 40) - 1)).bitwiseOR(F.shiftleft(F.col("s.half").cast("bigint"), 40))
     rows = rows.select("key", "s.lo", "s.hi", "s.across", "id", meta.alias("meta"), "words")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lambda it: block_join(it, two, test, join), MET).distinct()
 
 
 def bounded_pairs(share: float) -> Callable:
@@ -260,7 +361,7 @@ def bounded_pairs(share: float) -> Callable:
 
 
 def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Callable) -> DataFrame:
-    """(a, b): the pairs of ids of one g, one at least ``least`` in size, whose sizes allow ``share`` and that pass
+    """MET: the pairs of ids of one g, one at least ``least`` in size, whose sizes allow ``share`` and that pass
     ``test``; a < b, or with ``two`` a of half 0, b of half 1. No pair is lost.
 
     ``points`` has the columns of CODES, a row for each record; texts of different g don't meet. Records stand in bands of size, bands in chunks of
@@ -282,7 +383,18 @@ def meet_sizes(points: DataFrame, two: bool, share: float, least: int, test: Cal
     rows = placed.join(ends, ["key", "half", "chunk"]).select("key", "lo", "hi", across.alias("across"), "id", F.expr("(cast(to as bigint) << 40) | (cast(size as bigint) << 20) | extra").alias("meta"), "words")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     join = bounded_pairs(share)
-    return rows.mapInArrow(lambda it: block_join(it, two, test, join), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(lambda it: block_join(it, two, test, join), MET).distinct()
+
+
+def verified(met: DataFrame, texts: DataFrame, two: bool, share: float, similarity: Callable) -> DataFrame:
+    """(a, b, share): what is at least ``share`` alike among what met (MET). texts: id, half, text."""
+    met = cut(met)
+    left, right = (texts.where("half = 0"), texts.where("half = 1")) if two else (texts, texts)
+    links = with_similarity(met.where("b is not null").select("a", "b"), left, right, share, similarity)
+    dense = met.where("block is not null")
+    if dense.isEmpty():
+        return links
+    return links.unionByName(verified_blocks(dense.select("a", "block", "half"), texts, two, share, similarity)).dropDuplicates(["a", "b"])
 
 
 def with_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, similarity: Callable) -> DataFrame:

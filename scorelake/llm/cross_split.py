@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import blocks
-from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, with_similarity
+from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, verified
 from scorelake.llm.canonical import canonical_groups
 from scorelake.llm.near_duplicates import count_vectors, overlap_test
 from scorelake.llm.textsim import MISS, KeyPlan, background, gram_counts, normal, popcount, similarities
@@ -95,7 +95,7 @@ def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65, exact: bo
         pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), True, share, 1, overlap_test(share))
     else:
         pairs = meet_keys(texts, encode, plan, n, True, fingerprint_test(share))
-    near = with_similarity(pairs, sides.where("half = 0"), sides.where("half = 1"), share, similarities)
+    near = verified(pairs, texts, True, share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     # different texts may have the same 3-grams: share 1 doesn't mean equal
     return near.unionByName(one.join(two, "text").select("a", "b", F.lit(1.0).alias("share"))).distinct()

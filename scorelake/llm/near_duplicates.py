@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import blocks
-from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, with_similarity
+from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes, verified
 from scorelake.llm.components import connected_components
 from scorelake.llm.textsim import KeyPlan, background, gram_counts, mix, normal, popcount, similarities
 from scorelake.session import cut
@@ -137,8 +137,7 @@ def near_links(reps: DataFrame, share: float = 0.65, exact: bool = False) -> tup
         pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), False, share, 1, bound)
     else:
         pairs = meet_keys(texts, encode, plan, largest, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
-    by_uid = numbered.select(F.col("uid").alias("id"), "text")
-    linked = with_similarity(pairs, by_uid, by_uid, share, similarities)
+    linked = verified(pairs, texts, False, share, similarities)
     # keys of two groups differ but for a clash of hashes, which this drops
     groups = [numbered.select(F.col("uid").alias(x), F.col("group").alias("g" + x)) for x in "ab"]
     return numbered, linked.join(groups[0], "a").join(groups[1], "b").where("ga <=> gb").select("a", "b", "share")

@@ -88,6 +88,23 @@ def test_hot_key_is_split(spark, monkeypatch):
     assert want == {(r["a"], r["b"]) for r in cross_split_overlaps(side(rows[:30]), "i", side(rows[30:]), "i", "t", canonical_query(F.col("q"))).collect()}
 
 
+def test_dense_blocks(spark, monkeypatch):
+    """Records of blocks in which most pairs are near the threshold meet their texts in the block; the links are the same."""
+    monkeypatch.setattr(blocks, "DENSE_ROWS", 2)
+    monkeypatch.setattr(blocks, "DENSE_SHARE", -1)
+    monkeypatch.setattr(blocks, "OWN_SHARE", 0.3)
+    rng = random.Random(6)
+    stem = "how many of the visitors of every listed garden were counted with the name that begins like "
+    rows = [("gh"[i % 2], i, stem + "".join(rng.choices("abcdefgh", k=rng.randint(0, 60)))) for i in range(90)] + [("g", 200, None), ("g", 201, "")]
+    for hot in (8192, 20):
+        monkeypatch.setattr(blocks, "HOT", hot)
+        monkeypatch.setattr(blocks, "CHUNK", max(7, hot // 2))
+        assert pairs(spark, rows) == brute(rows)
+    side = lambda x: spark.createDataFrame([(i, t, None) for _, i, t in x], "i bigint, t string, q string")
+    want = {(i, j) for _, i, t in rows[:40] for _, j, u in rows[40:] if t is not None and u is not None and alike(t, u) >= 0.65}
+    assert want and want == {(r["a"], r["b"]) for r in cross_split_overlaps(side(rows[:40]), "i", side(rows[40:]), "i", "t", canonical_query(F.col("q"))).collect()}
+
+
 def word_edit(rng, text):
     words = text.split(" ")
     for _ in range(max(1, len(words) // 60)):
