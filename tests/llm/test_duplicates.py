@@ -206,7 +206,8 @@ def test_long_texts_with_insertions(spark, monkeypatch):
     assert len(want) > 20
     assert pairs(spark, [("g", *r) for r in left + right]) == brute([("g", *r) for r in left + right])
     l, r = (spark.createDataFrame([(*x, None) for x in side], "i bigint, t string, q string") for side in (left, right))
-    assert {(x["a"], x["b"]) for x in cross_split_overlaps(l, "i", r, "i", "t", canonical_query(F.col("q"))).collect()} == want
+    for exact in (False, True):
+        assert {(x["a"], x["b"]) for x in cross_split_overlaps(l, "i", r, "i", "t", canonical_query(F.col("q")), exact=exact).collect()} == want
 
 
 def test_cross_split_of_the_tables(spark):
