@@ -88,14 +88,14 @@ def _prefix(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 def score_patterns(df: DataFrame, pattern: str, response: str, timeout: float | None = 5.0) -> DataFrame:
     """df with score (1 or 0) and desc (valid, invalid, timeout, unsupported): does the response match the whole pattern?
 
-    Rows of portable patterns and printable ASCII text are matched in the JVM; only the others go to Python. Null
-    patterns and responses have a null desc and score 0.
+    Rows of portable patterns and printable ASCII text are matched in the JVM; of them Python sees nulls only, so the input
+    is read once. Null patterns and responses have a null desc and score 0.
     """
     p, t = F.col(pattern), F.col(response)
-    plain = p.rlike(PORTABLE) & t.rlike(_PLAIN)
-    quick = df.where(plain).withColumn("desc", F.when(F.call_function("rlike", t, F.concat(F.lit("^(?:"), p, F.lit(")$"))), "valid").otherwise("invalid"))
-    slow = df.where(~F.coalesce(plain, F.lit(False))).withColumn("desc", _udf(timeout)(p, t))
-    return quick.unionByName(slow).withColumn("score", F.when(F.col("desc") == "valid", 1.0).otherwise(0.0))
+    marked = df.withColumn("_plain", F.coalesce(p.rlike(PORTABLE) & t.rlike(_PLAIN), F.lit(False)))
+    quick = F.when(F.call_function("rlike", t, F.concat(F.lit("^(?:"), p, F.lit(")$"))), "valid").otherwise("invalid")
+    slow = _udf(timeout)(F.when(~F.col("_plain"), p), F.when(~F.col("_plain"), t))
+    return marked.withColumn("desc", F.when(F.col("_plain"), quick).otherwise(slow)).drop("_plain").withColumn("score", F.when(F.col("desc") == "valid", 1.0).otherwise(0.0))
 
 
 #: Of the portable patterns those that Java and the UDF's engine read alike over any text, not only ASCII: no dot, no anchors,
