@@ -313,6 +313,14 @@ def sql_folder(s: SparkSession, d: str) -> DataFrame:
     return found.select("instance_id", "schema_name", F.md5("user_message").alias("message_md5"), F.md5(shots).alias("shots_md5"))
 
 
+def grammar_file(s: SparkSession, d: str) -> DataFrame:
+    """The grammars of the schemas written as one JSON map, and read back."""
+    path = f"{checkpoint_dir(s)}/grammars-{uuid.uuid4().hex}"
+    known = read(s, d, "spider_instance").where("schema_name is not null and lark_grammar is not null").groupBy("schema_name").agg(F.min("lark_grammar").alias("g"))
+    known.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("schema_name", "g"))))).write.text(path)
+    return grammars(s, path).select("schema_name", F.md5("lark_grammar").alias("grammar_md5"))
+
+
 def sql_exec_spark(s: SparkSession, d: str) -> DataFrame:
     """Queries of the subset over the largest tables, run by Spark: what must match, what must not, and what can't be read."""
     for name in ("nation", "customer", "orders"):
@@ -380,7 +388,7 @@ def stream_periods(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        smiles_prefix, smiles_valid, lru_trace, store_round_trip, cached_run, results_by_instance, pattern_file, molecule_lines, sql_folder, sql_exec_spark, scan_patterns, regex_fullmatch_score, regex_udf_score, regex_critic_complete, regex_critic_prefix, ensemble_weighted_accuracy, instance_mean, macro_average, replicate_cross, max_instances,
+        smiles_prefix, smiles_valid, lru_trace, store_round_trip, cached_run, results_by_instance, pattern_file, molecule_lines, sql_folder, grammar_file, sql_exec_spark, scan_patterns, regex_fullmatch_score, regex_udf_score, regex_critic_complete, regex_critic_prefix, ensemble_weighted_accuracy, instance_mean, macro_average, replicate_cross, max_instances,
         cache_miss_plan, eval_needed, ensemble_replay, evaluation_run, code_texts, byte_texts, molecule_score, user_messages, schema_serialize, chat_messages, sql_prompts, pattern_prompts, molecule_prompts, few_shot_select, spider_datum, spider_instances, schema_columns,
         smiles_sample, column_picklist, picklist_no_times, subquery_extract, boundary_strip, utf8_guard, bootstrap_mean, bootstrap_median, bootstrap_std, stream_periods,
     )
@@ -441,6 +449,7 @@ ORACLES = {
         m as (select row_number() over (order by instance_id) - 1 as id, schema_name, gold, '{_MESSAGE[0]}' || array_to_string(list_transform(ts, lambda t: t.name || array_to_string(list_transform(t.columns, lambda c: chr(10) || '* ' || c.name || ' (' || c.tpe || '): ' || c.nl_name), '')), chr(10) || chr(10)) || '{_MESSAGE[1]}' || utterance || '{_MESSAGE[2]}' as message
           from spider_instance join k using (schema_name))
         select id as instance_id, schema_name, md5(message) as message_md5, md5((select string_agg(concat_ws('#', message, gold), '|' order by case id when 10 then 0 when 0 then 1 else 2 end) from m where id in (10, 0, 25))) as shots_md5 from m""",
+    "grammar_file": "select schema_name, md5(min(lark_grammar)) as grammar_md5 from spider_instance where schema_name is not null and lark_grammar is not null group by 1",
     "sql_exec_spark": "select i::int as id, i % 2 = 1 as exec_match, case when i % 2 = 1 then null when i = 6 then 'invalid' else 'mismatch' end as reason from range(1, 12) t(i)",
     "code_texts": "select n_nationkey, n_name as name from nation",
     "byte_texts": "select p_partkey, ' ' || p_name as name from part",

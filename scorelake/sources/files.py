@@ -150,12 +150,10 @@ def raw_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grammars(spark: SparkSession, path: str | None) -> DataFrame:
-    """schema_name, lark_grammar of a JSON map; none for no path."""
-    found = {}
-    if path:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-    return spark.createDataFrame(list(found.items()), "schema_name string, lark_grammar string")
+    """schema_name, lark_grammar of a JSON map, one document; none for no path."""
+    if not path:
+        return spark.createDataFrame([], "schema_name string, lark_grammar string")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("schema_name", "lark_grammar"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

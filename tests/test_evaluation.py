@@ -125,6 +125,16 @@ def test_spider_folder(spark, tmp_path):
         sql_dataset(spark, str(tmp_path))
 
 
+def test_json_sources(spark, tmp_path):
+    from scorelake.sources.files import grammars, parser_schema, raw_json
+
+    (tmp_path / "g.json").write_text(json.dumps({"d": "start: /a/\n", "e": "start: \"x\""}, indent=2))
+    assert {(r["schema_name"], r["lark_grammar"]) for r in grammars(spark, str(tmp_path / "g.json")).collect()} == {("d", "start: /a/\n"), ("e", 'start: "x"')}
+    assert grammars(spark, None).count() == 0
+    (tmp_path / "p.json").write_text(json.dumps([{"table": "One", "col_data": [{"column_name": "A"}, {"column_name": "b"}]}]))
+    assert parser_schema(str(tmp_path / "p.json")) == {"one": ["a", "b"]} and raw_json(spark, str(tmp_path / "p.json")).first()["table"] == "One"
+
+
 def test_bootstrap(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5)], "x double")
     m, lo, hi = bootstrap_ci(df, "x", "mean", n_bootstrap=300)
