@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.textsim import SLICE, KeyPlan, flat, gram_sets, hash_table, keys_of, least_hashes, mix, popcount
-from scorelake.session import cut
+from scorelake.session import cut, release
 
 #: A key with more records than HOT gives way to more specific keys of its records, STEP more hashes each, up to LEVELS
 #: times; then its records are split into sub-blocks of CHUNK against CHUNK.
 HOT, CHUNK = 8192, 4096
 STEP, LEVELS = 2, 3
+#: Keys are joined in passes, one after the other, so that the disk holds the routes of one pass at a time: so many routes, or so
+#: many keys of each text if that is more.
+PASS_ROUTES, PASS_KEYS = 5_000_000, 4
 #: Bands of size to the ratio of sizes that a share allows: more of them leave out more pairs and repeat each record more often.
 BANDS = 4
 #: A block of DENSE_ROWS records at least is dense if more than DENSE_SHARE of some SAMPLE of its pairs pass the test: its
@@ -40,8 +44,9 @@ def pack_meta(half: np.ndarray, size: np.ndarray, extra: np.ndarray) -> np.ndarr
     return (half.astype(np.int64) << 40) | (size.astype(np.int64) << 20) | extra.astype(np.int64)
 
 
-#: Columns of codes: what routes repeat for each key, the hash of the group that a text belongs to, and its least hashes.
-CODES = "id bigint, half int, g bigint, size int, words binary, extra int, hashes binary"
+#: Columns of codes: what routes repeat for each key, the hash of the group that a text belongs to, and its 3-grams' codes (16 bits
+#: each), from which each pass takes the least hashes of its keys.
+CODES = "id bigint, half int, g bigint, size int, words binary, extra int, grams binary"
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -56,10 +61,9 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(flat(column)[0], kind).reshape(len(column), -1)
 
 
-def encoder(plan: KeyPlan, often: Broadcast, columns: int, point: Callable) -> Callable:
-    """The batch function from id, half, g, text to CODES. ``point`` makes words and extra of a slice's 3-grams and hashes.
-
-    A text without a 3-gram has no code.
+def encoder(often: Broadcast, columns: int, point: Callable) -> Callable:
+    """The batch function from id, half, g, text to CODES. ``point`` makes words and extra of a slice's 3-grams and its first
+    ``columns`` least hashes. A text without a 3-gram has no code.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,27 +71,33 @@ def encoder(plan: KeyPlan, often: Broadcast, columns: int, point: Callable) -> C
             for i in range(0, whole.num_rows, SLICE):
                 b = whole.slice(i, SLICE)
                 texts, codes = gram_sets(*flat(b.column("text")))
-                at, hashes = least_hashes(texts, codes, hash_table(max(columns, plan.n_keys * plan.n_values), often.value))
+                size = np.bincount(texts, minlength=b.num_rows).astype(np.int32)
+                at = np.flatnonzero(size)
+                hashes = least_hashes(texts, codes, hash_table(0, columns, often.value))[1] if columns else None
                 words, extra = point(texts, codes, at, hashes, b.num_rows)
-                size = np.bincount(texts, minlength=b.num_rows)[at].astype(np.int32)
                 kept = [b.column(c).take(pa.array(at)) for c in ("id", "half", "g")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(size), binary(words), pa.array(extra.astype(np.int32)), binary(hashes)], names=[c.split()[0] for c in CODES.split(", ")])
+                ends = np.r_[0, np.cumsum(2 * size[at])].astype(np.int32)
+                grams = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(size[at]), binary(words), pa.array(extra.astype(np.int32)), grams], names=[c.split()[0] for c in CODES.split(", ")])
 
     return encode
 
 
-def spread(plan: KeyPlan) -> Callable:
-    """The batch function from CODES to ROUTES: a row for each key."""
+def spread(plan: KeyPlan, often: Broadcast, first: int, end: int) -> Callable:
+    """The batch function from CODES to ROUTES: a row for each of the keys ``first`` to ``end`` - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = hash_table(first * plan.n_values, (end - first) * plan.n_values, often.value)
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 b = whole.slice(i, SLICE)
-                key, often = keys_of(matrix(b.column("hashes"), np.uint16), plan, b.column("g").to_numpy())
-                row = np.repeat(np.arange(b.num_rows), plan.n_keys)
+                raw, length = flat(b.column("grams"))
+                hashes = least_hashes(np.repeat(np.arange(len(length)), length // 2), np.frombuffer(raw, np.uint16), table)[1]
+                key, frequent = keys_of(hashes, plan, b.column("g").to_numpy(), first)
+                row = np.repeat(np.arange(b.num_rows), end - first)
                 col = lambda c: b.column(c).to_numpy()
                 meta = pack_meta(col("half"), col("size"), col("extra"))
-                columns = [pa.array(key.ravel().view(np.int64)), pa.array(col("id")[row]), pa.array(meta[row]), binary(matrix(b.column("words"), np.uint64)[row]), pa.array(often.ravel())]
+                columns = [pa.array(key.ravel().view(np.int64)), pa.array(col("id")[row]), pa.array(meta[row]), binary(matrix(b.column("words"), np.uint64)[row]), pa.array(frequent.ravel())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROUTES.split(", ")])
 
     return run
@@ -264,38 +274,46 @@ def _half() -> Column:
     return F.shiftright("meta", 40).cast("int")
 
 
-def meet_keys(texts: DataFrame, encode: Callable, plan: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
+def meet_keys(texts: DataFrame, encode: Callable, often: Broadcast, plan: Callable, n: int, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:
     """MET: the distinct pairs of ids of ``texts`` that share a key and pass ``test`` (a < b, or with ``two`` a of half 0, b of half 1),
     and the records of dense blocks.
 
-    texts: id, half, g, text, n of them. ``plan(more)`` is a KeyPlan with ``more`` hashes to a key above the usual,
-    ``encode(plan)`` the batch function from texts to CODES, which are written once. A record of a key with more than
-    HOT records takes part anew, with all other such records, under more specific keys, which miss a pair no more often than
-    the first ones. What is hot after LEVELS such steps is joined whole, in sub-blocks (meet).
+    texts: id, half, g, text, at most n of one g. ``plan(more)`` is a KeyPlan with ``more`` hashes to a key above the usual,
+    ``encode`` the batch function from texts to CODES, which are written once. The keys are joined in passes; what a pass has
+    shuffled is given up before the next. A record of a key with more than HOT records takes part anew, with all other such
+    records, under more specific keys, which miss a pair no more often than the first ones. What is hot after LEVELS such
+    steps is joined whole, in sub-blocks (meet).
     """
-    found = None
+    found, of_hot = [], F.col("key") == F.col("k")
+    codes = cut(texts.mapInArrow(encode, CODES))
+    n_texts = codes.count()
     for level in range(LEVELS + 1):
-        keys = plan(level * STEP)
-        routes = cut(texts.mapInArrow(encode(keys), CODES)).mapInArrow(spread(keys), ROUTES)
-        last = level == LEVELS
-        hot = None
-        if n > HOT:
-            hot = cut(routes.where("often").groupBy("key").count().where(f"count > {HOT}").select(F.col("key").alias("k")))
-            hot = None if hot.isEmpty() else hot
-        of_hot = F.col("key") == F.col("k")
-        cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
-        rows = cold.select("key", "id", "meta", "words").repartition("key").sortWithinPartitions("key")
-        pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), MET)
-        found = pairs if found is None else found.unionByName(pairs)
-        if hot is None:
-            break
-        if last:
-            found = found.unionByName(meet(routes.join(hot, of_hot, "left_semi"), two, test, join))
+        keys, again = plan(level * STEP), []
+        step = max(PASS_KEYS, PASS_ROUTES // max(n_texts, 1))
+        for first in range(0, keys.n_keys, step):
+            routes = codes.mapInArrow(spread(keys, often, first, min(first + step, keys.n_keys)), ROUTES)
+            hot = None
+            if n > HOT:
+                hot = cut(routes.where("often").groupBy("key").count().where(f"count > {HOT}").select(F.col("key").alias("k")))
+                hot = None if hot.isEmpty() else hot
+            cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
+            rows = cold.select("key", "id", "meta", "words").repartition("key").sortWithinPartitions("key")
+            pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), MET)
+            if hot is not None and level == LEVELS:
+                pairs = pairs.unionByName(meet(routes.join(hot, of_hot, "left_semi"), two, test, join))
+            elif hot is not None:
+                again.append(cut(routes.join(hot, of_hot, "left_semi").select(F.col("id").alias("i"), _half().alias("h")).distinct()))
+            if keys.n_keys <= step:
+                found.append(pairs)
+                continue
+            found.append(cut(pairs.distinct()))
+            del routes, hot, cold, rows, pairs
+            release(texts.sparkSession)
+        if not again:
             break
-        again = routes.join(hot, of_hot, "left_semi").select(F.col("id").alias("i"), _half().alias("h")).distinct()
-        texts = cut(texts.join(again, F.expr("id = i and half = h"), "left_semi"))
-        n = texts.count()
-    return found.distinct()
+        codes = cut(codes.join(reduce(DataFrame.unionByName, again).distinct(), F.expr("id = i and half = h"), "left_semi"))
+        n = n_texts = codes.count()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def meet(routes: DataFrame, two: bool, test: Callable, join: Callable = all_pairs) -> DataFrame:

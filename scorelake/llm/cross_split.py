@@ -13,7 +13,7 @@ from scorelake.llm.blocks import CODES, Points, encoder, meet_keys, meet_sizes,
 from scorelake.llm.canonical import canonical_groups
 from scorelake.llm.near_duplicates import count_vectors, overlap_test
 from scorelake.llm.textsim import MISS, KeyPlan, background, gram_counts, normal, popcount, similarities
-from scorelake.session import cut
+from scorelake.session import cut, release
 
 #: Bits of a fingerprint.
 BITS = 256
@@ -55,9 +55,9 @@ def fingerprint_test(share: float) -> Callable:
     return test
 
 
-def read_once(records: DataFrame, record_id: str, text: str, canon: Column) -> DataFrame:
-    """id, text (normal form) and canon (binary) of the records with an id, written to the checkpoint folder."""
-    return cut(records.select(F.col(record_id).cast("bigint").alias("id"), normal(F.col(text)).alias("text"), canon.cast("binary").alias("canon")).where("id is not null"))
+def _named(records: DataFrame, record_id: str, column: Column) -> DataFrame:
+    """id and ``column`` of the records with an id."""
+    return records.select(F.col(record_id).cast("bigint").alias("id"), column).where("id is not null")
 
 
 def _texts(records: DataFrame, half: int) -> DataFrame:
@@ -89,12 +89,12 @@ def near_texts(left: DataFrame, right: DataFrame, share: float = 0.65, exact: bo
             return words[at], extra[at]
         return fingerprints(hashes), np.zeros(len(at))
 
-    encode = lambda keys: encoder(keys, often, BITS, point)
+    encode = encoder(often, 0 if exact else BITS, point)
     texts = sides.select("id", "half", F.lit(0).cast("bigint").alias("g"), "text")
     if exact:
-        pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), True, share, 1, overlap_test(share))
+        pairs = meet_sizes(texts.mapInArrow(encode, CODES), True, share, 1, overlap_test(share))
     else:
-        pairs = meet_keys(texts, encode, plan, n, True, fingerprint_test(share))
+        pairs = meet_keys(texts, encode, often, plan, n, True, fingerprint_test(share))
     near = verified(pairs, texts, True, share, similarities)
     one, two = sides.where("half = 0").select("text", F.col("id").alias("a")), sides.where("half = 1").select("text", F.col("id").alias("b"))
     # different texts may have the same 3-grams: share 1 doesn't mean equal
@@ -127,8 +127,11 @@ def cross_split_overlaps(left: DataFrame, left_id: str, right: DataFrame, right_
 
     ``exact`` and the chance of a miss without it: see near_texts. Null texts, queries and ids are no case. Repeated rows count once; extra columns aren't read. An empty side gives none.
     """
-    one, two = read_once(left, left_id, text, canon), read_once(right, right_id, text, canon)
-    by_text = expand(cut(near_texts(one, two, share, exact)), _copies(one, "text"), _copies(two, "text"))
+    # the texts are done with before the queries are written: the disk holds one of them at a time
+    one, two = (_named(side, i, normal(F.col(text)).alias("text")) for side, i in ((left, left_id), (right, right_id)))
+    by_text = cut(expand(cut(near_texts(one, two, share, exact)), _copies(one, "text"), _copies(two, "text")))
+    release(left.sparkSession)
+    one, two = (cut(_named(side, i, canon.cast("binary").alias("canon"))) for side, i in ((left, left_id), (right, right_id)))
     # equal queries: the groups of both sides meet on their canonical bytes, a fingerprint of distance 0
     groups = [canonical_groups(side, "id", F.col("canon")) for side in (one, two)]
     same = groups[0].select("canon", F.col("keep_id").alias("a")).join(groups[1].select("canon", F.col("keep_id").alias("b")), "canon").select("a", "b")

@@ -130,13 +130,13 @@ def near_links(reps: DataFrame, share: float = 0.65, exact: bool = False) -> tup
         words, extra = count_vectors(texts, codes, rows)
         return words[at], extra[at]
 
-    encode = lambda keys: encoder(keys, often, 0, point)
+    encode = encoder(often, 0, point)
     texts = numbered.select(F.col("uid").alias("id"), F.lit(0).alias("half"), F.xxhash64("group").alias("g"), "text")
     bound = overlap_test(share)
     if exact:
-        pairs = meet_sizes(texts.mapInArrow(encode(plan(0)), CODES), False, share, 1, bound)
+        pairs = meet_sizes(texts.mapInArrow(encode, CODES), False, share, 1, bound)
     else:
-        pairs = meet_keys(texts, encode, plan, largest, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
+        pairs = meet_keys(texts, encode, often, plan, largest, False, bound, lambda p, ends, across, test: CountRTree(p, ends).joined(share, test, p, across))
     linked = verified(pairs, texts, False, share, similarities)
     # keys of two groups differ but for a clash of hashes, which this drops
     groups = [numbered.select(F.col("uid").alias(x), F.col("group").alias("g" + x)) for x in "ab"]

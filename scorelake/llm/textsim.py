@@ -127,14 +127,14 @@ def background(counts: np.ndarray, n: int) -> float:
 _TABLES: dict[tuple, np.ndarray] = {}
 
 
-def hash_table(columns: int, often: np.ndarray) -> np.ndarray:
-    """16-bit hashes of each gram code, a column per hash function. The last bit tells the codes of ``often``."""
-    known = columns, often.tobytes()
+def hash_table(first: int, columns: int, often: np.ndarray) -> np.ndarray:
+    """16-bit hashes of each gram code, a column for each hash function from ``first`` on. The last bit tells the codes of ``often``."""
+    known = first, columns, often.tobytes()
     if known not in _TABLES:
         _TABLES.clear()
         codes = np.arange(CODES, dtype=np.int64)
-        words = np.stack([mix(mix(codes, seed=1000 + i)) for i in range(-(-columns // 4))], axis=1)
-        _TABLES[known] = np.ascontiguousarray(words.view(np.uint16)[:, :columns] & np.uint16(0xFFFE) | often.astype(np.uint16)[:, None])
+        words = np.stack([mix(mix(codes, seed=1000 + i)) for i in range(first // 4, -(-(first + columns) // 4))], axis=1)
+        _TABLES[known] = np.ascontiguousarray(words.view(np.uint16)[:, first % 4 : first % 4 + columns] & np.uint16(0xFFFE) | often.astype(np.uint16)[:, None])
     return _TABLES[known]
 
 
@@ -148,10 +148,11 @@ def least_hashes(texts: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tup
     return texts[first], out
 
 
-def keys_of(values: np.ndarray, plan: KeyPlan, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (a row per text) of the stretches of ``n_values`` least hashes, and which of them have frequent grams only."""
-    stretches = values[:, : plan.n_keys * plan.n_values].reshape(len(values), plan.n_keys, plan.n_values)
-    key = mix(np.arange(plan.n_keys, dtype=np.int64), seed=5)[None, :] ^ (mix(group, seed=3)[:, None] if group is not None else np.uint64(0))
+def keys_of(values: np.ndarray, plan: KeyPlan, group: np.ndarray | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (a row per text) of the stretches of ``n_values`` least hashes, numbered from ``first``, and which of them have frequent
+    grams only."""
+    stretches = values.reshape(len(values), -1, plan.n_values)
+    key = mix(np.arange(first, first + stretches.shape[1], dtype=np.int64), seed=5)[None, :] ^ (mix(group, seed=3)[:, None] if group is not None else np.uint64(0))
     for k in range(plan.n_values):
         key = mix(key ^ stretches[:, :, k].astype(np.uint64))
     return key, (stretches & np.uint16(1)).all(axis=2)

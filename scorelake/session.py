@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -62,6 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Gives up the shuffles and checkpoints that no DataFrame holds any more; else they stay until the driver happens to collect
+    its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works on its own thread
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if ``rows`` rows of ``row_bytes`` bytes stay within BROADCAST_BYTES, else df as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -88,6 +88,18 @@ def test_hot_key_is_split(spark, monkeypatch):
     assert want == {(r["a"], r["b"]) for r in cross_split_overlaps(side(rows[:30]), "i", side(rows[30:]), "i", "t", canonical_query(F.col("q"))).collect()}
 
 
+def test_keys_in_passes(spark, monkeypatch):
+    """No more keys of a text are routed at once than a pass takes; the links are the same."""
+    rng = random.Random(7)
+    rows = [("gh"[i % 2], i, edited(rng, "how many of the visitors " + "".join(rng.choices("abcdefgh ", k=rng.choice([0, 40]))))) for i in range(150)]
+    widths, spread = [], blocks.spread
+    monkeypatch.setattr(blocks, "spread", lambda plan, often, first, end: widths.append((first, end, plan.n_keys)) or spread(plan, often, first, end))
+    monkeypatch.setattr(blocks, "PASS_ROUTES", 1)
+    monkeypatch.setattr(blocks, "PASS_KEYS", 3)
+    assert pairs(spark, rows) == brute(rows)
+    assert [k for first, end, _ in widths for k in range(first, end)] == list(range(widths[0][2])) and max(end - first for first, end, _ in widths) == 3
+
+
 def test_dense_blocks(spark, monkeypatch):
     """Records of blocks in which most pairs are near the threshold meet their texts in the block; the links are the same."""
     monkeypatch.setattr(blocks, "DENSE_ROWS", 2)
