@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.textsim import SLICE, KeyPlan, flat, gram_sets, hash_table, keys_of, least_hashes, mix, popcount
-from scorelake.session import cut, release
+from scorelake.session import cut, release, small
 
 #: A key with more records than HOT gives way to more specific keys of its records, STEP more hashes each, up to LEVELS
 #: times; then its records are split into sub-blocks of CHUNK against CHUNK.
@@ -295,9 +295,12 @@ def meet_keys(texts: DataFrame, encode: Callable, often: Broadcast, plan: Callab
             hot = None
             if n > HOT:
                 hot = cut(routes.where("often").groupBy("key").count().where(f"count > {HOT}").select(F.col("key").alias("k")))
-                hot = None if hot.isEmpty() else hot
+                n_hot = hot.count()
+                hot = small(hot, n_hot, 16) if n_hot else None
             cold = routes if hot is None else routes.join(hot, of_hot, "left_anti")
-            rows = cold.select("key", "id", "meta", "words").repartition("key").sortWithinPartitions("key")
+            # by a hash of the key: a repartition by the join's own key is left out of the plan, and adaptive execution may then
+            # read the join's input map by map, which parts the records of a key
+            rows = cold.select("key", "id", "meta", "words").repartition(F.xxhash64("key")).sortWithinPartitions("key")
             pairs = rows.mapInArrow(lambda it: block_join(it, two, test, join), MET)
             if hot is not None and level == LEVELS:
                 pairs = pairs.unionByName(meet(routes.join(hot, of_hot, "left_semi"), two, test, join))

@@ -88,6 +88,27 @@ def test_hot_key_is_split(spark, monkeypatch):
     assert want == {(r["a"], r["b"]) for r in cross_split_overlaps(side(rows[:30]), "i", side(rows[30:]), "i", "t", canonical_query(F.col("q"))).collect()}
 
 
+def test_hot_keys_where_joins_turn_into_broadcasts(spark, monkeypatch):
+    """Records of a key stay together when adaptive execution makes a broadcast of the join that takes the hot keys out."""
+    rng = random.Random(1)
+    stem = "zyxwvutsrq ponmlkjihg fedcba zyxwvutsrq"
+    rows = [("g", i, f"{stem} {rng.randint(10**5, 10**6)}") for i in range(60)]
+    for i in range(60):
+        base = "".join(rng.choices("abcdefgh ", k=60))
+        rows += [("g", 100 + 3 * i + k, edited(rng, base)) for k in range(3)]
+    monkeypatch.setattr(blocks, "HOT", 20)
+    monkeypatch.setattr(blocks, "CHUNK", 7)
+    monkeypatch.setattr(blocks, "small", lambda df, *_: df, raising=False)
+    more = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in more.items():
+        spark.conf.set(k, v)
+    try:
+        assert pairs(spark, rows) == brute(rows)
+    finally:
+        for k in more:
+            spark.conf.unset(k)
+
+
 def test_keys_in_passes(spark, monkeypatch):
     """No more keys of a text are routed at once than a pass takes; the links are the same."""
     rng = random.Random(7)
